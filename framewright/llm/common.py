@@ -9,7 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +55,7 @@ def write_file(uri: str, blob: bytes) -> None:
     fs.move(part, path)
 
 
-def batches(iterator, column: str, limit: int = 8 << 20):
+def batches(iterator, column: str, limit: int = 4 << 20):
     """Record batches cut so that ``column`` (string or binary) holds about ``limit`` bytes at most."""
     for batch in iterator:
         if not batch.num_rows:
@@ -64,7 +64,7 @@ def batches(iterator, column: str, limit: int = 8 << 20):
         if values.null_count == len(values):
             yield batch
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(values), 0)).astype(np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(values), 0)).astype(np.int64)
         part = np.cumsum(sizes) // limit
         edges = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *edges], [*edges, batch.num_rows]):
@@ -80,23 +80,6 @@ def blobs(batch: pa.RecordBatch, column: str) -> list:
     return values.cast(kind).to_pylist()
 
 
-class WordHashes(dict):
-    """word bytes -> 64-bit hash; emptied when it holds ``limit`` words, so memory stays bounded."""
-
-    def __init__(self, limit: int = 1_000_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A fixed bijection of 64-bit integers that spreads every input bit (a multiply-and-shift finaliser)."""
     x = x ^ (x >> np.uint64(33))
@@ -126,3 +109,59 @@ def sketch_sums(df: DataFrame, slots: int, dtype=np.int64) -> np.ndarray:
     out = np.zeros(slots, dtype)
     out[sums["slot"].to_numpy()] = sums["n"].to_numpy()
     return out
+
+
+#: ASCII white space, as the word pattern [^\x20\x09-\x0D]+ has it.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = 0x9E3779B97F4A7C15
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+_LOWER = _BYTES.copy()
+_LOWER[65:91] = _BYTES[97:123]
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of a fixed odd number modulo 2^64, and of its inverse."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            steps = np.full(max(n, 1 << 16), base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span values[start:stop]: prefix sums of a polynomial, so equal spans are equal anywhere."""
+    up, down = powers(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+class Words:
+    """The words [^\\x20\\x09-\\x0D]+ of a column of texts, as arrays over all its rows.
+
+    ``hashes``: a 64-bit hash of each word (A-Z as a-z if ``lower``); ``edges``: words edges[i] .. edges[i + 1] are
+    row i's; ``starts``, ``stops``: byte places of each word in ``data``. Null counts as empty.
+    """
+
+    def __init__(self, texts: pa.Array, lower: bool = False):
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        self.data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+        self.bounds = at - at[0]
+        n = len(self.data)
+        word = np.zeros(n + 2, bool)
+        np.logical_not(_SPACE[self.data], out=word[1:-1])
+        cut = np.zeros(n + 1, bool)  # a row begins here
+        cut[self.bounds] = True
+        self.starts = np.flatnonzero(word[1:-1] & (~word[:-2] | cut[:-1]))
+        self.stops = np.flatnonzero(word[1:-1] & (~word[2:] | cut[1:])) + 1
+        self.hashes = span_hashes((_LOWER if lower else _BYTES)[self.data], self.starts, self.stops)
+        self.edges = np.searchsorted(self.starts, self.bounds)
+
+    def rows(self):
+        """(first word, word after the last) of each row."""
+        return zip(self.edges[:-1].tolist(), self.edges[1:].tolist())

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .near_duplicates import OP2_SQL, op2_near_duplicates
 from .packing import op4_best_fit_packing
+from .repeated_spans import OP10_SQL, op10_repeated_spans
 from .token_files import op1_token_files
 
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_near_duplicates": op2_near_duplicates,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op10_repeated_spans": op10_repeated_spans,
 }
-ORACLES: dict[str, str] = {"op2_near_duplicates": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_near_duplicates": OP2_SQL, "op10_repeated_spans": OP10_SQL}

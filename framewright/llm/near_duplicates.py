@@ -7,8 +7,8 @@ only that prefix of each document is posted, the frequent rest is skipped and co
 signature. Sets with enough agreeing coordinates are confirmed on their full shingle sets.
 
 Equal sets are one node from the start. Every posting list first links its members to one pivot, linear in its
-length, which joins large groups of near copies; then pairs in different components are counted, in
-blocks, so nothing emits all pairs of a group and yet no link between components is lost.
+length, which joins large groups of near copies; then pairs in different components are
+found by the rarest shingles of their sets, so nothing emits all pairs of a group and yet no link between components is lost.
 """
 
 from __future__ import annotations
@@ -96,7 +96,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, *, similarity: tuple[int, int] = (4, 5), width: int = 5, coordinates: int = 64, matches: int | None = None,
-    doc_id: str = "doc_id", text: str = "text", block: int = 512, slots: int = 1 << 20,
+    doc_id: str = "doc_id", text: str = "text", slots: int = 1 << 20,
 ) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id of the group), kept.
 
@@ -160,13 +160,20 @@ def near_duplicates(
 
     def fetch(iterator):
         for batch in batches(iterator, "text"):
-            found, sets = [], []
-            for node, shingles in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width)):
+            rows, sets = [], []
+            for row, (node, shingles) in enumerate(zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width))):
                 shingles = shingles.tobytes()
                 if xxhash.xxh3_128_digest(shingles) == node:
-                    found.append(node)
+                    rows.append(row)
                     sets.append(shingles)
-            yield _table([pa.array(found, pa.binary()), pa.array(sets, pa.binary())], ["node", "shingles"])
+            rows = pa.array(rows, pa.int64())
+            yield _table([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(sets, pa.binary())], ["node", "root", "shingles"])
+
+    def shingles_of(wanted: DataFrame) -> DataFrame:
+        """(node, root, shingles) of the wanted (node, root); their texts are read again."""
+        wanted = wanted.join(nodes.select("node", "lead"), "node")
+        sets = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("lead"))).select("node", "text", "root").mapInArrow(fetch, "node binary, root binary, shingles binary")
+        return written(sets.groupBy("node").agg(F.first("root").alias("root"), F.first("shingles").alias("shingles")), "shingle-sets")
 
     def confirm(iterator):
         for batch in batches(iterator, "b_set"):
@@ -177,75 +184,62 @@ def near_duplicates(
                 ok.append(both * den >= (len(a) + len(b) - both) * num)
             yield _table([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs whose full shingle sets reach the similarity; texts are read again for these nodes alone."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "lead"), "node")
-        sets = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("lead"))).select("node", "text").mapInArrow(fetch, "node binary, shingles binary")
-        sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
-        held = written(sets, "shingle-sets")
-        side = lambda x: held.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_set"))
-        return written(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_set", "b_set").mapInArrow(confirm, "a binary, b binary"), "near-links")
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs that agree on enough coordinates and whose full shingle sets reach the similarity."""
+        sig = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"{x}_sig"))
+        counted = pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "a_sig", "b_sig").mapInArrow(counted_pairs, "a binary, b binary")
+        side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_set"))
+        return written(counted.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_set", "b_set").mapInArrow(confirm, "a binary, b binary"), "near-links")
 
     star = shared.select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).where((F.col("a") != F.col("b")) & near(F.col("pivot.n"), F.col("n"))).distinct()
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"{x}_sig"))
-    star = star.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_sig", "b_sig").mapInArrow(counted_pairs, "a binary, b binary")
-    links = confirmed(written(star, "star-pairs"))
-
-    def across(iterator):
-        """Pairs of different components within each (key, block, block) that agree often enough."""
-        left = None
-
-        def pairs(key, n, root, part, sig, node):
-            i, j, m = int(key[1]), int(key[2]), len(n)
-            own, other = np.flatnonzero(part == i), np.flatnonzero(part == j)
-            found = []
-            for k in range(0, len(own), 64):
-                a = own[k : k + 64]
-                ok = (root[a][:, None] != root[other][None, :]) & (np.minimum(n[a][:, None], n[other][None, :]) * den >= np.maximum(n[a][:, None], n[other][None, :]) * num)
-                if i == j:
-                    ok &= a[:, None] < other[None, :]
-                x, y = np.nonzero(ok)
-                x, y = a[x], other[y]
-                for s in range(0, len(x), 1 << 16):
-                    good = (sig[x[s : s + (1 << 16)]] == sig[y[s : s + (1 << 16)]]).sum(axis=1) >= matches
-                    found += zip(x[s : s + (1 << 16)][good].tolist(), y[s : s + (1 << 16)][good].tolist())
-            return [(min(node[x], node[y]), max(node[x], node[y])) for x, y in found]
-
-        def run(table, last):
-            key = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-            edges = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
-            stop = len(edges) - 1 if last else len(edges) - 2
-            n, part = table.column("n").to_numpy(), table.column("part").to_numpy()
-            node, roots = table.column("node").to_pylist(), table.column("root").to_pylist()
-            _, root = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, coordinates)
-            out = set()
-            for a, b in zip(edges[:stop], edges[1 : stop + 1]):
-                if b - a > 1:
-                    out.update(pairs(key[a], n[a:b], root[a:b], part[a:b], sig[a:b], node[a:b]))
-            a, b = zip(*out) if out else ((), ())
-            return _table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"]), (None if last else table.slice(edges[-2]))
+    star = written(star, "star-pairs")
+    links = confirmed(star, shingles_of(star.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))))
 
-        for batch in iterator:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([left, table]).combine_chunks() if left is not None else table
-            if table.num_rows:
-                found, left = run(table, False)
-                yield found
-        if left is not None and left.num_rows:
-            yield run(left, True)[0]
-
-    rooted = shared.select("key", "node", "n").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # What is left are lists that hold several components. Among their members, pairs of different components are
+    # found by the rarest shingles of their full sets: sets that reach the similarity share one of the
+    # n - ceil(n * similarity) + 1 rarest, and the places of the first shared one bound what they can share.
+    rooted = shared.select("key", "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = written(rooted, "rooted-postings")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
-    parts = F.ceil(F.col("m") / block).cast("int")
-    rooted = rooted.join(mixed.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rooted = rooted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(nodes.select("node", "sig"), "node")
-    rooted = rooted.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "root", "n", "sig")
-    cross = rooted.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(across, "a binary, b binary").distinct()
-    cross = written(cross, "cross-pairs")
-    if cross.head(1):
-        links = links.union(confirmed(cross))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    open_ = shingles_of(rooted.join(mixed, "key").select("node", "root").distinct())
+
+    def frequent(iterator):
+        """Slots that hold over twice the mean of this task's shingles."""
+        counts = np.zeros(slots, np.int64)
+        for batch in batches(iterator, "shingles"):
+            every = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+            counts += np.bincount((every & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+        often = np.flatnonzero(counts > max(1, 2 * counts.mean()))
+        yield _table([pa.array(often, pa.int32()), pa.array(counts[often])], ["slot", "n"])
+
+    def rarest(ranks):
+        def run(iterator):
+            often = ranks.value
+            for batch in batches(iterator, "shingles"):
+                columns = []
+                for row, raw in enumerate(batch.column(2)):
+                    shingles = np.frombuffer(raw.as_buffer(), np.uint64)
+                    n = len(shingles)
+                    order = np.lexsort((shingles, often[(shingles & np.uint64(slots - 1)).astype(np.int64)]))[: n - -(-n * num // den) + 1]
+                    columns.append((np.full(len(order), row), np.full(len(order), n), np.arange(len(order)), shingles[order]))
+                row, n, at, shingle = (np.concatenate(c) for c in zip(*columns))
+                row = pa.array(row)
+                yield _table([pa.array(shingle.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(n), pa.array(at)], ["shingle", "node", "root", "n", "at"])
+
+        return run
+
+    slot = open_.select("shingles").mapInArrow(frequent, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most a row per slot
+    often = np.zeros(slots, np.uint32)
+    often[slot["slot"].to_numpy()] = np.minimum(slot["n"].to_numpy(), 2**32 - 1)
+    ranks = docs.sparkSession.sparkContext.broadcast(often)
+    rare = written(open_.select("node", "root", "shingles").mapInArrow(rarest(ranks), "shingle long, node binary, root binary, n long, at long"), "rare-shingles")
+    several = rare.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    rare = written(rare.join(several, "shingle"), "shared-rare-shingles")
+    x, y = (rare.select("shingle", *(F.col(c).alias(f"{k}_{c}") for c in ("node", "root", "n", "at"))) for k in "xy")
+    rest = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    cross = x.join(y, "shingle").where((F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & near(F.col("x_n"), F.col("y_n")) & (rest * (num + den) >= (F.col("x_n") + F.col("y_n")) * num))
+    cross = written(cross.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct(), "cross-pairs")
+    links = links.union(confirmed(cross, open_))
 
     found = components(links).join(nodes.select("node", "lead"), "node")
     named = found.join(found.groupBy("root").agg(F.min("lead").alias("component_id")), "root").select("node", "component_id")

@@ -74,7 +74,7 @@ def chains():
 @pytest.mark.parametrize("width,similarity", [(5, (4, 5)), (3, (17, 20)), (2, (1, 2))])
 def test_chains_and_odd_rows(spark, chains, width, similarity):
     df = spark.createDataFrame([(*row, 1, "x") for row in chains], "doc_id long, text string, component_id int, node string")
-    assert made(near_duplicates(df, width=width, similarity=similarity, block=16)) == brute(chains, width, *similarity)
+    assert made(near_duplicates(df, width=width, similarity=similarity)) == brute(chains, width, *similarity)
 
 
 def test_empty_table(spark):

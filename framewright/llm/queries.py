@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fingerprints import op3_fingerprints
 from .language_id import op9_language_id
 from .near_duplicates import OP2_SQL, op2_near_duplicates
 from .packing import op4_best_fit_packing
@@ -9,13 +10,16 @@ from .repeated_spans import OP10_SQL, op10_repeated_spans
 from .token_files import op1_token_files
 from .url_filter import op6_url_filter
 from .warc import OP5_SQL, op5_warc_revisits
+from .word_pieces import op7_token_counts
 
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_fingerprints": op3_fingerprints,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_warc_revisits": op5_warc_revisits,
     "op6_url_filter": op6_url_filter,
+    "op7_token_counts": op7_token_counts,
     "op9_language_id": op9_language_id,
     "op10_repeated_spans": op10_repeated_spans,
 }

@@ -184,6 +184,21 @@ def predict(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def identified(docs: DataFrame, model: Model, *, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language the model knows with at least that calibrated probability; all columns stay.
+
+    Texts that are null, empty or without a letter go.
+    """
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(iterator):
+        for batch in batches(iterator, text):
+            found = [shared.value.predict(t) for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id="doc_id"):
     """The fold that nothing is learned from: crc32 of the id as text, modulo 3, is 1. A null id isn't in it."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -98,7 +98,10 @@ def near_duplicates(
     docs: DataFrame, *, similarity: tuple[int, int] = (4, 5), width: int = 5, coordinates: int = 64, matches: int | None = None,
     doc_id: str = "doc_id", text: str = "text", slots: int = 1 << 20,
 ) -> DataFrame:
-    """A row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id of the group), kept.
+    """A row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id of the group), kept, tag, group.
+
+    ``tag`` is Spark's xxhash64 of the text and tells rows of one doc_id apart; ``group`` names the component, also where
+    two have the same smallest doc_id (null for a row without shingles).
 
     Texts are linked if intersection / union of their shingle sets is at least ``similarity`` (a fraction of two
     integers). ``matches`` is by default the largest count that a linked pair misses with a chance below 2e-7.
@@ -119,7 +122,7 @@ def near_duplicates(
                 sizes.append(len(shingles))
                 nodes.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                 sigs.append(make(shingles).tobytes())
-            yield _table([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n", "node", "sig"])
+            yield _table([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "tag", "n", "node", "sig"])
 
     def count(iterator):
         for batch in iterator:
@@ -138,7 +141,7 @@ def near_duplicates(
         return run
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = written(rows.mapInArrow(sign, "doc_id long, n long, node binary, sig binary"), "signatures")
+    signed = written(rows.withColumn("tag", F.xxhash64("text")).mapInArrow(sign, "doc_id long, tag long, n long, node binary, sig binary"), "signatures")
     nodes = written(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("lead"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
 
     # How often the frequent keys occur, as a fixed number of slots: any function of the key gives a valid prefix order.
@@ -242,16 +245,30 @@ def near_duplicates(
     links = links.union(confirmed(cross, open_))
 
     found = components(links).join(nodes.select("node", "lead"), "node")
-    named = found.join(found.groupBy("root").agg(F.min("lead").alias("component_id")), "root").select("node", "component_id")
-    named = nodes.select("node", "lead").join(named, "node", "left").select("node", F.coalesce("component_id", "lead").alias("component_id"))
-    full = signed.where("n > 0").select("doc_id", "n", "node").join(named, "node").select("doc_id", "n", "component_id")
-    out = full.union(signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = found.join(found.groupBy("root").agg(F.min("lead").alias("component_id")), "root").select("node", "component_id", "root")
+    named = nodes.select("node", "lead").join(named, "node", "left").select("node", F.coalesce("component_id", "lead").alias("component_id"), F.coalesce("root", "node").alias("group"))
+    full = signed.where("n > 0").select("doc_id", "n", "tag", "node").join(named, "node").select("doc_id", "n", "component_id", "tag", "group")
+    out = full.union(signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "tag", F.lit(None).cast("binary")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "tag", "group")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without near duplicates: of each group the rows of its smallest doc_id, and of those one.
+
+    Rows without words are groups of their own; rows that repeat doc_id and text stay once. All columns stay.
+    """
+    keys = near_duplicates(docs, **options).where("kept").groupBy("doc_id", "tag", "group").count()
+    keys = written(keys.groupBy("doc_id", F.coalesce("group", F.col("tag").cast("string").cast("binary")).alias("group")).agg(F.min("tag").alias("tag"), F.max("count").alias("rows")), "kept")
+    keys = keys.groupBy(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")).agg(F.max("rows").alias("__rows"))
+    kept = docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__tag")))
+    if keys.where("__rows > 1").head(1):
+        kept = kept.dropDuplicates(["__doc", "__tag"])
+    return kept.select(*[kept[c] for c in docs.columns])
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """Groups of all documents: three-word shingles, similarity of 0.85 or more."""
-    return near_duplicates(documents(spark, sf_dir), similarity=(17, 20), width=3)
+    return near_duplicates(documents(spark, sf_dir), similarity=(17, 20), width=3).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP2_SQL = r"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import OP8_SQL, op8_decontamination
 from .fingerprints import op3_fingerprints
 from .language_id import op9_language_id
 from .near_duplicates import OP2_SQL, op2_near_duplicates
@@ -20,7 +21,8 @@ QUERIES = {
     "op5_warc_revisits": op5_warc_revisits,
     "op6_url_filter": op6_url_filter,
     "op7_token_counts": op7_token_counts,
+    "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
     "op10_repeated_spans": op10_repeated_spans,
 }
-ORACLES: dict[str, str] = {"op2_near_duplicates": OP2_SQL, "op5_warc_revisits": OP5_SQL, "op10_repeated_spans": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_near_duplicates": OP2_SQL, "op5_warc_revisits": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_repeated_spans": OP10_SQL}

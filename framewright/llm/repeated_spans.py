@@ -109,7 +109,7 @@ def _kgrams(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def remove_repeated(
-    docs: DataFrame, *, window: int = 50, k: int = 8, slots: int = 1 << 20, block: int = 1024, doc_id: str = "doc_id", text: str = "text",
+    docs: DataFrame, *, window: int = 50, k: int = 8, slots: int = 1 << 20, block: int = 1024, doc_id: str = "doc_id", text: str = "text", carry: bool = False,
 ) -> DataFrame:
     """A row per row of ``docs``: doc_id, text (kept words joined by one space), n_words, n_removed, spans.
 
@@ -117,7 +117,7 @@ def remove_repeated(
     sequence that also starts in a document with a smaller doc_id; windows are judged on the input. Words
     are ``[^\\x20\\x09-\\x0D]+`` of the whole text, unchanged; null and empty texts have none, and texts of
     fewer words than the window lose none. Rows that share a doc_id (repeated rows) aren't smaller than each other; rows without a
-    doc_id take no part. Other columns are ignored.
+    doc_id take no part. Other columns are ignored, or with ``carry`` kept beside __text, __n_words, __n_removed, __spans.
     """
     reach = window - k + 1
 
@@ -214,8 +214,8 @@ def remove_repeated(
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["anchor", "piece", "off", "len", "owner"])
 
     def strip(iterator):
-        for batch in batches(iterator, "text"):
-            words, spans = Words(batch.column(1)), batch.column(2)
+        for batch in batches(iterator, "__text"):
+            words, spans = Words(batch.column(batch.num_columns - 2)), batch.column(batch.num_columns - 1)
             edges = np.asarray(spans.offsets).astype(np.int64)
             flat = spans.flatten()
             row = np.repeat(np.arange(batch.num_rows), np.diff(edges))
@@ -237,11 +237,10 @@ def remove_repeated(
                 texts.append(b" ".join([raw[starts[w] : stops[w]] for w in kept.tolist()]).decode("utf-8", "replace"))
                 turn = np.flatnonzero(np.diff(np.concatenate([[False], gone[x:y], [False]]).astype(np.int8)))
                 cuts.append(list(zip(turn[::2].tolist(), (turn[1::2] - turn[::2]).tolist())))
-            edges = words.edges
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(texts), pa.array(np.diff(edges)), pa.array(removed[edges[1:]] - removed[edges[:-1]]), pa.array([[{"at": p, "words": q} for p, q in c] for c in cuts], pa.list_(pa.struct([("at", pa.int64()), ("words", pa.int64())])))],
-                names=["doc_id", "text", "n_words", "n_removed", "spans"],
-            )
+            edges, count = words.edges, batch.num_columns - 2
+            spans = pa.array([[{"at": p, "words": q} for p, q in c] for c in cuts], pa.list_(pa.struct([("at", pa.int64()), ("words", pa.int64())])))
+            columns = [*batch.columns[:count], pa.array(texts, pa.string()), pa.array(np.diff(edges)), pa.array(removed[edges[1:]] - removed[edges[:-1]]), spans]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:count], "__text", "__n_words", "__n_removed", "__spans"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
     counts = rows.select("text").mapInArrow(frequent, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
@@ -269,10 +268,29 @@ def remove_repeated(
 
     covered = pieces.join(written(found, "first-occurrences"), ["anchor", "piece"]).where("owner < doc_id")
     covered = covered.select("doc_id", "tag", (F.col("at") + F.col("off")).alias("at"), F.col("len").alias("n"))
-    covered = covered.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n")).alias("covered"))
+    covered = covered.groupBy(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")).agg(F.collect_list(F.struct("at", "n")).alias("__covered"))
     none = F.array().cast("array<struct<at:int,n:int>>")
-    judged = rows.join(covered, ["doc_id", "tag"], "left").select("doc_id", "text", F.coalesce("covered", none).alias("covered"))
-    return judged.mapInArrow(strip, "doc_id long, text string, n_words long, n_removed long, spans array<struct<at:long,words:long>>")
+    own = docs.withColumn("__text", F.col(text).cast("string"))
+    found = own.join(covered, (F.col(doc_id).cast("long") == F.col("__doc")) & (F.xxhash64("__text") == F.col("__tag")), "left")
+    found = found.select(*([F.col(doc_id).cast("long").alias("doc_id")] if not carry else docs.columns), F.col("__text").alias("__text"), F.coalesce("__covered", none).alias("__covered"))
+    made = "__text string, __n_words long, __n_removed long, __spans array<struct<at:long,words:long>>"
+    out = found.mapInArrow(strip, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields[:-2]] + [made]))
+    if carry:
+        return out
+    return out.select("doc_id", F.col("__text").alias("text"), F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__spans").alias("spans"))
+
+
+def without_repeats(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with repeated words gone: a text that loses words is its kept words joined by one space, others stay as they are.
+
+    A row that loses all its words goes; a column ``n_chars`` follows the text. All other columns stay.
+    """
+    out = remove_repeated(docs, carry=True, **options).where("__n_removed = 0 OR __n_removed < __n_words")
+    lost = F.col("__n_removed") > 0
+    changed = {"text": F.when(lost, F.col("__text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(lost, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumns(changed).select(*docs.columns)
 
 
 def op10_repeated_spans(spark, sf_dir: str) -> DataFrame:

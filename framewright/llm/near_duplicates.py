@@ -96,7 +96,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, *, similarity: tuple[int, int] = (4, 5), width: int = 5, coordinates: int = 64, matches: int | None = None,
-    doc_id: str = "doc_id", text: str = "text", slots: int = 1 << 20,
+    doc_id: str = "doc_id", text: str = "text", block: int = 1024, slots: int = 1 << 20,
 ) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id of the group), kept, tag, group.
 
@@ -198,13 +198,58 @@ def near_duplicates(
     star = written(star, "star-pairs")
     links = confirmed(star, shingles_of(star.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))))
 
-    # What is left are lists that hold several components. Among their members, pairs of different components are
-    # found by the rarest shingles of their full sets: sets that reach the similarity share one of the
-    # n - ceil(n * similarity) + 1 rarest, and the places of the first shared one bound what they can share.
-    rooted = shared.select("key", "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # What is left are lists that hold several components. A member that agrees often enough with one of another
+    # component stays open; lists are compared in pairs of blocks, on a byte of each coordinate, and only members come out.
+    def left_open(iterator):
+        def members(group):
+            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+            part, n = group.column("part").to_numpy(), group.column("n").to_numpy()
+            _, root = np.unique(np.array([r.hex() for r in group.column("root").to_pylist()]), return_inverse=True)
+            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, coordinates)
+            own, other, hit = np.flatnonzero(part == i), np.flatnonzero(part == j), np.zeros(len(n), bool)
+            for k in range(0, len(own), 32):
+                a = own[k : k + 32]
+                ok = (sig[a][:, None, :] == sig[other][None, :, :]).sum(axis=2) >= matches
+                ok &= (root[a][:, None] != root[other][None, :]) & (np.minimum(n[a][:, None], n[other][None, :]) * den >= np.maximum(n[a][:, None], n[other][None, :]) * num)
+                hit[a] |= ok.any(axis=1)
+                hit[other] |= ok.any(axis=0)
+            return np.flatnonzero(hit)
+
+        def run(table, last):
+            key = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+            edges = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
+            stop = len(edges) - 1 if last else len(edges) - 2
+            rows = [a + members(table.slice(a, b - a)) for a, b in zip(edges[:stop].tolist(), edges[1 : stop + 1].tolist()) if b - a > 1]
+            found = table.select(["node", "root"]).take(pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
+            return found.combine_chunks().to_batches(), (None if last else table.slice(edges[-2]))
+
+        held = None
+        for batch in iterator:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
+            if table.num_rows:
+                found, held = run(table, False)
+                yield from found
+        if held is not None and held.num_rows:
+            yield from run(held, True)[0]
+
+    def bytes_of(iterator):
+        for batch in iterator:
+            sig = _signatures(batch, coordinates).astype(np.uint8)
+            yield _table([batch.column(0), pa.array([s.tobytes() for s in sig], pa.binary())], ["node", "sig"])
+
+    rooted = shared.select("key", "node", "n").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = written(rooted, "rooted-postings")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_ = shingles_of(rooted.join(mixed, "key").select("node", "root").distinct())
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
+    rooted = rooted.join(mixed.select("key", F.ceil(F.col("m") / block).cast("int").alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rooted = rooted.join(nodes.select("node", "sig").mapInArrow(bytes_of, "node binary, sig binary"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rooted = rooted.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "root", "n", "sig")
+    undone = rooted.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(left_open, "node binary, root binary").distinct()
+
+    # Among the open nodes, pairs of different components are found by the rarest shingles of their full sets: sets that
+    # reach the similarity share one of the n - ceil(n * similarity) + 1 rarest, and the places of the first shared
+    # one bound what they can share.
+    open_ = shingles_of(undone)
 
     def frequent(iterator):
         """Slots that hold over twice the mean of this task's shingles."""

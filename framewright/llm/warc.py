@@ -94,11 +94,12 @@ def write_archives(
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = records.select(F.col(key).cast("long").alias("key"), F.col(uri).cast("string").alias("uri"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    large = F.octet_length("payload") >= least_bytes
-    first = rows.where(large & F.col("key").isNotNull()).groupBy("digest").agg(F.min(F.struct("key", "uri")).alias("first"))
-    found = rows.where(large).join(first, "digest", "left").select("key", "uri", "payload", "digest", "first")
-    small = rows.where(~large).select("key", "uri", "payload", "digest", F.lit(None).cast("struct<key:long,uri:string>").alias("first"))
-    found = found.withColumn("first", F.when(~F.col("key").eqNullSafe(F.col("first.key")), F.col("first")))
+    # Headers alone are shuffled by digest; payloads only meet the revisits found among them.
+    heads = rows.where(F.octet_length("payload") >= least_bytes).select("key", "uri", "digest")
+    first = heads.where("key IS NOT NULL").groupBy("digest").agg(F.min(F.struct("key", "uri")).alias("first"))
+    revisits = heads.join(first, "digest").where(~F.col("key").eqNullSafe(F.col("first.key"))).select(*[F.col(c).alias(f"r_{c}") for c in ("key", "uri", "digest")], "first").distinct()
+    same = F.col("key").eqNullSafe(F.col("r_key")) & F.col("uri").eqNullSafe(F.col("r_uri")) & F.col("digest").eqNullSafe(F.col("r_digest"))
+    found = rows.join(revisits, same, "left").select("key", "uri", "payload", "digest", "first")
 
     def write(iterator):
         part, seq, members, held = partition_id(), 0, [], 0
@@ -121,9 +122,8 @@ def write_archives(
         if members:
             yield flush()
 
-    # Rows are dealt and ordered by content, so that a task that runs again writes the same files.
-    dealt = found.union(small).repartition(F.xxhash64("key", "uri")).sortWithinPartitions("key", "uri", "digest")
-    return written(dealt.mapInArrow(write, MANIFEST), "warc-manifest")
+    # Ordered by content, so that a task that runs again writes the same files.
+    return written(found.sortWithinPartitions("key", "uri", "digest").mapInArrow(write, MANIFEST), "warc-manifest")
 
 
 def read_archives(spark, folder: str) -> DataFrame:

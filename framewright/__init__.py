@@ -1,0 +1 @@
+"""Signal framing, quantisation and entropy coding as Spark jobs."""

@@ -168,14 +168,12 @@ def fingerprint_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     rows = rows.withColumn("bucket", F.coalesce(-place, F.lit(1)).cast("long"))
 
     # The first row of each range: as many rows as there are ranges.
-    heads = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", -F.col("h").cast("decimal(20,0)"))).alias("x")).select("bucket", "x.doc_id").orderBy("bucket").collect()
-    first_h = rows.groupBy("bucket", "doc_id").agg(F.min("h").alias("h"))
-    names = [r.bucket for r in heads]
-    schema = "bucket long, doc_id long, before long"
-    ahead = spark.createDataFrame([(r.bucket, r.doc_id, names[k - 1]) for k, r in enumerate(heads)], schema)
-    ahead = ahead.join(first_h, (ahead.bucket == first_h.bucket) & ahead.doc_id.eqNullSafe(first_h.doc_id)).select(ahead.bucket.alias("own"), ahead.doc_id.alias("head_id"), "before", first_h.h.alias("head_h"))
+    heads = rows.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).orderBy("bucket").collect()
+    ahead = spark.createDataFrame([(r.bucket, r.doc_id, heads[k - 1].bucket) for k, r in enumerate(heads)], "own long, head_id long, before long")
+    tied = rows.join(F.broadcast(ahead), (F.col("bucket") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("head_id")))
+    ahead = tied.groupBy("own", "head_id", "before").agg(F.min("h").alias("head_h"))
     head = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h"))
-    marked = rows.join(F.broadcast(ahead), rows.bucket == F.col("own"))
+    marked = rows.join(F.broadcast(ahead), F.col("bucket") == F.col("own"))
     copies = F.when(head, F.array(F.struct("bucket", F.lit(0).alias("extra")), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("extra")))).otherwise(F.array(F.struct("bucket", F.lit(0).alias("extra"))))
     dealt = marked.select("doc_id", "text", "h", F.explode(copies).alias("x")).select("x.bucket", "x.extra", "doc_id", "text", "h")
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), "h")

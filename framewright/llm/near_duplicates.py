@@ -80,7 +80,7 @@ def _keys(signatures: np.ndarray) -> np.ndarray:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node, from links (a, b): alternating large-star and small-star rounds.
 
-    Each round is joins and minima, written to the shared folder; only a count comes to the driver.
+    Each round is joins and minima, written to the shared folder; only one row comes to the driver.
     """
     edges = written(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v <> m").distinct(), "links")
     while True:
@@ -90,7 +90,9 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("m").alias("low"))
         small = large.join(least, "v").select(F.explode(F.array(F.struct("v", F.col("low").alias("m")), F.struct(F.col("m").alias("v"), F.col("low").alias("m"))))).select("col.*").where("v <> m").distinct()
         edges = written(small, "links")
-        if not edges.select("v").intersect(edges.select("m")).head(1) and edges.count() == edges.select("v").distinct().count():
+        # Done when no node has two roots and no root has a root.
+        ends = edges.select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("root")), F.struct(F.col("m").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("root")))).alias("e")).select("e.*")
+        if not ends.groupBy("x").agg(F.sum("child").alias("c"), F.max("root").alias("r")).where("c > 1 OR (c > 0 AND r > 0)").head(1):
             return edges.select(F.col("v").alias("node"), F.col("m").alias("root")).union(edges.select("m", "m").distinct())
 
 

@@ -138,7 +138,8 @@ def near_duplicates(
                 rank = (often[(keys & np.uint64(slots - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (keys >> np.uint64(24))
                 rarest = np.argpartition(rank, prefix - 1, axis=1)[:, :prefix]
                 row = np.repeat(np.arange(batch.num_rows), prefix)
-                yield _table([pa.array(np.take_along_axis(keys, rarest, 1).ravel().view(np.int64)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], ["key", "node", "n"])
+                row = pa.array(row)
+                yield _table([pa.array(np.take_along_axis(keys, rarest, 1).ravel().view(np.int64)), *(batch.column(c).take(row) for c in range(3))], ["key", "node", "n", "lead"])
 
         return run
 
@@ -152,10 +153,11 @@ def near_duplicates(
     often = np.zeros(slots, np.uint32)
     often[slot["slot"].to_numpy()] = np.minimum(slot["n"].to_numpy(), 2**23)
     seen = docs.sparkSession.sparkContext.broadcast(often)
-    postings = written(nodes.select("node", "n", "sig").mapInArrow(posts(seen), "key long, node binary, n long"), "postings")
+    postings = written(nodes.select("node", "n", "lead", "sig").mapInArrow(posts(seen), "key long, node binary, n long, lead long"), "postings")
 
-    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "n")).alias("pivot")).where("members > 1")
-    shared = written(postings.join(lists, "key"), "shared-postings")
+    # The pivot is the earliest document: near copies are closer to their original than to each other.
+    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("lead", "node", "n")).alias("pivot")).where("members > 1")
+    shared = written(postings.drop("lead").join(lists, "key"), "shared-postings")
     near = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
 
     def counted_pairs(iterator):

@@ -134,11 +134,17 @@ def train(docs: DataFrame, *, text: str = "text", label: str = "lang", per_label
     total = max(1, int(n[slot < 0].sum()))
     idf = (np.log((1 + total) / (1 + seen)) + 0.1).astype(np.float32)
 
-    names = sorted(r[0] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(labels).collect())
+    most = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(labels).collect()
+    names = sorted(r[0] for r in most)
+    # Only rows of so low a text hash that about four times the sample is left get ranked; equal texts are one
+    # before the shuffle. So what a label's ranking reads is bounded, however many rows there are.
+    bound = {r[0]: min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 4 * per_label / r[1]))) for r in most}
+    limit = F.create_map(*[F.lit(x) for pair in bound.items() for x in pair]) if bound else F.create_map().cast("map<string,bigint>")
     from pyspark.sql import Window as W
 
-    rank = F.row_number().over(W.partitionBy("label").orderBy("h", "text"))
-    sample = rows.where(F.col("label").isin(names)).withColumn("h", F.xxhash64("text")).withColumn("rank", rank).where(F.col("rank") <= per_label).select("label", "h", "text")
+    low = rows.withColumn("h", F.xxhash64("text")).where(F.col("h") <= limit[F.col("label")]).groupBy("label", "h").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(W.partitionBy("label").orderBy("h"))
+    sample = low.withColumn("rank", rank).where(F.col("rank") <= per_label).select("label", "h", "text")
 
     def featurise(iterator):
         for batch in batches(iterator, "text"):

@@ -77,6 +77,17 @@ n AS (SELECT *, coalesce(a, 48000) AS samples, coalesce(b, 47520) AS stride, (to
 SELECT o_orderkey, samples, stride, samples <> 0 AND stride <> 0 AS valid, CASE WHEN (total + 47519) // 47520 = k THEN 47520::BIGINT WHEN (total + 63997) // 63998 = k THEN 63998 WHEN (total + 86399) // 86400 = k THEN 86400 END AS inferred FROM n""",
     "preset_lookup": """WITH l AS (SELECT CASE WHEN l_linenumber > 1 THEN 6 + l_orderkey % 7 + l_linenumber / 4000.0::DOUBLE - 0.0005 END AS kbps, CASE WHEN l_suppkey % 4 > 0 THEN 1325.0::DOUBLE + l_partkey % 500 END AS ms FROM lineitem)
 SELECT CASE WHEN kbps IS NULL OR abs(kbps - 6.0) <= 0.001 THEN 6 WHEN abs(kbps - 12.0) <= 0.001 THEN 12 END AS kbps, CASE WHEN ms IS NULL OR abs(ms - 1333) <= 5 OR abs(ms - 1333.3::DOUBLE) <= 5 THEN 1333 WHEN abs(ms - 1800) <= 5 THEN 1800 END AS ms, count(*) AS n FROM l GROUP BY 1, 2""",
+    "padded_segments": f"WITH {SIGNAL}, {SEGS}, {MEMBERS}, g AS (SELECT track, start // {STRIDE} AS seg, least({SAMPLES}, total - start) AS n, unnest(generate_series(0, {SAMPLES - 1})) AS place FROM segs) SELECT g.track, g.seg, g.n, g.place, coalesce(m.v, 0) AS v FROM g LEFT JOIN members m ON m.track = g.track AND m.seg = g.seg AND m.place = g.place",
+    "reflect_padded": "WITH p AS (SELECT vec_id, unnest(generate_series(0, 71)) AS place, embedding AS e FROM embeddings) SELECT vec_id, place, (CASE WHEN place < 3 THEN e[4 - place] WHEN place < 67 THEN e[place - 2] ELSE e[130 - place] END)::DOUBLE AS x FROM p",
+    "layer_norms": f"WITH {COMPONENTS} SELECT vec_id, bin AS place, round((raw - avg(raw) OVER w) / sqrt(var_pop(raw) OVER w + 1e-5), 8) AS x FROM x WINDOW w AS (PARTITION BY vec_id)",
+    "activations": f"WITH {COMPONENTS} SELECT vec_id, bin, round(CASE WHEN x > 0 THEN x ELSE exp(x) - 1 END, 9) AS elu, round(1 / (1 + exp(-x)), 9) AS sigmoid, round(tanh(x), 9) AS tanh FROM x",
+    "cdf_digests": f"WITH {CDF} SELECT id, sha256(string_agg(cdf::VARCHAR, ',' ORDER BY bin)) AS digest FROM cdf GROUP BY id",
+    "joined_assets": "SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS bytes, sha256(coalesce(html, '')) AS digest FROM pages",
+    "suffix_order": "WITH p AS (SELECT p_partkey, p_type, nullif(regexp_extract(p_brand, '([0-9]+)$', 1), '')::BIGINT AS number FROM part) SELECT p_partkey, number, row_number() OVER (PARTITION BY p_type ORDER BY number NULLS FIRST, p_partkey) AS place FROM p",
+    "cache_keys": "SELECT o_orderkey, sha256('{\"sha\":' || o_orderkey || ',\"format\":\"' || o_orderpriority || '\",\"frame_ms\":20}') AS key FROM orders",
+    "bundle_getters": """WITH p AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 3 = 0 THEN p_size END AS bits, CASE WHEN p_partkey % 2 = 0 THEN 2048 END AS book, CASE WHEN p_partkey % 5 = 0 THEN 512 END AS model FROM part)
+SELECT p_partkey, coalesce(bits, floor(log2(coalesce(book, model, 1024)) + 1e-9))::BIGINT AS bits, coalesce(model, book, 1024)::BIGINT AS cardinality, greatest(coalesce(CASE WHEN p_size > 25 THEN p_size / 10.0::DOUBLE END, 1 / 64.0::DOUBLE), 2.0999999046325684::DOUBLE) AS step FROM p""",
+    "buffer_lookup": "WITH a AS (SELECT o_orderkey AS k, unnest(generate_series(1, o_orderkey % 4 + 1))::INT AS n FROM orders), b AS (SELECT l_orderkey AS k, l_linenumber AS n, max(l_quantity) AS quantity FROM lineitem GROUP BY 1, 2) SELECT k, n, quantity, quantity IS NULL AS missing FROM a LEFT JOIN b USING (k, n)",
     "streamed_frames": "SELECT conv_id, octet_length(encode(coalesce(text, '')))::BIGINT AS payload_bytes, sha256(coalesce(text, '')) AS payload_sha256 FROM conversations",
     "streamed_totals": "WITH d AS (SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT strftime(day, '%Y-%m-%d') AS day, event_type, n FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
 }

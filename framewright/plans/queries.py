@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import layout, naming, octets, quantise
-from ..operators import containers, entropy, framing, ledger, measures, probability, vectors
+from ..operators import arrays, containers, entropy, framing, ledger, measures, probability, vectors
 from ..streaming import chunks as streams
 from .store import scratch
 
@@ -291,6 +291,67 @@ def preset_lookup(spark, sf):
     return table(spark, sf, "lineitem").groupBy(layout.bandwidth_preset(kbps).alias("kbps"), layout.chunk_preset(ms).alias("ms")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def padded_segments(spark, sf):
+    padded = arrays.framed_arrays(framing.membership(signal(spark, sf), SAMPLES, STRIDE), SAMPLES)
+    return padded.select("track", "seg", "n", F.posexplode("pcm").alias("place", "v")).select("track", "seg", "n", F.col("place").cast("long").alias("place"), "v")
+
+
+def reflect_padded(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.posexplode(arrays.reflect_pad(F.col("embedding"), 3, 5)).alias("place", "x"))
+    return e.select("vec_id", F.col("place").cast("long").alias("place"), F.col("x").cast("double").alias("x"))
+
+
+def layer_norms(spark, sf):
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    e = table(spark, sf, "embeddings").select("vec_id", F.posexplode(arrays.layer_norm(x)).alias("place", "x"))
+    return e.select("vec_id", F.col("place").cast("long").alias("place"), F.round("x", 8).alias("x"))
+
+
+def activations(spark, sf):
+    x = F.col("x")
+    return components(spark, sf).select("vec_id", "bin", F.round(quantise.elu(x), 9).alias("elu"), F.round(quantise.sigmoid(x), 9).alias("sigmoid"), F.round(F.tanh(x), 9).alias("tanh"))
+
+
+def cdf_digests(spark, sf):
+    return cdfs(spark, sf).select("id", F.sha2(F.array_join(F.transform("cdf", lambda c: c.cast("string")), ","), 256).alias("digest"))
+
+
+def joined_assets(spark, sf):
+    size = 1000
+    p = table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("data"))
+    count = F.greatest(F.lit(1), layout.ceil_div(F.octet_length("data"), size).cast("int"))
+    parts = p.select("page_id", "data", F.explode(F.sequence(F.lit(0), count - 1)).alias("part")).select("page_id", "part", F.substring("data", F.col("part") * size + 1, F.lit(size)).alias("data"))
+    whole = arrays.joined_parts(parts, "page_id", "part", "data")
+    return whole.select("page_id", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("digest"))
+
+
+def suffix_order(spark, sf):
+    p = table(spark, sf, "part")
+    place = F.row_number().over(W.partitionBy("p_type").orderBy(arrays.numeric_suffix(F.col("p_brand")), "p_partkey"))
+    return p.select("p_partkey", arrays.numeric_suffix(F.col("p_brand")).alias("number"), place.cast("long").alias("place"))
+
+
+def cache_keys(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select("o_orderkey", naming.cache_key(F.col("o_orderkey").alias("sha"), F.col("o_orderpriority").alias("format"), F.lit(20).alias("frame_ms")).alias("key"))
+
+
+def bundle_getters(spark, sf):
+    p = table(spark, sf, "part")
+    bits = F.when(F.col("p_partkey") % 3 == 0, F.col("p_size"))
+    book, model = F.when(F.col("p_partkey") % 2 == 0, F.lit(2048)), F.when(F.col("p_partkey") % 5 == 0, F.lit(512))
+    step = F.when(F.col("p_size") > 25, F.col("p_size") / 10.0)
+    return p.select("p_partkey", layout.bits_per_codebook(bits, book, model).alias("bits"), layout.model_cardinality(book, model).alias("cardinality"), layout.entropy_logit_step(step, F.lit(None).cast("double")).alias("step"))
+
+
+def buffer_lookup(spark, sf):
+    """Each order's line numbers looked up among its lines: those that are missing stand with a null."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), "l_quantity")
+    asked = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.explode(F.sequence(F.lit(1), (F.col("o_orderkey") % 4 + 1).cast("int"))).alias("n"))
+    best = lines.groupBy("k", "n").agg(F.max("l_quantity").alias("quantity"))
+    return asked.join(best, ["k", "n"], "left").select("k", "n", "quantity", F.col("quantity").isNull().alias("missing"))
+
+
 def streamed_frames(spark, sf):
     rows = streams.stream(spark, f"{sf}/conversations.parquet")
     out = streams.framed(rows, "conv_id", F.coalesce(F.col("text"), F.lit("")).cast("binary"))
@@ -310,5 +371,6 @@ QUERIES = {f.__name__: f for f in (
     recon_error, pcm16_quantise, weight_rows_quantise, rvq_encode, rvq_decode, quantised_softmax, near_uniform_columns, cdf_allocation, cdf_symbol_lookup,
     lm_window_inputs, arith_roundtrip, arith_code_lengths, container_inspect, container_headers, chunk_frame_bytes, size_report, bitpack_roundtrip,
     stable_hash, slugify, format_normalise, metadata_json, job_anti_join, job_cached, job_counters, repeated_payloads, op_histogram, layout_from_ms,
-    layout_resolution, preset_lookup, streamed_frames, streamed_totals,
+    layout_resolution, preset_lookup, padded_segments, reflect_padded, layer_norms, activations, cdf_digests, joined_assets, suffix_order, cache_keys,
+    bundle_getters, buffer_lookup, streamed_frames, streamed_totals,
 )}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import tempfile
 import uuid
 
@@ -55,8 +56,15 @@ def write_file(uri: str, blob: bytes) -> None:
     fs.move(part, path)
 
 
-def batches(iterator, column: str, limit: int = 4 << 20):
-    """Record batches cut so that ``column`` (string or binary) holds about ``limit`` bytes at most."""
+def batches(iterator, column: str, limit: int = 1 << 20, tokenizing: bool = False):
+    """Record batches cut so that ``column`` (string or binary) holds about ``limit`` bytes at most.
+
+    Python workers serve one operator after another: unless ``tokenizing``, the caches that a tokenizing task left
+    in this worker are given back first.
+    """
+    held = sys.modules.get("framewright.llm.tokenizing")
+    if held and not tokenizing:
+        held.release()
     for batch in iterator:
         if not batch.num_rows:
             continue

@@ -153,11 +153,13 @@ def near_duplicates(
     often = np.zeros(slots, np.uint32)
     often[slot["slot"].to_numpy()] = np.minimum(slot["n"].to_numpy(), 2**23)
     seen = docs.sparkSession.sparkContext.broadcast(often)
-    postings = written(nodes.select("node", "n", "lead", "sig").mapInArrow(posts(seen), "key long, node binary, n long, lead long"), "postings")
-
+    # Postings are cheaper to make again than to keep: first the keys that several nodes have, by counts alone.
+    post = nodes.select("node", "n", "lead", "sig").mapInArrow(posts(seen), "key long, node binary, n long, lead long")
+    several = post.select("key").groupBy("key").count().where("count > 1").select("key")
+    members = written(post.join(several, "key"), "shared-postings")
     # The pivot is the earliest document: near copies are closer to their original than to each other.
-    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("lead", "node", "n")).alias("pivot")).where("members > 1")
-    shared = written(postings.drop("lead").join(lists, "key"), "shared-postings")
+    lists = members.groupBy("key").agg(F.min(F.struct("lead", "node", "n")).alias("pivot"))
+    shared = members.drop("lead").join(lists, "key")
     near = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
 
     def counted_pairs(iterator):
@@ -242,7 +244,7 @@ def near_duplicates(
             sig = _signatures(batch, coordinates).astype(np.uint8)
             yield _table([batch.column(0), pa.array([s.tobytes() for s in sig], pa.binary())], ["node", "sig"])
 
-    rooted = shared.select("key", "node", "n").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = members.select("key", "node", "n").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = written(rooted, "rooted-postings")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
     rooted = rooted.join(mixed.select("key", F.ceil(F.col("m") / block).cast("int").alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))

@@ -102,7 +102,7 @@ def pack_documents(
             made += len(sums)
             return _batch(ids, node, sums, final, members)
 
-        for batch in batches(iterator, "text"):
+        for batch in batches(iterator, "text", 4 << 20, tokenizing=True):
             flat, offsets = coder.encode(batch.column(1), end_id)
             size = np.diff(offsets)
             pieces = -(-size // capacity)

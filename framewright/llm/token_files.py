@@ -143,7 +143,7 @@ def write_token_files(
             doc_ids, ids, held, seq = [], [], 0, seq + 1
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 4))], names=["file", "part", "seq", "first_doc", "n_docs", "n_ids", "n_bytes"])
 
-        for batch in batches(iterator, "text"):
+        for batch in batches(iterator, "text", 4 << 20, tokenizing=True):
             flat, offsets = coder.encode(batch.column(1), end_id)
             for d, a, b in zip(batch.column(0).to_pylist(), offsets.tolist(), offsets[1:].tolist()):
                 if held and held + b - a > file_ids:

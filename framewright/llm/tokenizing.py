@@ -124,6 +124,11 @@ class WordEncoder:
 _ENCODERS: dict = {}
 
 
+def release() -> None:
+    """Forget all encoders of this worker and their caches."""
+    _ENCODERS.clear()
+
+
 def encoder(path: str) -> WordEncoder:
     """One encoder, with its cache, for each Python worker."""
     if path not in _ENCODERS:

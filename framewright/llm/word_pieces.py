@@ -99,7 +99,7 @@ def count_tokens(docs: DataFrame, pieces: list, *, mark: str = MARK, doc_id: str
         if key not in _COUNTERS:
             _COUNTERS[key] = (LongestMatch(shared.value), {})
         automaton, known = _COUNTERS[key]
-        for batch in batches(iterator, "text"):
+        for batch in batches(iterator, "text", 4 << 20):
             split = pc.ascii_split_whitespace(pc.fill_null(batch.column(1), ""))
             coded = split.flatten().dictionary_encode()
             distinct = coded.dictionary.to_pylist()

@@ -54,8 +54,8 @@ def n_gram_codes(urls: list) -> tuple[np.ndarray, np.ndarray]:
     for k in range(ORDER + 1):
         codes = codes * SIZE + padded[k : len(padded) - ORDER + k]
     own = np.ones(len(codes), bool)  # n-grams that reach from one URL into the next don't count
-    for e, _ in zip((edges[1:-1] + ORDER * np.arange(1, len(raw))).tolist(), raw):
-        own[e : e + ORDER] = False
+    for e in (edges[1:-1] + ORDER * np.arange(1, len(raw))).tolist() if raw else []:  # where the next URL begins
+        own[e - ORDER : e] = False
     return codes[own], edges
 
 

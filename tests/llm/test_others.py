@@ -206,6 +206,23 @@ def greedy(word, pieces, longest=20):
     return total
 
 
+def test_n_grams_do_not_depend_on_neighbours(spark):
+    assert url_filter.n_gram_codes(["ab", "cdefg"])[0].tolist()[3:] == url_filter.n_gram_codes(["cdefg"])[0].tolist()
+    urls = ["ab", "cdefg", "", None, "x", "https://a.b/c?d=1", "é", "", "zz9"]
+    alone = {u: url_filter.n_gram_codes([u])[0].tolist() for u in urls}
+    for order in (urls, urls[::-1], sorted(urls, key=str)):
+        codes, edges = url_filter.n_gram_codes(order)
+        assert [codes[a:b].tolist() for a, b in zip(edges[:-1].astype(int), edges[1:].astype(int))] == [alone[u] for u in order]
+
+    # So a score doesn't change with the rows of its batch either.
+    rows = [(k, f"https://{'ok' if k % 2 else 'no'}.com/{'abc' if k % 2 else 'xyz'}{k * 7919 % 997}") for k in range(200)] + [(200 + k, u) for k, u in enumerate(urls)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    rules = [("allow", "ok.com", ""), ("block", "no.com", "")]
+    one = url_filter.url_verdicts(df.coalesce(1).orderBy("page_id"), rules).collect()
+    many = url_filter.url_verdicts(df.repartition(7), rules).collect()
+    assert sorted(one) == sorted(many)
+
+
 # --- decontamination
 
 

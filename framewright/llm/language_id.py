@@ -109,11 +109,45 @@ class Model:
         return self.labels[best], float(min(1.0, p[best]))
 
 
+def _lettered(rows: DataFrame, texts: bool) -> DataFrame:
+    """The rows (label, h, text) whose text has a letter; without the text unless ``texts``."""
+    def run(iterator):
+        for batch in batches(iterator, "text"):
+            batch = batch.filter(pa.array([has_letter(t) for t in batch.column(2).to_pylist()], pa.bool_()))
+            yield batch if texts else batch.select(["label", "h"])
+
+    return rows.mapInArrow(run, "label string, h long, text string" if texts else "label string, h long")
+
+
+def _hash_bounds(rows: DataFrame, names: list, per_label: int) -> dict:
+    """For each of the labels ``names``, a text hash that at least ``per_label`` distinct texts with a letter don't exceed (if it has so many), and few more.
+
+    Distinct hashes are counted by how far they are above the lowest hash, in eight steps to each power of two: at most
+    some 500 sums a label reach the driver.
+    """
+    above = F.col("h").cast("double") + 2.0**63 + 1
+    slot = F.floor(F.log2(above) * 8).cast("int")
+    distinct = _lettered(rows.where(F.col("label").isin(names)).select("label", F.xxhash64("text").alias("h"), "text"), False).distinct()
+    found: dict = {}
+    for r in distinct.groupBy("label", slot.alias("slot")).count().collect():
+        found.setdefault(r.label, []).append((r.slot, r["count"]))
+    out = {}
+    for name in names:
+        total, out[name] = 0, 2**63 - 1
+        for at, n in sorted(found.get(name, [])):
+            total += n
+            if total >= per_label:
+                # The edge is the next slot's begin, rounded upwards: it holds all that was counted.
+                out[name] = min(2**63 - 1, -(2**63) + int(2.0 ** ((at + 1) / 8) * (1 + 1e-9)) + 4096)
+                break
+    return out
+
+
 def train(docs: DataFrame, *, text: str = "text", label: str = "lang", per_label: int = 800, labels: int = 256, epochs: int = 3) -> Model:
     """A model from labelled rows: statistics over all of them, weights from at most ``per_label`` rows of each label.
 
-    The sample is the rows of lowest text hash of each label, so it doesn't depend on order or partitions, and equal
-    texts count once; the ``labels`` most frequent labels are learned. Rows with a null label, or a text that is null or has no letter, teach nothing.
+    The sample is the distinct texts (with a letter) of lowest hash of each label, so it doesn't depend on order, partitions
+    or copies; the ``labels`` most frequent labels are learned. Rows with a null label, or a text that is null or has no letter, teach nothing.
     """
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
 
@@ -136,13 +170,13 @@ def train(docs: DataFrame, *, text: str = "text", label: str = "lang", per_label
 
     most = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(labels).collect()
     names = sorted(r[0] for r in most)
-    # Only rows of so low a text hash that about four times the sample is left get ranked; equal texts are one
-    # before the shuffle. So what a label's ranking reads is bounded, however many rows there are.
-    bound = {r[0]: min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 4 * per_label / r[1]))) for r in most}
-    limit = F.create_map(*[F.lit(x) for pair in bound.items() for x in pair]) if bound else F.create_map().cast("map<string,bigint>")
+    limit = _hash_bounds(rows, [r[0] for r in most], per_label)
+    limit = F.create_map(*[F.lit(x) for pair in limit.items() for x in pair]) if limit else F.create_map().cast("map<string,bigint>")
     from pyspark.sql import Window as W
 
-    low = rows.withColumn("h", F.xxhash64("text")).where(F.col("h") <= limit[F.col("label")]).groupBy("label", "h").agg(F.min("text").alias("text"))
+    # Equal texts are one before the shuffle, and only the lowest hashes are ranked: a label's ranking reads
+    # little more than ``per_label`` rows, however many rows or copies there are.
+    low = _lettered(rows.select("label", F.xxhash64("text").alias("h"), "text").where(F.col("h") <= limit[F.col("label")]), True).groupBy("label", "h").agg(F.min("text").alias("text"))
     rank = F.row_number().over(W.partitionBy("label").orderBy("h"))
     sample = low.withColumn("rank", rank).where(F.col("rank") <= per_label).select("label", "h", "text")
 

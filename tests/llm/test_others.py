@@ -11,6 +11,7 @@ import pytest
 from framewright.llm import decontamination, fingerprints, language_id, near_duplicates, url_filter, warc, word_pieces
 from framewright.llm.common import shared_dir
 from framewright.llm.tokenizing import vocabulary_path
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " \n", "one", "1 2 3", "é\x0b日本語", "x" * 20000, "word " * 9000]
@@ -289,6 +290,34 @@ def test_language_of_odd_rows(spark):
     assert language_id.predict(df.limit(0), model).count() == 0
 
 
+def test_copies_do_not_shrink_the_sample(spark):
+    # 60 distinct texts to learn from and 30,000 rows of two other texts: the copies made the hash bound so low that hardly any text was below it.
+    r = random.Random(3)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(6))
+    own = {lab: [" ".join(word(letters) for _ in range(12)) for _ in range(60)] for lab, letters in (("aa", "abcdef"), ("bb", "uvwxyz"))}
+    rows = [(t, lab) for lab, texts in own.items() for t in texts]
+    copies = spark.range(30000).select(F.concat(F.lit("12 "), F.col("id") % 2).alias("text"), F.lit("aa").alias("lang"))
+    copies = copies.union(copies.select(F.lit("abc abc").alias("text"), "lang"))
+    df = spark.createDataFrame(rows, "text string, lang string").union(copies).repartition(5)
+    rows = df.withColumnRenamed("lang", "label")
+
+    def sample(n):
+        limit = language_id._hash_bounds(rows, ["aa", "bb"], n)
+        hashes = {lab: sorted(x.h for x in rows.where(F.col("label") == lab).where(F.col("text").rlike("[a-z]")).select(F.xxhash64("text").alias("h")).distinct().collect()) for lab in own}
+        return {lab: (h, [x for x in h if x <= limit[lab]]) for lab, h in hashes.items()}
+
+    for n in (1, 10, 40, 61, 800):
+        for every, below in sample(n).values():
+            assert min(n, len(every)) <= len(below) and (n < len(every) or below == every)
+    every, below = sample(10)["aa"]
+    assert len(below) < 40
+
+    held = [(k, " ".join(word(letters) for _ in range(12)), lab) for k, (lab, letters) in enumerate([("aa", "abcdef"), ("bb", "uvwxyz")] * 40)]
+    model = language_id.train(df, per_label=40)
+    got = language_id.predict(spark.createDataFrame(held, "doc_id long, text string, lang string"), model).collect()
+    assert all(r.lang_pred == held[r.doc_id][2] and r.score >= 0.5 for r in got)
+
+
 def test_one_of_each_group_stays(spark):
     texts = [f"w{k} x{k} y{k} z{k} v{k} u{k}" for k in range(6)]
     rows = [(4, texts[0], "a"), (2, texts[0], "b"), (2, texts[0], "b"), (2, texts[1], "c"), (5, None, "d"), (5, None, "d"), (6, "", "e"), (None, texts[2], "f"), (7, texts[3], None)]

@@ -13,8 +13,27 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-#: Eight words of thirteen each; no two masks leave out the same places.
+#: Eight words of thirteen each, as the SQL has them.
 MASKS = ("1101100101011", "1110010100111", "1010111001101")
+#: For windows of so many words with so many substitutions at most: (shortest, longest, substitutions, masks). Wherever the
+#: substitutions are, some mask fits somewhere in the window without one (the tests enumerate them all).
+COVERS = (
+    (20, 20, 4, ("1101111", "11101000011", "111010011")),
+    (15, 19, 3, ("1101111", "11101000011", "111010011")),
+    (10, 14, 2, ("110111", "11100011", "1101011")),
+    (8, 9, 1, ("110111", "1101101")),
+)
+
+
+def cover(length: int, substitutions: int) -> tuple:
+    """Masks of which one fits into every window of ``length`` words with at most ``substitutions`` substitutions.
+
+    Beyond the table it is the run of words that so many substitutions must leave whole somewhere.
+    """
+    for shortest, longest, most, masks in COVERS:
+        if shortest <= length <= longest and substitutions <= most:
+            return masks
+    return ("1" * max(1, -(-(length - substitutions) // (substitutions + 1))),)
 
 
 def words_of(text: Column) -> Column:
@@ -22,52 +41,47 @@ def words_of(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""), lambda w: F.xxhash64(w))
 
 
-def seeds(rows: DataFrame, masks: tuple, keep: list) -> DataFrame:
+def seeds(rows: DataFrame, masks: list, keep: list) -> DataFrame:
     """(keep columns, at, mask, seed) of every place of column ``w`` where a mask fits."""
-    span = len(masks[0])
-    n = F.size("w") - (span - 1)
-    shifted = [F.slice("w", k + 1, F.greatest(n, F.lit(0))) for k in range(span)]
-    placed = rows.where(F.size("w") >= span).select(*keep, F.posexplode(F.arrays_zip(*[c.alias(f"w{k}") for k, c in enumerate(shifted)])).alias("at", "x"))
-    hashed = [F.struct(F.lit(m).alias("mask"), F.xxhash64(F.lit(m), *[F.col("x").getField(f"w{k}") for k, one in enumerate(mask) if one == "1"]).alias("seed")) for m, mask in enumerate(masks)]
-    return placed.select(*keep, "at", F.explode(F.array(*hashed)).alias("s")).select(*keep, "at", "s.mask", "s.seed")
-
-
-def short_seeds(rows: DataFrame, lengths: list, keep: list) -> DataFrame:
-    """As :func:`seeds`, for items that are shorter than a mask: their whole lengths, without gaps."""
-    out = None
-    for n in lengths:
-        made = seeds(rows, ("1" * n,), keep).withColumn("mask", F.lit(-n))
-        out = made if out is None else out.union(made)
-    return out
+    span = max(len(m) for m in masks)
+    shifted = [F.slice("w", k + 1, F.greatest(F.size("w") - k, F.lit(0))) for k in range(span)]
+    placed = rows.where(F.size("w") >= min(len(m) for m in masks)).select(*keep, F.posexplode(F.arrays_zip(*[c.alias(f"w{k}") for k, c in enumerate(shifted)])).alias("at", "x"))
+    hashed = []
+    for mask in masks:
+        seed = F.xxhash64(F.lit(mask), *[F.col("x").getField(f"w{k}") for k, one in enumerate(mask) if one == "1"])
+        # Beyond the text's end the zipped words are null; asking its size here would split the text anew for each word.
+        hashed.append(F.when(F.col("x").getField(f"w{len(mask) - 1}").isNotNull(), F.struct(F.lit(mask).alias("mask"), seed.alias("seed"))))
+    found = placed.select(*keep, "at", F.explode(F.array(*hashed)).alias("s")).where("s IS NOT NULL")
+    return found.select(*keep, "at", "s.mask", "s.seed")
 
 
 def contaminated(
     docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    overlap: int = 20, percent: int = 80, least: int = 8, masks: tuple = MASKS, broadcast_seeds: int = 1_000_000,
+    overlap: int = 20, percent: int = 80, least: int = 8, broadcast_seeds: int = 1_000_000,
 ) -> DataFrame:
     """A row per row of ``docs``: doc_id, contaminated, items (sorted ids of the items found in it), tag.
 
-    An item is found where, lined up by a seed both have, ``overlap`` words in a row (or all words of a shorter item) agree
-    in at least ``percent`` per cent of the places. Items of fewer than ``least`` words are no evidence and are never found; items
-    shorter than a mask are found whole. Null and empty texts hold nothing, null item ids are left out. Repeated rows and rows
+    An item is found where, lined up anyhow, ``overlap`` words in a row (or all words of a shorter item) agree in at least ``percent``
+    per cent of the places; the masks for its length leave no such place out. Items of fewer than ``least`` words are no evidence and
+    are never found. Null and empty texts hold nothing, null item ids are left out. Repeated rows and rows
     that share a doc_id are each judged by their own text. Other columns are ignored; either table may be empty.
     The items' seeds are broadcast if there are at most ``broadcast_seeds``, else the join shuffles.
     """
-    spark = docs.sparkSession
-    span = len(masks[0])
     tests = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), words_of(F.col(item_text)).alias("w")).where(F.size("w") >= least)
     tests = tests.distinct()
     tagged = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
     rows = tagged.select("doc_id", "tag", words_of(F.col("text")).alias("w"))
-    short = sorted(r[0] for r in tests.where(F.size("w") < span).select(F.size("w")).distinct().collect())
-
-    want = seeds(tests, masks, ["item_id"])
-    have = seeds(rows, masks, ["doc_id", "tag"])
-    if short:
-        fit = [short_seeds(tests.where(F.size("w") == n), [n], ["item_id"]) for n in short]
-        for more in fit:
-            want = want.union(more)
-        have = have.union(short_seeds(rows, short, ["doc_id", "tag"]))
+    lengths = [r[0] for r in tests.select(F.least(F.size("w"), F.lit(overlap))).distinct().collect() if r[0]]
+    by_masks: dict = {}
+    for n in sorted(lengths):
+        by_masks.setdefault(cover(n, n * (100 - percent) // 100), []).append(n)
+    used = sorted({m for masks in by_masks for m in masks}) or ["1"]
+    need = F.least(F.size("w"), F.lit(overlap))
+    want = seeds(tests, used, ["item_id"]).limit(0) if not by_masks else None
+    for masks, sizes in by_masks.items():
+        made = seeds(tests.where(need.isin(sizes)), list(masks), ["item_id"])
+        want = made if want is None else want.union(made)
+    have = seeds(rows, used, ["doc_id", "tag"])
     want = want.withColumnRenamed("at", "item_at")
     total = want.count()
     want = F.broadcast(want) if total <= broadcast_seeds else want

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -262,6 +263,49 @@ def test_substituted_partial_and_odd_passages(spark):
     assert decontamination.without_contaminated(df, table).count() == sum(not w for w in want)
 
 
+def test_masks_fit_every_allowed_pattern():
+    for n in range(8, 21):
+        misses = n - -(-n * 80 // 100)
+        places = [{at + k for k, one in enumerate(m) if one == "1"} for m in decontamination.cover(n, misses) for at in range(n - len(m) + 1)]
+        for changed in itertools.combinations(range(n), misses):
+            assert any(p.isdisjoint(changed) for p in places), (n, changed)
+
+
+def brute_items(text, items):
+    """Items found in any alignment, without seeds."""
+    a, out = re.findall(r"[^\W_]+", (text or "").lower()), []
+    for k, b in items.items():
+        need = min(20, len(b))
+        for shift in range(-len(b), len(a)) if len(b) >= 8 else ():
+            same = [a[j + shift] == b[j] for j in range(len(b)) if 0 <= j + shift < len(a)]
+            if sum(same) * 100 >= 80 * need and any(sum(same[i : i + need]) * 100 >= 80 * need for i in range(len(same) - need + 1)):
+                out.append(k)
+                break
+    return out
+
+
+def test_substitutions_against_every_alignment(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    items = {n: [word() for _ in range(n)] for n in (7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 30)}
+    docs = []
+    for n, w in items.items():
+        size = min(20, n)
+        allowed = size - -(-size * 80 // 100)
+        for k in range(8):
+            at, text = r.randrange(n - size + 1), list(w)
+            changed = r.sample(range(size), allowed + (k == 7))
+            for c in [[0], [size - 1], *[changed] * 6][k]:
+                text[at + c] = word()
+            docs.append(" ".join([*(word() for _ in range(r.randrange(9))), *text[at : at + size], *(word() for _ in range(r.randrange(9)))]))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    want = {k: brute_items(t, items) for k, t in enumerate(docs)}
+    assert 90 < sum(map(bool, want.values())) < len(docs)
+    for limit in (1_000_000, 0):
+        assert {x.doc_id: x["items"] for x in decontamination.contaminated(df, table, broadcast_seeds=limit).collect()} == want
+
+
 # --- language
 
 

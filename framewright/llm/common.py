@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, the one place that driver and executors share.
 
-    Only where that setting is empty (a local session, as in tests) a temporary folder is used instead.
+    Where that setting is empty a local session (as in tests) uses a temporary folder; on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "framewright-scratch")
     if "://" not in base and not base.startswith("file:"):
         base = "file://" + os.path.abspath(base)
@@ -33,7 +35,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Remove tables made by :func:`written` that nothing reads any more: all that came from them is written itself."""
+    for table in tables:
+        fs, path = filesystem(table.table_path)
+        fs.delete_dir(path)
 
 
 def filesystem(uri: str):

@@ -9,8 +9,8 @@ mark the words to go.
 
 K-grams that are frequent in the whole corpus rank last (a sketch of fixed size says which), so a window
 that reaches beyond a common passage is anchored outside it and no shard gathers all its surroundings.
-Shards whose anchor still has many pieces are cut into blocks: each block's automaton is sent to the streams of
-all blocks of that anchor.
+Where an anchor still has many pieces, they are cut into windows, dealt to as many shards as it takes by the windows'
+hashes: equal windows meet, and the work grows with the pieces, not with their square.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, documents, span_hashes, written
+from .common import Words, batches, documents, span_hashes, spent, written
 
 SEGMENT = 1 << 20  # windows of a document that are ranked at once
 
@@ -157,56 +157,51 @@ def remove_repeated(
         return run
 
     def cut(iterator):
-        """The words of the wanted pieces, as hashes."""
+        """The words of the wanted pieces, as hashes; pieces of an anchor of several parts window by window, each in its hash's part."""
         for batch in batches(iterator, "text"):
             words, want = Words(batch.column(1)), batch.column(2)
             edges = np.asarray(want.offsets).astype(np.int64)
             flat = want.flatten()
             row = np.repeat(np.arange(batch.num_rows), np.diff(edges))
             at = np.asarray(flat.field("at")).astype(np.int64) + words.edges[row]
-            stop = at + np.asarray(flat.field("n")) + window - 1
+            n, parts = np.asarray(flat.field("n")).astype(np.int64), np.asarray(flat.field("parts")).astype(np.int64)
+            times = np.where(parts > 1, n, 1)
+            pick = np.repeat(np.arange(len(at)), times)
+            off = np.arange(len(pick)) - np.repeat(np.cumsum(times) - times, times)
+            a = at[pick] + off
+            b = np.where(parts[pick] > 1, a + window, at[pick] + n[pick] + window - 1)
+            part = (span_hashes(words.hashes, a, b) % parts[pick].astype(np.uint64)).astype(np.int32)
             raw = words.hashes.view(np.uint8).tobytes()
-            values = [raw[8 * a : 8 * b] for a, b in zip(at.tolist(), stop.tolist())]
-            yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("piece"), batch.column(0).take(pa.array(row)), flat.field("parts"), pa.array(values, pa.binary())], names=["anchor", "piece", "first_doc", "parts", "words"])
+            values = [raw[8 * x : 8 * y] for x, y in zip(a.tolist(), b.tolist())]
+            taken = pa.array(pick)
+            yield pa.RecordBatch.from_arrays([flat.field("anchor").take(taken), pa.array(part), batch.column(0).take(pa.array(row[pick])), flat.field("piece").take(taken), pa.array(off.astype(np.int32)), pa.array(values, pa.binary())], names=["anchor", "part", "first_doc", "piece", "off", "words"])
 
     def shards(iterator):
-        """Runs of windows of each streamed piece and the first reference document that has them."""
-
-        def stream(rows):
-            automaton, out = SuffixAutomaton(), []
-            rows = sorted(rows, key=lambda r: (r[2], r[1]))
-            _, i, j = rows[0][0]
-            for _, _, doc, part, words in rows:
-                if part == i:
-                    automaton.add(words, doc)
-            for (anchor, _, _), piece, doc, part, words in rows:
-                if part != j:
-                    continue
+        """Runs of windows of each streamed piece and the first reference document that has them.
+
+        Pieces come in the order of their documents, so what the automaton holds when a piece streams through is all
+        that can be earlier: only the automaton of one shard is held.
+        """
+        automaton = key = None
+        for batch in iterator:
+            out = []
+            numbers = [batch.column(c).to_pylist() for c in range(5)]
+            for anchor, part, doc, piece, off, words in zip(*numbers, batch.column(5)):
+                if (anchor, part) != key:
+                    automaton, key = SuffixAutomaton(), (anchor, part)
+                words = np.frombuffer(words.as_buffer(), np.uint64).tolist()
+                automaton.add(words, doc)
                 start = size = 0
                 owner = None
                 for end, first in automaton.matches(words, window):
                     if first != owner or end - window != start + size:
                         if size:
-                            out.append((anchor, piece, start, size, owner))
+                            out.append((anchor, piece, off + start, size, owner))
                         start, size, owner = end - window, 0, first
                     size += 1
                 if size:
-                    out.append((anchor, piece, start, size, owner))
-            return out
-
-        held, key = [], None
-        for batch in iterator:
-            out = []
-            numbers = [batch.column(c).to_pylist() for c in range(6)]
-            for anchor, i, j, part, piece, doc, words in zip(*numbers, batch.column(6)):
-                if (anchor, i, j) != key:
-                    if held:
-                        out += stream(held)
-                    held, key = [], (anchor, i, j)
-                held.append((key, piece, doc, part, np.frombuffer(words.as_buffer(), np.uint64).tolist()))
+                    out.append((anchor, piece, off + start, size, owner))
             yield _runs(out)
-        if held:
-            yield _runs(stream(held))
 
     def _runs(rows):
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
@@ -253,20 +248,26 @@ def remove_repeated(
 
     pieces = rows.where("doc_id IS NOT NULL").select("doc_id", "tag", "text").mapInArrow(anchored(common), "doc_id long, tag long, at int, n int, anchor long, piece long")
     pieces = written(pieces, "window-anchors")
-    several = pieces.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    pieces = written(pieces.join(several, "anchor"), "shared-anchors")
-    distinct = pieces.groupBy("anchor", "piece").agg(F.min(F.struct("doc_id", "tag", "at", "n")).alias("x")).select("anchor", "piece", "x.*")
-    parts = distinct.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    want = distinct.join(parts, "anchor").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "piece", "at", "n", "parts")).alias("want"))
-    reference = rows.join(want, ["doc_id", "tag"]).select("doc_id", "text", "want").mapInArrow(cut, "anchor long, piece long, first_doc long, parts int, words binary")
-    reference = reference.withColumn("part", F.pmod(F.xxhash64("piece"), F.col("parts")).cast("int"))
-    # Block i's automaton meets block j's stream: every piece goes where it is reference (i) or stream (j).
-    other = F.sequence(F.lit(0), F.col("parts") - 1)
-    pairs = F.array_union(F.transform(other, lambda x: F.struct(F.col("part").alias("i"), x.alias("j"))), F.transform(other, lambda x: F.struct(x.alias("i"), F.col("part").alias("j"))))
-    dealt = reference.select("anchor", "part", "piece", "first_doc", "words", F.explode(pairs).alias("x")).select("anchor", "x.i", "x.j", "part", "piece", "first_doc", "words")
-    found = dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "first_doc").mapInArrow(shards, "anchor long, piece long, off int, len int, owner long")
-
-    covered = pieces.join(written(found, "first-occurrences"), ["anchor", "piece"]).where("owner < doc_id")
+    several = pieces.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high").select("anchor", "rows")
+    several = written(several, "anchors-of-several")
+    # An anchor with over a thousandth of all pieces is one of under a thousand: those stay where they are, by broadcast.
+    often = several.where(F.col("rows") > max(block, pieces.count() // 1000)).select("anchor")
+    hot = pieces.join(F.broadcast(often), "anchor", "left_semi")
+    cold = pieces.join(F.broadcast(often), "anchor", "left_anti").join(several.select("anchor"), "anchor", "left_semi")
+    every, pieces = pieces, written(hot.unionByName(cold), "shared-anchors")
+    spent(every, several)
+    distinct = written(pieces.groupBy("anchor", "piece").agg(F.min(F.struct("doc_id", "tag", "at", "n")).alias("x")).select("anchor", "piece", "x.*"), "distinct-pieces")
+    # Pieces of an anchor that has over ``block`` of them are cut into windows, which their own hashes deal to parts.
+    large = distinct.groupBy("anchor").agg(F.sum("n").alias("windows"), F.count(F.lit(1)).alias("pieces")).where(F.col("pieces") > block)
+    large = written(large.select("anchor", (F.ceil(F.col("windows") / block).cast("int") + 1).alias("parts")), "large-anchors")
+    want = distinct.join(large, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    want = want.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "piece", "at", "n", "parts")).alias("want"))
+    reference = rows.join(want, ["doc_id", "tag"]).select("doc_id", "text", "want").mapInArrow(cut, "anchor long, part int, first_doc long, piece long, off int, words binary")
+    found = reference.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "first_doc").mapInArrow(shards, "anchor long, piece long, off int, len int, owner long")
+    found = written(found, "first-occurrences")
+    spent(distinct, large)
+
+    covered = pieces.join(found, ["anchor", "piece"]).where("owner < doc_id")
     covered = covered.select("doc_id", "tag", (F.col("at") + F.col("off")).alias("at"), F.col("len").alias("n"))
     covered = covered.groupBy(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")).agg(F.collect_list(F.struct("at", "n")).alias("__covered"))
     none = F.array().cast("array<struct<at:int,n:int>>")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, documents, mix, span_hashes, written
+from .common import Words, batches, documents, mix, span_hashes, spent, written
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,7 +89,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(lowest, "v").where("m > v").select(F.col("m").alias("v"), F.col("low").alias("m")).distinct()
         least = large.groupBy("v").agg(F.min("m").alias("low"))
         small = large.join(least, "v").select(F.explode(F.array(F.struct("v", F.col("low").alias("m")), F.struct(F.col("m").alias("v"), F.col("low").alias("m"))))).select("col.*").where("v <> m").distinct()
-        edges = written(small, "links")
+        before, edges = edges, written(small, "links")
+        spent(before)
         # Done when no node has two roots and no root has a root.
         ends = edges.select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("root")), F.struct(F.col("m").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("root")))).alias("e")).select("e.*")
         if not ends.groupBy("x").agg(F.sum("child").alias("c"), F.max("root").alias("r")).where("c > 1 OR (c > 0 AND r > 0)").head(1):
@@ -145,7 +146,9 @@ def near_duplicates(
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = written(rows.withColumn("tag", F.xxhash64("text")).mapInArrow(sign, "doc_id long, tag long, n long, node binary, sig binary"), "signatures")
-    nodes = written(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("lead"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
+    lead = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tag"))), F.min(F.struct("doc_id", "tag"))).alias("lead")
+    nodes = signed.where("n > 0").groupBy("node").agg(lead, F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = written(nodes.select("node", F.col("lead.doc_id").alias("lead"), F.col("lead.tag").alias("lead_tag"), "n", "sig"), "nodes")
 
     # How often the frequent keys occur, as a fixed number of slots: any function of the key gives a valid prefix order.
     counted = nodes.select("sig").mapInArrow(count, "key long").groupBy("key").count().where("count >= 16")
@@ -155,10 +158,11 @@ def near_duplicates(
     seen = docs.sparkSession.sparkContext.broadcast(often)
     # Postings are cheaper to make again than to keep: first the keys that several nodes have, by counts alone.
     post = nodes.select("node", "n", "lead", "sig").mapInArrow(posts(seen), "key long, node binary, n long, lead long")
-    several = post.select("key").groupBy("key").count().where("count > 1").select("key")
+    several = written(post.select("key").groupBy("key").count().where("count > 1").select("key"), "shared-keys")
     members = written(post.join(several, "key"), "shared-postings")
+    spent(several)
     # The pivot is the earliest document: near copies are closer to their original than to each other.
-    lists = members.groupBy("key").agg(F.min(F.struct("lead", "node", "n")).alias("pivot"))
+    lists = written(members.groupBy("key").agg(F.min(F.struct("lead", "node", "n")).alias("pivot")), "list-pivots")
     shared = members.drop("lead").join(lists, "key")
     near = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
 
@@ -179,9 +183,10 @@ def near_duplicates(
             yield _table([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(sets, pa.binary())], ["node", "root", "shingles"])
 
     def shingles_of(wanted: DataFrame) -> DataFrame:
-        """(node, root, shingles) of the wanted (node, root); their texts are read again."""
-        wanted = wanted.join(nodes.select("node", "lead"), "node")
-        sets = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("lead"))).select("node", "text", "root").mapInArrow(fetch, "node binary, root binary, shingles binary")
+        """(node, root, shingles) of the wanted (node, root); their texts are read again, by id and hash."""
+        wanted = wanted.join(nodes.select("node", "lead", "lead_tag"), "node")
+        lead = F.col("doc_id").eqNullSafe(F.col("lead")) & (F.xxhash64("text") == F.col("lead_tag"))
+        sets = rows.join(wanted, lead).select("node", "text", "root").mapInArrow(fetch, "node binary, root binary, shingles binary")
         return written(sets.groupBy("node").agg(F.first("root").alias("root"), F.first("shingles").alias("shingles")), "shingle-sets")
 
     def confirm(iterator):
@@ -202,17 +207,21 @@ def near_duplicates(
 
     star = shared.select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).where((F.col("a") != F.col("b")) & near(F.col("pivot.n"), F.col("n"))).distinct()
     star = written(star, "star-pairs")
-    links = confirmed(star, shingles_of(star.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))))
+    spent(lists)
+    star_sets = shingles_of(star.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
+    links = confirmed(star, star_sets)
+    spent(star, star_sets)
 
     # What is left are lists that hold several components. A member that agrees often enough with one of another
-    # component stays open; lists are compared in pairs of blocks, on a byte of each coordinate, and only members come out.
+    # component stays open. Members of a list's largest component are compared with the others alone, which are few beside a
+    # large group of near copies, block by block, on a byte of each coordinate; only members come out.
     def left_open(iterator):
         def members(group):
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            part, n = group.column("part").to_numpy(), group.column("n").to_numpy()
+            n = group.column("n").to_numpy()
             _, root = np.unique(np.array([r.hex() for r in group.column("root").to_pylist()]), return_inverse=True)
             sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, coordinates)
-            own, other, hit = np.flatnonzero(part == i), np.flatnonzero(part == j), np.zeros(len(n), bool)
+            own, other = (np.flatnonzero(group.column(c).to_numpy()) for c in ("own", "other"))
+            hit = np.zeros(len(n), bool)
             for k in range(0, len(own), 32):
                 a = own[k : k + 32]
                 ok = (sig[a][:, None, :] == sig[other][None, :, :]).sum(axis=2) >= matches
@@ -222,7 +231,7 @@ def near_duplicates(
             return np.flatnonzero(hit)
 
         def run(table, last):
-            key = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+            key = np.stack([table.column(c).to_numpy() for c in ("key", "with_main", "i", "j")], axis=1)
             edges = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
             stop = len(edges) - 1 if last else len(edges) - 2
             rows = [a + members(table.slice(a, b - a)) for a, b in zip(edges[:stop].tolist(), edges[1 : stop + 1].tolist()) if b - a > 1]
@@ -246,16 +255,27 @@ def near_duplicates(
 
     rooted = members.select("key", "node", "n").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = written(rooted, "rooted-postings")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
-    rooted = rooted.join(mixed.select("key", F.ceil(F.col("m") / block).cast("int").alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rooted = rooted.join(nodes.select("node", "sig").mapInArrow(bytes_of, "node binary, sig binary"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rooted = rooted.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "root", "n", "sig")
-    undone = rooted.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(left_open, "node binary, root binary").distinct()
+    spent(members)
+    mixed = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("main"), F.sum("count").alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    blocks = lambda m: F.ceil(m / block).cast("int")
+    mixed = written(mixed.select("key", F.col("main.root").alias("main"), blocks(F.col("m") - F.col("main.count")).alias("others"), blocks(F.col("main.count")).alias("mains")), "mixed-lists")
+    dealt = rooted.join(mixed, "key").withColumn("in_main", F.col("root") == F.col("main"))
+    part = F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    each = lambda count, make: F.transform(F.sequence(F.lit(0), F.col(count) - 1), make)
+    place = lambda main, i, j, own, other: F.struct(F.lit(main).alias("with_main"), i.alias("i"), j.alias("j"), own.alias("own"), other.alias("other"))
+    yes, no, p = F.lit(True), F.lit(False), F.col("part")
+    with_others = each("others", lambda k: place(0, F.least(p, k), F.greatest(p, k), (p <= k), (p >= k)))
+    with_mains = each("mains", lambda k: place(1, p, k, yes, no))
+    places = F.when(F.col("in_main"), each("others", lambda k: place(1, k, p, no, yes))).otherwise(F.concat(with_others, with_mains))
+    dealt = dealt.withColumn("part", part).select("key", "node", "root", "n", F.explode(places).alias("x")).select("key", "x.*", "node", "root", "n")
+    dealt = dealt.join(nodes.select("node", "sig").mapInArrow(bytes_of, "node binary, sig binary"), "node").select("key", "with_main", "i", "j", "own", "other", "node", "root", "n", "sig")
+    undone = dealt.repartition("key", "with_main", "i", "j").sortWithinPartitions("key", "with_main", "i", "j", "node").mapInArrow(left_open, "node binary, root binary").distinct()
 
     # Among the open nodes, pairs of different components are found by the rarest shingles of their full sets: sets that
     # reach the similarity share one of the n - ceil(n * similarity) + 1 rarest, and the places of the first shared
     # one bound what they can share.
     open_ = shingles_of(undone)
+    spent(rooted, mixed)
 
     def frequent(iterator):
         """Slots that hold over twice the mean of this task's shingles."""
@@ -287,13 +307,19 @@ def near_duplicates(
     often[slot["slot"].to_numpy()] = np.minimum(slot["n"].to_numpy(), 2**32 - 1)
     ranks = docs.sparkSession.sparkContext.broadcast(often)
     rare = written(open_.select("node", "root", "shingles").mapInArrow(rarest(ranks), "shingle long, node binary, root binary, n long, at long"), "rare-shingles")
-    several = rare.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
-    rare = written(rare.join(several, "shingle"), "shared-rare-shingles")
-    x, y = (rare.select("shingle", *(F.col(c).alias(f"{k}_{c}") for c in ("node", "root", "n", "at"))) for k in "xy")
+    several = rare.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max(F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    several = written(several.where("roots > 1").select("shingle", F.col("main.root").alias("main")), "shared-shingles")
+    every, rare = rare, written(rare.join(several, "shingle"), "shared-rare-shingles")
+    spent(every, several)
+    # A list's largest component meets the others alone.
+    x, y = (rare.select("shingle", "main", *(F.col(c).alias(f"{k}_{c}") for c in ("node", "root", "n", "at"))) for k in "xy")
     rest = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
-    cross = x.join(y, "shingle").where((F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & near(F.col("x_n"), F.col("y_n")) & (rest * (num + den) >= (F.col("x_n") + F.col("y_n")) * num))
-    cross = written(cross.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct(), "cross-pairs")
+    cross = x.where("x_root <> main").join(y.drop("main"), "shingle")
+    cross = cross.where((F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x_node") < F.col("y_node"))) & near(F.col("x_n"), F.col("y_n")) & (rest * (num + den) >= (F.col("x_n") + F.col("y_n")) * num))
+    cross = written(cross.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "cross-pairs")
+    spent(rare)
     links = links.union(confirmed(cross, open_))
+    spent(cross, open_)
 
     found = components(links).join(nodes.select("node", "lead"), "node")
     named = found.join(found.groupBy("root").agg(F.min("lead").alias("component_id")), "root").select("node", "component_id", "root")

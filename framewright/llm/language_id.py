@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import batches, documents
@@ -119,22 +120,22 @@ def _lettered(rows: DataFrame, texts: bool) -> DataFrame:
     return rows.mapInArrow(run, "label string, h long, text string" if texts else "label string, h long")
 
 
-def _hash_bounds(rows: DataFrame, names: list, per_label: int) -> dict:
-    """For each of the labels ``names``, a text hash that at least ``per_label`` distinct texts with a letter don't exceed (if it has so many), and few more.
+def _hash_bounds(rows: DataFrame, per_label: int) -> dict:
+    """For each label that has a text with a letter, a text hash that at least ``per_label`` distinct texts with a letter don't exceed (if it has so many), and few more.
 
     Distinct hashes are counted by how far they are above the lowest hash, in eight steps to each power of two: at most
     some 500 sums a label reach the driver.
     """
     above = F.col("h").cast("double") + 2.0**63 + 1
     slot = F.floor(F.log2(above) * 8).cast("int")
-    distinct = _lettered(rows.where(F.col("label").isin(names)).select("label", F.xxhash64("text").alias("h"), "text"), False).distinct()
+    distinct = _lettered(rows.select("label", F.xxhash64("text").alias("h"), "text"), False).distinct()
     found: dict = {}
     for r in distinct.groupBy("label", slot.alias("slot")).count().collect():
         found.setdefault(r.label, []).append((r.slot, r["count"]))
     out = {}
-    for name in names:
+    for name, counts in found.items():
         total, out[name] = 0, 2**63 - 1
-        for at, n in sorted(found.get(name, [])):
+        for at, n in sorted(counts):
             total += n
             if total >= per_label:
                 # The edge is the next slot's begin, rounded upwards: it holds all that was counted.
@@ -143,11 +144,12 @@ def _hash_bounds(rows: DataFrame, names: list, per_label: int) -> dict:
     return out
 
 
-def train(docs: DataFrame, *, text: str = "text", label: str = "lang", per_label: int = 800, labels: int = 256, epochs: int = 3) -> Model:
+def train(docs: DataFrame, *, text: str = "text", label: str = "lang", per_label: int = 800, labels: int = 1024, epochs: int = 3) -> Model:
     """A model from labelled rows: statistics over all of them, weights from at most ``per_label`` rows of each label.
 
     The sample is the distinct texts (with a letter) of lowest hash of each label, so it doesn't depend on order, partitions
-    or copies; the ``labels`` most frequent labels are learned. Rows with a null label, or a text that is null or has no letter, teach nothing.
+    or copies. Every label is learned, however rare; the fit holds half a megabyte for each, so more than ``labels`` distinct labels are
+    an error (no column of languages), never dropped. Rows with a null label, or a text that is null or has no letter, teach nothing.
     """
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
 
@@ -168,15 +170,15 @@ def train(docs: DataFrame, *, text: str = "text", label: str = "lang", per_label
     total = max(1, int(n[slot < 0].sum()))
     idf = (np.log((1 + total) / (1 + seen)) + 0.1).astype(np.float32)
 
-    most = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(labels).collect()
-    names = sorted(r[0] for r in most)
-    limit = _hash_bounds(rows, [r[0] for r in most], per_label)
-    limit = F.create_map(*[F.lit(x) for pair in limit.items() for x in pair]) if limit else F.create_map().cast("map<string,bigint>")
-    from pyspark.sql import Window as W
+    if len(rows.select("label").distinct().limit(labels + 1).collect()) > labels:
+        raise ValueError(f"more than {labels} labels")
+    limit = _hash_bounds(rows, per_label)
+    names = sorted(limit)
+    bounds = docs.sparkSession.createDataFrame(list(limit.items()), "label string, bound long")
 
     # Equal texts are one before the shuffle, and only the lowest hashes are ranked: a label's ranking reads
     # little more than ``per_label`` rows, however many rows or copies there are.
-    low = _lettered(rows.select("label", F.xxhash64("text").alias("h"), "text").where(F.col("h") <= limit[F.col("label")]), True).groupBy("label", "h").agg(F.min("text").alias("text"))
+    low = _lettered(rows.select("label", F.xxhash64("text").alias("h"), "text").join(F.broadcast(bounds), "label").where("h <= bound").drop("bound"), True).groupBy("label", "h").agg(F.min("text").alias("text"))
     rank = F.row_number().over(W.partitionBy("label").orderBy("h"))
     sample = low.withColumn("rank", rank).where(F.col("rank") <= per_label).select("label", "h", "text")
 

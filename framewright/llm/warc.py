@@ -96,7 +96,9 @@ def write_archives(
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     # Headers alone are shuffled by digest; payloads only meet the revisits found among them.
     heads = rows.where(F.octet_length("payload") >= least_bytes).select("key", "uri", "digest")
-    first = heads.where("key IS NOT NULL").groupBy("digest").agg(F.min(F.struct("key", "uri")).alias("first"))
+    # Written, so that the join is of two shuffles and a digest that many records share can be split.
+    first = heads.groupBy("digest").agg(F.min(F.when(F.col("key").isNotNull(), F.struct("key", "uri"))).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = written(first.where("n > 1 AND first IS NOT NULL").select("digest", "first"), "warc-repeated-digests")
     revisits = heads.join(first, "digest").where(~F.col("key").eqNullSafe(F.col("first.key"))).select(*[F.col(c).alias(f"r_{c}") for c in ("key", "uri", "digest")], "first").distinct()
     same = F.col("key").eqNullSafe(F.col("r_key")) & F.col("uri").eqNullSafe(F.col("r_uri")) & F.col("digest").eqNullSafe(F.col("r_digest"))
     found = rows.join(revisits, same, "left").select("key", "uri", "payload", "digest", "first")
@@ -157,6 +159,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """
     responses = records.where("type = 'response'")
     target = responses.groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min("key").alias("refers_to"), F.min("payload_bytes").alias("size"), F.min("payload_digest").alias("own"))
+    target = written(target, "warc-responses")  # one response may be what most revisits refer to
     revisits = records.where("type = 'revisit'").drop("payload_bytes").join(target, "refers_to_id", "left")
     revisits = revisits.select("key", "uri", "type", F.col("size").alias("payload_bytes"), F.coalesce("own", "payload_digest").alias("payload_digest"), "refers_to")
     return responses.select("key", "uri", "type", "payload_bytes", "payload_digest", F.lit(None).cast("long").alias("refers_to")).union(revisits)

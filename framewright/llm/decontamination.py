@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-#: Eight words of thirteen each, as the SQL has them.
-MASKS = ("1101100101011", "1110010100111", "1010111001101")
 #: For windows of so many words with so many substitutions at most: (shortest, longest, substitutions, masks). Wherever the
 #: substitutions are, some mask fits somewhere in the window without one (the tests enumerate them all).
 COVERS = (
@@ -41,6 +39,11 @@ def words_of(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""), lambda w: F.xxhash64(w))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once for the row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def seeds(rows: DataFrame, masks: list, keep: list) -> DataFrame:
     """(keep columns, at, mask, seed) of every place of column ``w`` where a mask fits."""
     span = max(len(m) for m in masks)
@@ -77,33 +80,34 @@ def contaminated(
         by_masks.setdefault(cover(n, n * (100 - percent) // 100), []).append(n)
     used = sorted({m for masks in by_masks for m in masks}) or ["1"]
     need = F.least(F.size("w"), F.lit(overlap))
-    want = seeds(tests, used, ["item_id"]).limit(0) if not by_masks else None
+    tests = tests.withColumn("n", F.size("w"))
+    want = seeds(tests, used, ["item_id", "n"]).limit(0) if not by_masks else None
     for masks, sizes in by_masks.items():
-        made = seeds(tests.where(need.isin(sizes)), list(masks), ["item_id"])
+        made = seeds(tests.where(need.isin(sizes)), list(masks), ["item_id", "n"])
         want = made if want is None else want.union(made)
     have = seeds(rows, used, ["doc_id", "tag"])
     want = want.withColumnRenamed("at", "item_at")
     total = want.count()
     want = F.broadcast(want) if total <= broadcast_seeds else want
-    hits = have.join(want, ["mask", "seed"]).select("doc_id", "tag", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    hits = have.join(want, ["mask", "seed"]).select("doc_id", "tag", "item_id", "n", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
 
+    # Hits of a text meet it once, as numbers; then each is a row of its own: the words beside the item on its diagonal.
+    hits = hits.groupBy(F.col("doc_id").alias("hit_doc"), F.col("tag").alias("hit_tag")).agg(F.collect_list(F.struct("item_id", "n", "shift")).alias("hits"))
+    same_row = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & F.col("tag").eqNullSafe(F.col("hit_tag"))
+    beside = lambda w: F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), F.greatest(F.lit(0), -h["shift"]).alias("first"), F.slice(w, F.greatest(F.lit(0), h["shift"]) + 1, F.least(h["n"], h["n"] + h["shift"])).alias("x")))
+    lined = tagged.join(hits, same_row).select("hit_doc", "hit_tag", F.explode(_let(words_of(F.col("text")), beside)).alias("h")).select("hit_doc", "hit_tag", "h.*")
     tests = tests.select("item_id", F.col("w").alias("t"))
     tests = F.broadcast(tests) if total <= broadcast_seeds else tests
-    pairs = hits.join(tests, "item_id").groupBy(F.col("doc_id").alias("hit_doc"), F.col("tag").alias("hit_tag")).agg(F.collect_set(F.struct("item_id", "shift", "t")).alias("hits"))
-    same_row = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & F.col("tag").eqNullSafe(F.col("hit_tag"))
-    lined = tagged.join(pairs, same_row).select("hit_doc", "hit_tag", words_of(F.col("text")).alias("w"), "hits")
-
-    def found(hit: Column) -> Column:
-        """Whether a stretch of enough words agrees on the hit's diagonal."""
-        first = F.greatest(F.lit(0), -hit["shift"])  # of the item
-        n = F.greatest(F.lit(0), F.least(F.size(hit["t"]) - first, F.size("w") - first - hit["shift"]))
-        same = F.zip_with(F.slice(hit["t"], first + 1, n), F.slice("w", first + hit["shift"] + 1, n), lambda a, b: (a == b).cast("int"))
-        length = F.least(F.lit(overlap), F.size(hit["t"]))
-        starts = F.when(n >= length, F.sequence(F.lit(0), n - length)).otherwise(F.array().cast("array<int>"))
+    same = F.zip_with(F.slice("t", F.col("first") + 1, F.size("x")), "x", lambda a, b: F.when(a == b, 1).otherwise(0))
+    length = F.least(F.lit(overlap), F.size("t"))
+
+    def found(same: Column) -> Column:
+        """Whether a stretch of enough words agrees on the diagonal."""
+        starts = F.when(F.size(same) >= length, F.sequence(F.lit(0), F.size(same) - length)).otherwise(F.array().cast("array<int>"))
         return F.exists(starts, lambda i: F.aggregate(F.slice(same, i + 1, length), F.lit(0), lambda s, x: s + x) * 100 >= length * percent)
 
-    items_found = F.array_sort(F.array_distinct(F.transform(F.filter("hits", found), lambda h: h["item_id"])))
-    judged = lined.select("hit_doc", "hit_tag", items_found.alias("items")).where(F.size("items") > 0).dropDuplicates(["hit_doc", "hit_tag"])
+    judged = lined.join(tests, "item_id").where(_let(same, found)).select("hit_doc", "hit_tag", "item_id")
+    judged = judged.groupBy("hit_doc", "hit_tag").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     out = tagged.select("doc_id", "tag").join(judged, same_row, "left").select("doc_id", "tag", F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
     return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "tag")
 
@@ -120,22 +124,16 @@ def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "contaminated", F.concat_ws(",", F.transform("items", lambda i: i.cast("string"))).alias("items"))
 
 
-def _sql_seeds() -> str:
-    parts = []
-    for m, mask in enumerate(MASKS):
-        key = " || ' ' || ".join(f"w[i + {k}]" for k, one in enumerate(mask) if one == "1")
-        parts.append(f"SELECT id, i, {m} AS mask, {key} AS seed FROM p WHERE i + {len(mask) - 1} <= len(w)")
-    return " UNION ALL ".join(parts)
-
-
-OP8_SQL = rf"""
+#: Every alignment in which items and documents share words, without seeds or masks.
+OP8_SQL = r"""
 WITH t AS (
   SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
 a AS (
-  SELECT kind, id, coalesce(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''), []) AS w FROM t),
-p AS (SELECT CASE kind WHEN 'd' THEN id ELSE -1 - id END AS id, w, unnest(generate_series(1, len(w))) AS i FROM a WHERE len(w) >= 13),
-s AS ({_sql_seeds()}),
-h AS (SELECT DISTINCT x.id AS doc, -1 - y.id AS item, x.i - y.i AS shift FROM s x JOIN s y USING (mask, seed) WHERE x.id >= 0 AND y.id < 0),
+  SELECT kind, id, coalesce(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''), []) AS w FROM t),
+p AS (SELECT kind, id, least(20, len(w)) AS need, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM a WHERE kind = 'd' OR len(w) >= 8),
+h AS (
+  SELECT d.id AS doc, b.id AS item, d.i - b.i AS shift FROM p d JOIN p b ON d.word = b.word WHERE d.kind = 'd' AND b.kind = 'b'
+  GROUP BY ALL HAVING 100 * count(*) >= 80 * any_value(b.need)),
 g AS (
   SELECT h.doc, h.item, h.shift, d.w AS dw, b.w AS bw, greatest(0, -h.shift) AS f, least(20, len(b.w)) AS need,
     least(len(b.w) - greatest(0, -h.shift), len(d.w) - greatest(0, -h.shift) - h.shift) AS n

@@ -4,9 +4,9 @@ import re
 
 import corpus_pipeline
 import pytest
-from framewright.llm.decontamination import MASKS
 from pyspark.sql import functions as F
 from test_near_duplicates import brute as groups
+from test_others import brute_items
 from test_tokens import check_packing
 
 SF = "/root/testdata/sf0.001"
@@ -36,21 +36,6 @@ def without_repeats(rows, window=50):
     return out
 
 
-def holds(text, item):
-    a, b = (re.findall(r"[^\W_]+", (x or "").lower()) for x in (text, item))
-    need, span = min(20, len(b)), len(MASKS[0])
-    seeds = {}
-    for m, mask in enumerate(MASKS):
-        for j in range(len(b) - span + 1):
-            seeds.setdefault((m, tuple(b[j + k] for k in range(span) if mask[k] == "1")), []).append(j)
-    shifts = {i - j for m, mask in enumerate(MASKS) for i in range(len(a) - span + 1) for j in seeds.get((m, tuple(a[i + k] for k in range(span) if mask[k] == "1")), ())}
-    for s in shifts:
-        same = [a[j + s] == b[j] for j in range(len(b)) if 0 <= j + s < len(a)]
-        if any(sum(same[k : k + need]) * 100 >= 80 * need for k in range(len(same) - need + 1)):
-            return True
-    return False
-
-
 @pytest.fixture(scope="module")
 def tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -61,7 +46,7 @@ def tables(spark):
 
 def test_stages_against_brute_force(spark, tables, tmp_path):
     docs, want = tables, [(r.doc_id, r.text) for r in tables.collect()]
-    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    items = {r.item_id: re.findall(r"[^\W_]+", (r.text or "").lower()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
@@ -73,7 +58,7 @@ def test_stages_against_brute_force(spark, tables, tmp_path):
         elif name == "repeated spans":
             want = without_repeats(want)
         elif name == "decontamination":
-            want = [(d, t) for d, t in want if not any(holds(t, item) for item in items)]
+            want = [(d, t) for d, t in want if not brute_items(t, items)]
         if name == "packing":
             check_packing(docs.collect(), want, 4096)
         else:

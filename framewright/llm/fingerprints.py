@@ -1,9 +1,11 @@
 """Document fingerprints: invertible Bloom lookup tables of paragraph digests.
 
 A text's units are its paragraphs (lines); longer ones are cut after content-chosen words, so that an edit changes the
-unit it falls in and no other. Each unit's digest is added to three cells of a small table. Tables of two texts
+unit it falls in and no other. Each unit's digest is added to three cells of a table that is large enough to give all its
+digests back: a table that doesn't peel to nothing by itself is made again, larger. Tables of two texts
 subtract cell by cell; peeling cells that hold one digest recovers the digests of either side alone, and so how many the
-texts share. Where peeling stops early, both are hashed again into larger tables.
+texts share. Where the difference doesn't peel, both are listed and put into larger tables. Two fingerprints are thus all
+that a comparison needs, whatever the texts.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import Words, documents, mix, span_hashes
 
-HASHES, BASE = 3, 4  # cells that hold a digest; cells a hash chooses from in a fingerprint
+HASHES = 3  # cells that hold a digest
+CELL = np.dtype([("count", "<i4"), ("keys", "<u8"), ("checks", "<u4")])
 
 
 def units(texts: pa.Array, longest: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -38,134 +41,197 @@ def units(texts: pa.Array, longest: int = 8) -> tuple[np.ndarray, np.ndarray]:
     return digests[once], np.searchsorted(owner[once], np.arange(len(texts) + 1))
 
 
+def larger(size: np.ndarray) -> np.ndarray:
+    """The next of the sizes 4, 6, 8, 12, 16, 24 ...: few of them, so that most versions of a text have equal ones."""
+    power = 1 << np.floor(np.log2(size)).astype(np.int64)
+    return np.where(size == power, power + power // 2, 2 * power)
+
+
 class Tables:
-    """Lookup tables of many digest sets: per cell a count, the sum of digests, the sum of their check values."""
+    """Lookup tables of one size: per cell a count, the sum of digests, the sum of their check values."""
 
     def __init__(self, count, keys, checks, size: int):
         self.count, self.keys, self.checks, self.size = count, keys, checks, size
 
-    @staticmethod
-    def cells(digests, owner, size):
-        salt = np.uint64(size * 2654435761)
-        return [(owner * HASHES + j) * size + (mix(digests + salt + np.uint64(j + 1)) % np.uint64(size)).astype(np.int64) for j in range(HASHES)]
+    @classmethod
+    def empty(cls, n: int, size: int):
+        cells = n * HASHES * size
+        return cls(np.zeros(cells, np.int32), np.zeros(cells, np.uint64), np.zeros(cells, np.uint32), size)
+
+    def places(self, digests, owner):
+        salt = np.uint64(self.size * 2654435761)
+        return [(owner * HASHES + j) * self.size + (mix(digests + salt + np.uint64(j + 1)) % np.uint64(self.size)).astype(np.int64) for j in range(HASHES)]
 
     @staticmethod
     def check(digests):
-        return mix(digests ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+        return (mix(digests ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(32)).astype(np.uint32)
 
-    @classmethod
-    def of(cls, digests, owner, n: int, size: int):
-        made = cls(np.zeros(n * HASHES * size, np.int64), np.zeros(n * HASHES * size, np.uint64), np.zeros(n * HASHES * size, np.uint64), size)
-        made._add(digests, owner, np.ones(len(digests), np.int64))
-        return made
-
-    def _add(self, digests, owner, signs):
-        weights = signs.astype(np.uint64)
-        for at in self.cells(digests, owner, self.size):
+    def add(self, digests, owner, signs) -> "Tables":
+        signs = np.broadcast_to(np.asarray(signs, np.int32), digests.shape)
+        keys, checks = digests * signs.astype(np.uint64), self.check(digests) * signs.astype(np.uint32)
+        for at in self.places(digests, owner):
             np.add.at(self.count, at, signs)
-            np.add.at(self.keys, at, digests * weights)
-            np.add.at(self.checks, at, self.check(digests) * weights)
+            np.add.at(self.keys, at, keys)
+            np.add.at(self.checks, at, checks)
+        return self
+
+    def copy(self) -> "Tables":
+        return Tables(self.count.copy(), self.keys.copy(), self.checks.copy(), self.size)
 
     def minus(self, other: "Tables") -> "Tables":
         return Tables(self.count - other.count, self.keys - other.keys, self.checks - other.checks, self.size)
 
-    def peel(self, n: int):
-        """(digest, owner, +1 left or -1 right side alone) of all recovered digests, and whether each owner's table came out empty."""
-        found = []
-        while True:
-            at = np.flatnonzero(np.abs(self.count) == 1)
+    def peel(self):
+        """(digests, owners, signs: +1 left or -1 right side alone) and whether each table came out empty; empties the tables."""
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+        at = np.flatnonzero(np.abs(self.count) == 1)
+        while len(at):
             sign = self.count[at]
             digest = self.keys[at] * sign.astype(np.uint64)
-            pure = self.checks[at] * sign.astype(np.uint64) == self.check(digest)
+            pure = (np.abs(sign) == 1) & (self.checks[at] * sign.astype(np.uint32) == self.check(digest))
             digest, sign, owner = digest[pure], sign[pure], at[pure] // (HASHES * self.size)
-            if not len(digest):
-                break
             order = np.lexsort((digest, owner))
             digest, sign, owner = digest[order], sign[order], owner[order]
             once = np.ones(len(digest), bool)
             once[1:] = (digest[1:] != digest[:-1]) | (owner[1:] != owner[:-1])
             digest, sign, owner = digest[once], sign[once], owner[once]
-            self._add(digest, owner, -sign)
+            self.add(digest, owner, -sign)
             found.append((digest, owner, sign))
+            at = np.unique(np.concatenate(self.places(digest, owner))) if len(digest) else at[:0]  # only cells that changed can be new
+        n = len(self.count) // (HASHES * self.size)
         left = ((self.count != 0) | (self.keys != 0) | (self.checks != 0)).reshape(n, -1).any(axis=1) if n else np.zeros(0, bool)
-        return found, ~left
+        return *(np.concatenate(x) for x in zip(*found)), ~left
+
 
-    def strings(self, sizes) -> list:
-        """Each table as text: the number of digests, then its cells."""
-        row = np.dtype([("count", "<i4"), ("key", "<u8"), ("check", "<u4")])
-        cells = np.empty(len(self.count), row)
-        cells["count"], cells["key"], cells["check"] = self.count, self.keys, self.checks.astype(np.uint32)
-        raw, step = cells.tobytes(), HASHES * self.size * row.itemsize
-        return [f"{n}.{base64.b64encode(raw[k * step : (k + 1) * step]).decode()}" for k, n in enumerate(sizes)]
+class Fingerprints:
+    """Stored tables of many texts: ``number`` of digests and ``size`` of each, ``cells`` of all one after the other."""
 
+    def __init__(self, number, size, cells):
+        self.number, self.size, self.cells = number, size, cells
+        self.edges = np.concatenate([[0], np.cumsum(HASHES * size)])
 
-def _take(digests, edges, rows):
+    @classmethod
+    def of(cls, digests: np.ndarray, edges: np.ndarray) -> "Fingerprints":
+        """Tables of the digest sets digests[edges[i] : edges[i + 1]], the smallest of :func:`larger`'s sizes that peel by themselves."""
+        number = np.diff(edges)
+        size = np.full(len(number), 4, np.int64)
+        while (small := 2 * HASHES * size < 3 * number).any():
+            size[small] = larger(size[small])
+        parts: dict = {}
+        open_ = np.arange(len(number))
+        while len(open_):
+            failed = [open_[:0]]
+            for s in np.unique(size[open_]).tolist():
+                rows = open_[size[open_] == s]
+                flat, owner = _take(digests, edges, rows)
+                made = Tables.empty(len(rows), s).add(flat, owner, 1)
+                whole = made.copy().peel()[3]
+                cells = _cells(made).reshape(len(rows), -1)
+                parts.update(zip(rows[whole].tolist(), cells[whole]))
+                failed.append(rows[~whole])
+            open_ = np.concatenate(failed)
+            size[open_] = larger(size[open_])
+        return cls(number, size, np.concatenate([np.zeros(0, CELL), *(parts[k] for k in range(len(number)))]))
+
+    @classmethod
+    def read(cls, strings: list) -> "Fingerprints":
+        number, raw = zip(*[(int(n), base64.b64decode(x)) for n, _, x in (s.partition(".") for s in strings)]) if strings else ((), ())
+        size = np.array([len(x) // (HASHES * CELL.itemsize) for x in raw], np.int64)
+        return cls(np.array(number, np.int64), size, np.frombuffer(b"".join(raw), CELL))
+
+    def strings(self) -> list:
+        """Each table as text: the number of digests, then its cells in base 64."""
+        raw, edges = self.cells.tobytes(), (self.edges * CELL.itemsize).tolist()
+        return [f"{n}.{base64.b64encode(raw[a:b]).decode()}" for n, a, b in zip(self.number.tolist(), edges, edges[1:])]
+
+    def take(self, rows: np.ndarray) -> "Fingerprints":
+        return Fingerprints(self.number[rows], self.size[rows], _take(self.cells, self.edges, rows)[0])
+
+    def tables(self, rows: np.ndarray, size: int) -> Tables:
+        """The rows' tables at ``size``: as stored, or of other size listed and added anew."""
+        out = Tables.empty(len(rows), size)
+        own = np.flatnonzero(self.size[rows] == size)
+        at = (own[:, None] * HASHES * size + np.arange(HASHES * size)).ravel()
+        cells = _take(self.cells, self.edges, rows[own])[0]
+        out.count[at], out.keys[at], out.checks[at] = cells["count"], cells["keys"], cells["checks"]
+        for s in np.setdiff1d(self.size[rows], [size]).tolist():
+            some = np.flatnonzero(self.size[rows] == s)
+            digests, owner, _, whole = self.tables(rows[some], s).peel()
+            if not whole.all():
+                raise ValueError("a fingerprint is damaged")
+            out.add(digests, some[owner], 1)
+        return out
+
+
+def _cells(tables: Tables) -> np.ndarray:
+    out = np.empty(len(tables.count), CELL)
+    out["count"], out["keys"], out["checks"] = tables.count, tables.keys, tables.checks
+    return out
+
+
+def _take(values, edges, rows):
+    """(values of the rows edges[i] .. edges[i + 1] one after the other, which of ``rows`` each belongs to)."""
     n = np.diff(edges)[rows]
     at = np.repeat(edges[:-1][rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return digests[at], np.repeat(np.arange(len(rows)), n)
+    return values[at], np.repeat(np.arange(len(rows)), n)
 
 
-def differences(left: tuple, right: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of digests that only the left and only the right text has, pair by pair.
+def differences(left: Fingerprints, right: Fingerprints) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of digests that only the left and only the right text has, pair by pair, from the stored tables alone.
 
-    Tables begin at the fingerprint's size (or where a quarter of the digests would fit) and are four times as large on
-    every failure; the hash functions depend on the size, so a table with more cells than twice the digests fails
-    only by chance, and the next size draws again.
+    A pair begins at the larger of its tables' sizes and is tried again at the next ones on failure; the hash functions
+    depend on the size, so a table with room for both sides fails only by chance, and the next size draws again.
     """
-    n = len(left[1]) - 1
-    total = np.diff(left[1]) + np.diff(right[1])
-    size = np.full(n, BASE, np.int64)
-    while (small := HASHES * size * 4 < total).any():
-        size[small] *= 4
+    n = len(left.size)
+    size = np.maximum(left.size, right.size)
     only = np.zeros((2, n), np.int64)
     open_ = np.arange(n)
     while len(open_):
-        failed = []
+        failed = [open_[:0]]
         for s in np.unique(size[open_]).tolist():
             rows = open_[size[open_] == s]
             for part in np.array_split(rows, -(-len(rows) * s * HASHES // (1 << 20))):
-                tables = Tables.of(*_take(*left, part), len(part), s).minus(Tables.of(*_take(*right, part), len(part), s))
-                found, done = tables.peel(len(part))
-                for _, owner, sign in found:
-                    for side, which in enumerate((1, -1)):
-                        own = owner[(sign == which) & done[owner]]
-                        only[side] += np.bincount(part[own], minlength=n)
+                _, owner, sign, done = left.tables(part, s).minus(right.tables(part, s)).peel()
+                for side, which in enumerate((1, -1)):
+                    only[side] += np.bincount(part[owner[(sign == which) & done[owner]]], minlength=n)
                 failed.append(part[~done])
         open_ = np.concatenate(failed)
-        size[open_] *= 4
+        size[open_] = larger(size[open_])
     return only[0], only[1]
 
 
-def likeness(left: tuple, right: tuple) -> np.ndarray:
+def likeness(left: Fingerprints, right: Fingerprints) -> np.ndarray:
     """Shared digests in relation to the two sets' mean size; 1 for two texts without any."""
     alone, _ = differences(left, right)
-    a, b = np.diff(left[1]), np.diff(right[1])
+    a, b = left.number, right.number
     return np.where(a + b > 0, 2 * (a - alone) / np.maximum(a + b, 1), 1.0)
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprint_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", longest: int = 8, batch_bytes: int = 4 << 20) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", longest: int = 8, batch_bytes: int = 4 << 20, range_rows: int = 16_384) -> DataFrame:
     """Every text beside an edited version of it and the next document's text (descending doc_id, after the last the first).
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document. Null texts are empty; texts without words have an empty fingerprint, alike to each other (1.0). Null ids
-    come last; repeated ids stand in the order of their texts' hashes. A single row is its own next. Other columns are ignored; an empty
-    table gives no rows. Texts are shuffled once: ids are cut into ordered ranges from quantiles of all ids, and each range
-    also gets the first row of the next one; a range streams through its task.
+    come last; null and repeated ids stand in the order of their texts' hashes. A single row is its own next. Other columns are ignored; an empty
+    table gives no rows. ``near_edited`` and ``near_next`` come from the fingerprints alone: :func:`likeness` of the strings gives them again.
+    Texts are shuffled once: ids are cut into ordered ranges (64 quantiles of all ids, each cut evenly for about ``range_rows`` rows, at
+    most 2,048 times; null ids into 1,024 by hash), and each range also gets the first row of the next one; a range streams through its task.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    q = rows.agg(F.percentile_approx("doc_id", [k / 64 for k in range(65)], 10_000)).head()[0]
+    q, total = rows.agg(F.percentile_approx("doc_id", [k / 64 for k in range(65)], 10_000), F.count(F.lit(1))).head()
     marks = sorted(set(q or [0]))
-    finer = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    finer = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8, min(2048, total // (64 * range_rows)))
     coarse = sum((F.col("doc_id") > F.lit(s)).cast("int") for s in marks)  # 0 .. len(marks)
     low = F.element_at(F.array(*map(F.lit, [marks[0], *marks])), coarse + 1)
     high = F.element_at(F.array(*map(F.lit, [*marks, marks[-1]])), coarse + 1)
     inside = F.floor((F.col("doc_id") - low) / F.greatest(high - low, F.lit(1)) * F.lit(finer))
     place = coarse * F.lit(finer) + F.greatest(F.lit(0), F.least(inside, F.lit(finer - 1)))
-    rows = rows.withColumn("bucket", F.coalesce(-place, F.lit(1)).cast("long"))
+    nulls = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(2**63))), 54) + 1
+    rows = rows.withColumn("bucket", F.coalesce(-place, nulls).cast("long"))
 
     # The first row of each range: as many rows as there are ranges.
     heads = rows.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).orderBy("bucket").collect()
@@ -182,10 +248,14 @@ def fingerprint_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
         """rows: (doc_id, text, next text)"""
         texts = [r[1] for r in rows]
         edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for _, t, n in rows]
-        own, changed, after = (units(pa.array(x, pa.large_string()), longest) for x in (texts, edited, [r[2] for r in rows]))
         n = len(rows)
-        prints = [Tables.of(d, np.repeat(np.arange(n), np.diff(e)), n, BASE).strings(np.diff(e).tolist()) for d, e in (own, changed)]
-        columns = [[r[0] for r in rows], [len(t) for t in texts], [hashlib.sha256(t.encode()).hexdigest() for t in edited], *prints, likeness(own, changed), likeness(own, after)]
+        apart = [k for k in range(n) if k + 1 == n or rows[k][2] is not texts[k + 1]]  # whose next text isn't the next row's
+        after = np.arange(1, n + 1)
+        after[apart] = n + np.arange(len(apart))
+        own = Fingerprints.of(*units(pa.array([*texts, *(rows[k][2] for k in apart)], pa.large_string()), longest))
+        changed = Fingerprints.of(*units(pa.array(edited, pa.large_string()), longest))
+        own, following = own.take(np.arange(n)), own.take(after)
+        columns = [[r[0] for r in rows], [len(t) for t in texts], [hashlib.sha256(t.encode()).hexdigest() for t in edited], own.strings(), changed.strings(), likeness(own, changed), likeness(own, following)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=[x.split()[0] for x in OUT.split(", ")])
 
     def run(iterator):

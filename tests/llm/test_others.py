@@ -1,4 +1,3 @@
-import base64
 import hashlib
 import itertools
 import random
@@ -48,7 +47,12 @@ def check_fingerprints(rows, out):
         assert abs(r.near_edited - brute_likeness(t, edited)) < 1e-12 and abs(r.near_next - brute_likeness(t, after)) < 1e-12
         for text, made in ((t, r.fingerprint), (edited, r.edited_fingerprint)):
             assert prints.setdefault(text, made) == made
-            assert len(base64.b64decode(made.split(".")[1])) == 16 * fingerprints.HASHES * fingerprints.BASE
+    # The two columns come from the returned strings alone.
+    own, changed = ([getattr(got[d], c) for d, _ in rows] for c in ("fingerprint", "edited_fingerprint"))
+    read = fingerprints.Fingerprints.read
+    assert read(own).strings() == own
+    assert fingerprints.likeness(read(own), read(changed)).tolist() == [got[d].near_edited for d, _ in rows]
+    assert fingerprints.likeness(read(own), read(own[1:] + own[:1])).tolist() == [got[d].near_next for d, _ in rows]
 
 
 def test_op3_against_brute_force(spark):
@@ -72,15 +76,35 @@ def test_fingerprints_of_odd_rows(spark):
 
 def test_peeling_recovers_the_digests_of_either_side():
     r = np.random.default_rng(4)
-    for shared, left, right in ((0, 0, 0), (1000, 2, 3), (50, 400, 1), (0, 900, 900)):
+    for shared, left, right in ((0, 0, 0), (1000, 2, 3), (50, 400, 1), (0, 900, 900), (3, 0, 5000)):
         d = r.integers(0, 2**63, shared + left + right).astype(np.uint64)
         a, b = np.sort(d[: shared + left]), np.sort(np.concatenate([d[:shared], d[shared + left :]]))
-        assert [int(x[0]) for x in fingerprints.differences((a, np.array([0, len(a)])), (b, np.array([0, len(b)])))] == [left, right]
-        tables = fingerprints.Tables.of(a, np.zeros(len(a), int), 1, 2048).minus(fingerprints.Tables.of(b, np.zeros(len(b), int), 1, 2048))
-        found, done = tables.peel(1)
+        x, y = (fingerprints.Fingerprints.of(v, np.array([0, len(v)])) for v in (a, b))
+        assert [int(v[0]) for v in fingerprints.differences(x, y)] == [left, right]
+        for v, stored in ((a, x), (b, y)):  # a fingerprint gives all its digests back
+            digests, _, sign, whole = stored.tables(np.arange(1), int(stored.size[0])).peel()
+            assert whole[0] and np.sort(digests).tolist() == v.tolist() and (sign == 1).all()
+        made = [fingerprints.Tables.empty(1, 3072).add(v, np.zeros(len(v), int), 1) for v in (a, b)]
+        digests, _, sign, done = made[0].minus(made[1]).peel()
         assert done[0]
-        alone = {(int(k), int(s)) for digest, _, sign in found for k, s in zip(digest, sign)}
-        assert alone == {(int(k), 1) for k in d[shared : shared + left]} | {(int(k), -1) for k in d[shared + left :]}
+        assert set(zip(digests.tolist(), sign.tolist())) == {(int(k), 1) for k in d[shared : shared + left]} | {(int(k), -1) for k in d[shared + left :]}
+
+
+def test_retries_and_damaged_fingerprints():
+    r = np.random.default_rng(5)
+    edges = np.arange(0, 3001, 3)  # many small sets: some don't peel at their first size
+    d = r.integers(0, 2**63, 3000).astype(np.uint64)
+    for k in range(0, 3000, 3):
+        d[k : k + 3].sort()
+    x = fingerprints.Fingerprints.of(d, edges)
+    assert (x.size > 4).any() and fingerprints.larger(np.array([4, 6, 8, 12])).tolist() == [6, 8, 12, 16]
+    assert (fingerprints.likeness(x, x) == 1).all()
+    other = fingerprints.Fingerprints.of(np.sort(r.integers(0, 2**63, 500).astype(np.uint64)), np.array([0, 500]))
+    broken = x.take(np.arange(1))
+    broken.cells = broken.cells.copy()
+    broken.cells["keys"][np.flatnonzero(broken.cells["count"])[0]] ^= np.uint64(1)
+    with pytest.raises(ValueError):
+        fingerprints.likeness(broken, other)
 
 
 # --- WARC
@@ -173,6 +197,62 @@ def test_markov_models_are_distributions_and_separate(spark):
     assert sum((r.verdict == "allow") == bool(r.page_id % 2) for r in out) >= 98
 
 
+def brute_models(examples):
+    """log p(character | up to three before it) by Witten and Bell's interpolation, from dictionaries of counts."""
+    n = Counter()
+    for url in examples:
+        coded = "^^^" + as_coded(url) + "$"
+        for k in range(3, len(coded)):
+            for order in range(4):
+                n[coded[k - order : k], coded[k]] += 1
+    totals, kinds = Counter(), Counter()
+    for (before, _), times in n.items():
+        totals[before] += times
+        kinds[before] += 1
+
+    def p(before, c):
+        lower = p(before[1:], c) if before else 1 / url_filter.SIZE
+        return (n[before, c] + kinds[before] * lower) / (totals[before] + kinds[before]) if totals[before] else lower
+
+    return p
+
+
+def as_coded(url):
+    out = ""
+    for byte in (url or "").encode():
+        c = chr(byte).lower() if byte < 128 else "~"
+        out += "0" if c.isdigit() else c if c in url_filter.ALPHABET[1:-1] else "~"
+    return out
+
+
+def test_op6_verdicts_against_brute_force(spark):
+    larger = SF.replace("0.001", "0.01")
+    pages = spark.read.parquet(f"{larger}/pages.parquet").select("page_id", "url", (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held"))
+    pages = {r.page_id: r for r in pages.collect()}
+    rules = {k: brute_rule(r.url)[2] for k, r in pages.items()}
+    models = [brute_models([r.url for k, r in pages.items() if rules[k] and not r.held and rules[k][2] == verdict]) for verdict in ("allow", "block")]
+
+    def score(url):
+        coded = "^^^" + as_coded(url) + "$"
+        return sum(np.log(models[0](coded[k - 3 : k], coded[k])) - np.log(models[1](coded[k - 3 : k], coded[k])) for k in range(3, len(coded))) / (len(coded) - 3)
+
+    out = [r for r in url_filter.op6_url_filter(spark, larger).collect() if r.rule is None]
+    assert len(out) > 50
+    for r in out:
+        assert abs(r.score - score(pages[r.page_id].url)) < 1e-5
+    # One threshold parts them, and no other has a smaller balanced error on the held-out examples.
+    held = [(score(r.url), rules[k][2]) for k, r in pages.items() if rules[k] and r.held]
+    good, bad = ([x for x, v in held if v == verdict] for verdict in ("allow", "block"))
+    error = lambda t: sum(x < t for x in good) / len(good) + sum(x >= t for x in bad) / len(bad)
+    lowest = max([r.score for r in out if r.verdict == "block"], default=-9.0)
+    highest = min([r.score for r in out if r.verdict == "allow"], default=9.0)
+    assert lowest < highest
+    width = 2 * url_filter.SPAN / (url_filter.BINS - 1)
+    least = min(error(x) for x, _ in [*held, (99.0, "")])
+    inside = [x for x, _ in held if lowest - width <= x <= highest + width]
+    assert min(error(x) for x in [lowest, highest, *inside]) <= least + 1e-9
+
+
 # --- word pieces
 
 
@@ -189,9 +269,11 @@ def test_automaton_against_greedy_search(spark):
     texts = {x.doc_id: x.text for x in documents(spark).collect()}
     vocabulary = set(pieces)
     assert len(rows) == len(texts)
-    for x in rows[:60]:
+    known = {}
+    for x in rows:
         words = re.findall(r"[^\x20\x09-\x0D]+", texts[x.doc_id] or "")
-        assert (x.n_words, x.n_tokens) == (len(words), sum(greedy("▁" + w, vocabulary) for w in words))
+        known |= {w: greedy("▁" + w, vocabulary) for w in {*words} - known.keys()}
+        assert (x.n_words, x.n_tokens) == (len(words), sum(known[w] for w in words))
     odd = spark.createDataFrame([(k, t, 1) for k, t in enumerate(ODD)], "doc_id long, text string, n_tokens int")
     for x in word_pieces.count_tokens(odd, pieces).collect():
         words = re.findall(r"[^\x20\x09-\x0D]+", ODD[x.doc_id] or "")
@@ -334,6 +416,91 @@ def test_language_of_odd_rows(spark):
     assert language_id.predict(df.limit(0), model).count() == 0
 
 
+def brute_ftrl(rows, classes, alpha=0.5, beta=1.0, l1=0.05, l2=0.01):
+    """FTRL-proximal by coordinate, in plain Python: rows of ({feature: value}, label)."""
+    z, n = Counter(), Counter()
+
+    def weight(key):
+        if abs(z[key]) <= l1:
+            return 0.0
+        return -(z[key] - (l1 if z[key] > 0 else -l1)) / ((beta + n[key] ** 0.5) / alpha + l2)
+
+    for x, label in rows:
+        scores = [sum(v * weight((f, k)) for f, v in x.items()) for k in range(classes)]
+        top = max(scores)
+        e = [np.exp(s - top) for s in scores]
+        change = {}
+        for k in range(classes):
+            for f, v in x.items():
+                g = v * (e[k] / sum(e) - (k == label))
+                sigma = ((n[f, k] + g * g) ** 0.5 - n[f, k] ** 0.5) / alpha
+                change[f, k] = g - sigma * weight((f, k)), g * g
+        for key, (dz, dn) in change.items():
+            z[key] += dz
+            n[key] += dn
+    return weight
+
+
+def test_regression_features_and_temperature_against_brute_force():
+    r = random.Random(4)
+    rows = [({r.randrange(12): r.uniform(-1, 1) for _ in range(4)}, r.randrange(3)) for _ in range(200)]
+    model = language_id.FtrlSoftmax(12, 3)
+    for x, label in rows:
+        model.learn(np.array(list(x)), np.array(list(x.values())), label)
+    weight, w = brute_ftrl(rows, 3), model.weights()
+    assert np.allclose(w, [[weight((f, k)) for k in range(3)] for f in range(12)], atol=1e-9)
+    assert (w == 0).any() and (w != 0).any()
+
+    # Counts of n-grams by a dictionary of the n-grams themselves; TF-IDF to unit length.
+    text = "Straße an der Straße"
+    grams = Counter(text.lower()[k : k + n] for n in (1, 2, 3) for k in range(len(text) - n + 1))
+    slot = {g: None for g in grams}
+    for g in grams:
+        features, counts = language_id.gram_counts(g, orders=(len(g),))
+        assert counts.tolist() == [1]
+        slot[g] = int(features[0])
+    want = Counter()
+    for g, n in grams.items():
+        want[slot[g]] += n
+    features, counts = language_id.gram_counts(text)
+    assert dict(zip(features.tolist(), counts.tolist())) == want
+    idf = np.linspace(1, 3, language_id.FEATURES).astype(np.float32)
+    values = {f: (1 + np.log(n)) * float(idf[f]) for f, n in want.items()}
+    norm = sum(v * v for v in values.values()) ** 0.5
+    features, got = language_id.weighted(text, idf)
+    assert np.allclose(got, [values[f] / norm for f in features.tolist()], atol=1e-6)
+
+    logits, labels = np.array([[r.uniform(-5, 5) for _ in range(3)] for _ in range(300)]), np.array([r.randrange(3) for _ in range(300)])
+    logits[np.arange(300), labels] += 2
+    loss = lambda t: -np.mean([np.log(language_id.softmax(x / t)[k]) for x, k in zip(logits, labels)])
+    best = language_id.temperature(logits, labels)
+    assert loss(best) <= min(loss(t) for t in np.geomspace(0.05, 40, 300)) + 1e-9
+
+
+def test_inverse_document_frequencies_count_every_row(spark):
+    texts = ["aab", "ab", "AB ab", None, "12", "zz"]
+    df = spark.createDataFrame([(t, "x") for t in texts], "text string, lang string").repartition(3)
+    model = language_id.train(df)
+    taught = [t.lower() for t in texts if t and any(map(str.isalpha, t))]
+    for g in ("a", "ab", "aab", "z", "q"):
+        slot = int(language_id.gram_counts(g, orders=(len(g),))[0][0])
+        seen = sum(slot in language_id.gram_counts(t)[0] for t in taught)
+        assert abs(model.idf[slot] - (np.log((1 + len(taught)) / (1 + seen)) + 0.1)) < 1e-6
+
+
+def test_every_label_is_learned_or_refused(spark):
+    rows = [(f"{chr(97 + k // 20)}{chr(97 + k % 20)}" * (3 + j), f"l{k:03d}") for k in range(300) for j in range(2)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    assert len(language_id.train(df, epochs=1).labels) == 300
+    with pytest.raises(ValueError):
+        language_id.train(df, labels=299)
+
+
+def test_ties_between_labels_go_to_the_first():
+    model = language_id.Model(["a", "b"], np.zeros((language_id.FEATURES, 2), np.float32), np.ones(language_id.FEATURES, np.float32), 1.0)
+    assert model.predict("words") == ("a", 0.5)
+
+
 def test_copies_do_not_shrink_the_sample(spark):
     # 60 distinct texts to learn from and 30,000 rows of two other texts: the copies made the hash bound so low that hardly any text was below it.
     r = random.Random(3)
@@ -346,7 +513,7 @@ def test_copies_do_not_shrink_the_sample(spark):
     rows = df.withColumnRenamed("lang", "label")
 
     def sample(n):
-        limit = language_id._hash_bounds(rows, ["aa", "bb"], n)
+        limit = language_id._hash_bounds(rows, n)
         hashes = {lab: sorted(x.h for x in rows.where(F.col("label") == lab).where(F.col("text").rlike("[a-z]")).select(F.xxhash64("text").alias("h")).distinct().collect()) for lab in own}
         return {lab: (h, [x for x in h if x <= limit[lab]]) for lab, h in hashes.items()}
 

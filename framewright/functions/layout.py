@@ -52,6 +52,12 @@ def samples_of_ms(ms: Column, rate=SAMPLE_RATE) -> Column:
     return F.when((ms > 0) & (raw < F.lit(9.0e18)) & ~F.isnan(ms.cast("double")) & (raw >= 1), F.round(raw).cast("long"))
 
 
+def packet_size_of_ms(ms: Column, rate=SAMPLE_RATE, most: int = 4_095) -> Column:
+    """Samples of a packet of so many whole milliseconds, at least one; null beyond ``most``, which a packet's header can't hold."""
+    n = F.greatest(whole_div(ms.cast("long") * F.lit(rate), 1000), F.lit(1).cast("long"))
+    return F.when(n <= most, n)
+
+
 def resolve_layout(stored_samples: Column, stored_stride: Column, samples, stride) -> Column:
     """struct(samples, stride, valid): stored values before the model's; zero isn't valid."""
     a, b = F.coalesce(stored_samples, F.lit(samples)).cast("long"), F.coalesce(stored_stride, F.greatest(F.lit(stride), F.lit(1))).cast("long")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 #: Fixed values of the container format.
 MAGIC, VERSION, HEADER_BYTES, FRAME_BYTES = "ECDC", 0, 9, 8
 
@@ -16,7 +18,7 @@ def u32(x: Column) -> Column:
 
 def read_u32(data: Column, at) -> Column:
     """The big-endian number in the four bytes from place ``at`` (from 1)."""
-    at = at if isinstance(at, Column) else F.lit(at)
+    at = at.cast("int") if isinstance(at, Column) else F.lit(at)
     return F.conv(F.hex(F.substring(data, at, F.lit(4))), 16, 10).cast("long")
 
 
@@ -58,18 +60,36 @@ def read_header(data: Column) -> Column:
 
 
 def pack_bits(values: Column, bits: int) -> Column:
-    """An array of whole numbers below 2^bits as bytes, least significant bit first, the last byte padded with zeros."""
-    text = F.array_join(F.transform(values, lambda v: F.reverse(F.lpad(F.conv(v.cast("string"), 10, 2), bits, "0"))), "")
-    whole = F.ceil(F.length(text) / F.lit(8))
-    padded = F.rpad(text, (whole * 8).cast("int"), "0")
-    byte = lambda k: F.lpad(F.conv(F.reverse(F.substring(padded, (k * 8 + 1).cast("int"), F.lit(8))), 2, 16), 2, "0")
-    return F.when(F.size(values) == 0, F.lit(b"")).otherwise(F.unhex(F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), whole - 1), byte), "")))
+    """An array of whole numbers below 2^bits as bytes, least significant bit first, the last byte padded with zeros.
+
+    Eight numbers at a time fill ``bits`` whole bytes, so the work grows with the array's length.
+    """
+
+    def group(g):
+        text = F.array_join(F.transform(F.slice(values, g * 8 + 1, 8), lambda v: F.reverse(F.lpad(F.conv(v.cast("string"), 10, 2), bits, "0"))), "")
+        byte = lambda t, k: F.lpad(F.conv(F.reverse(F.rpad(F.substring(t, k * 8 + 1, F.lit(8)), 8, "0")), 2, 16), 2, "0")
+        return let(text, lambda t: F.array_join(F.transform(F.sequence(F.lit(0), F.ceil(F.length(t) / F.lit(8)).cast("int") - 1), lambda k: byte(t, k)), ""))
+
+    groups = F.sequence(F.lit(0), F.ceil(F.size(values) / F.lit(8)).cast("int") - 1)
+    return F.when(F.size(values) == 0, F.lit(b"")).otherwise(F.unhex(F.array_join(F.transform(groups, group), "")))
 
 
 def unpack_bits(data: Column, bits: int, count: Column) -> Column:
-    """The first ``count`` numbers packed by :func:`pack_bits`."""
-    hexed = F.hex(data)
-    byte = lambda k: F.reverse(F.lpad(F.conv(F.substring(hexed, (k * 2 + 1).cast("int"), F.lit(2)), 16, 2), 8, "0"))
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.octet_length(data) - 1), byte), "")
-    value = lambda k: F.conv(F.reverse(F.substring(text, (k * bits + 1).cast("int"), F.lit(bits))), 2, 10).cast("int")
-    return F.when(count == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), count.cast("int") - 1), value))
+    """The first ``count`` numbers packed by :func:`pack_bits`; null for those that the bytes don't hold."""
+
+    def group(g):
+        part = F.substring(data, g * bits + 1, F.lit(bits))
+        one = lambda h, k: F.reverse(F.lpad(F.conv(F.substring(h, k * 2 + 1, F.lit(2)), 16, 2), 8, "0"))
+        text = let(F.hex(part), lambda h: F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.octet_length(part) - 1)), lambda k: one(h, k)), ""))
+        value = lambda t, k: F.when(F.length(t) >= (k + 1) * bits, F.conv(F.reverse(F.substring(t, k * bits + 1, F.lit(bits))), 2, 10).cast("int"))
+        return let(text, lambda t: F.transform(F.sequence(F.lit(0), F.least(F.lit(7), count.cast("int") - 1 - g * 8)), lambda k: value(t, k)))
+
+    groups = F.sequence(F.lit(0), F.ceil(count / F.lit(8)).cast("int") - 1)
+    return F.when(count == 0, F.array().cast("array<int>")).otherwise(F.flatten(F.transform(groups, group)))
+
+
+def first_chunk(data: Column) -> Column:
+    """Place and framed size of a container's first chunk from its header alone: struct(place, bytes); no checksum is read."""
+    at = read_u32(data, 6) + HEADER_BYTES
+    whole = read_header(data)["error"].isNull() & (F.octet_length(data) >= at + 4)
+    return F.struct(F.when(whole, at).alias("place"), F.when(whole, read_u32(data, at + 1) + FRAME_BYTES).alias("bytes"))

@@ -34,9 +34,20 @@ def framed_arrays(members: DataFrame, size: int) -> DataFrame:
 
 
 def joined_parts(parts: DataFrame, key: str, order: str, data: str) -> DataFrame:
-    """(key, content): a key's byte parts in order as one value, from hex so that concatenation stays in expressions."""
-    held = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, F.hex(data).alias("hex")))).alias("x"))
-    return held.select(key, F.unhex(F.array_join(F.transform("x", lambda p: p["hex"]), "")).alias("content"))
+    """(key, content): a key's byte parts in order as one value (one file, so below the 2 GB of a value)."""
+    return parts.groupBy(key).agg(F.expr(f"listagg(`{data}`, X'') WITHIN GROUP (ORDER BY `{order}`)").alias("content"))
+
+
+def trimmed(x: Column, size: Column) -> Column:
+    """The array's first ``size`` values."""
+    return F.slice(x, F.lit(1), size)
+
+
+def verified(assets: DataFrame, manifest: DataFrame, name: str = "name") -> DataFrame:
+    """(name, status) of (name, content) against a manifest (name, digest): ok, differs, missing, or unlisted."""
+    own = assets.select(name, F.sha2("content", 256).alias("own"))
+    status = F.when(F.col("own").isNull(), "missing").when(F.col("digest").isNull(), "unlisted").when(F.col("own") == F.lower("digest"), "ok").otherwise("differs")
+    return own.join(manifest.select(name, F.col("digest")), name, "full").select(name, status.alias("status"))
 
 
 def numeric_suffix(name: Column) -> Column:

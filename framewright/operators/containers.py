@@ -31,23 +31,31 @@ def parse_metadata(json: Column) -> Column:
     return F.struct(*filled, extra.alias("extra"))
 
 
-def violation(meta: Column, model: str, codebooks: int) -> Column:
-    """Why a payload doesn't suit a model; null if it does."""
-    return (
+def violation(meta: Column, model: str, codebooks: int, model_hash: str | None = None, chunks: Column | None = None) -> Column:
+    """Why a payload doesn't suit a model; null if it does. The entropy model's hash matters to payloads that have chunks."""
+    out = (
         F.when(meta["m"].isNull() | (meta["m"] != model), "model differs")
         .when(meta["nc"].isNull() | (meta["nc"] != codebooks), "codebooks differ")
         .when(meta["acv"] != BITSTREAM, "bitstream version differs")
         .when(~F.coalesce(meta["lm"], F.lit(False)), "no model coding")
         .when(meta["fl"] <= 0, "frame length isn't positive")
     )
-
-
-def build(chunks: DataFrame, key: str, order: str, metadata: Column) -> DataFrame:
-    """(key, content): header and framed chunks of each key in order. A container is one file, so one row."""
-    held = chunks.select(key, order, chunk_frame(F.col("payload")).alias("frame"), metadata.alias("json"))
-    held = held.groupBy(key).agg(F.first("json", ignorenulls=True).alias("json"), F.array_sort(F.collect_list(F.struct(order, F.hex("frame").alias("frame")))).alias("frames"))
-    body = F.unhex(F.array_join(F.transform("frames", lambda x: x["frame"]), ""))
-    return held.select(key, F.concat(header(F.col("json")), body).alias("content"))
+    if model_hash is None:
+        return out
+    any_chunk = F.lit(True) if chunks is None else chunks > 0
+    return out.when(any_chunk & meta["lmh"].isNull(), "model hash is missing").when(any_chunk & (meta["lmh"] != model_hash), "model hash differs")
+
+
+def build(chunks: DataFrame, key: str, order: str, metadata: Column, limit: int = 1 << 30) -> DataFrame:
+    """(key, content): header and framed chunks of each key in order. A container is one file, so one row, of ``limit`` bytes at most.
+
+    A key whose only payload is null has no chunks: its container is the header alone.
+    """
+    held = chunks.select(key, order, F.when(F.col("payload").isNotNull(), chunk_frame(F.col("payload"))).alias("frame"), metadata.alias("json"))
+    small = F.when(F.coalesce(F.sum(F.octet_length("frame")), F.lit(0)) > limit, F.raise_error(F.lit(f"a container has at most {limit} bytes"))).otherwise(F.lit(0))
+    body = F.expr(f"listagg(frame, X'') WITHIN GROUP (ORDER BY `{order}`)")
+    held = held.groupBy(key).agg(F.first("json", ignorenulls=True).alias("json"), body.alias("body"), small.alias("small"))
+    return held.where("small IS NULL OR small = 0").select(key, F.concat(header(F.col("json")), F.coalesce("body", F.lit(b""))).alias("content"))
 
 
 def scan_container(data: bytes, with_crc: bool = True):

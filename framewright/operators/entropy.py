@@ -6,6 +6,7 @@ and such payloads are marked (``wide``) because a 64-bit decoder couldn't read t
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -43,14 +44,14 @@ class Interval:
 
 def encode_symbols(symbols, cdfs, bits: int = BITS) -> tuple[bytes, int]:
     """(bytes, widest register) of symbols, each with its own cumulative counts; bits fill bytes from the lowest."""
-    state, out = Interval(bits), []
+    state, out = Interval(bits), bytearray()
     for symbol, cdf in zip(symbols, cdfs):
         if not 0 <= symbol < len(cdf):
             raise ValueError(f"symbol {symbol} is out of range")
         state.widen()
-        out += state.narrow(cdf[symbol - 1] if symbol else 0, cdf[symbol])
-    out += [state.low >> k & 1 for k in range(state.places - 1, -1, -1)]
-    return sum(bit << k for k, bit in enumerate(out)).to_bytes(-(-len(out) // 8), "little"), state.widest
+        out += bytes(state.narrow(cdf[symbol - 1] if symbol else 0, cdf[symbol]))
+    out += bytes([state.low >> k & 1 for k in range(state.places - 1, -1, -1)])
+    return np.packbits(np.frombuffer(out, np.uint8), bitorder="little").tobytes(), state.widest
 
 
 def decode_symbols(data: bytes, cdfs, bits: int = BITS) -> list:
@@ -73,24 +74,53 @@ def decode_symbols(data: bytes, cdfs, bits: int = BITS) -> list:
     return out
 
 
-def encode(sequences: DataFrame, bits: int = BITS) -> DataFrame:
-    """(track, payload, symbols, wide) from (track, t, symbol, cdf): a track is coded in the order of t."""
+def shared_tables(tables: DataFrame | None, limit: int):
+    """The cumulative counts of each model as a broadcast dictionary; their number is part of a model and checked."""
+    if tables is None:
+        return None
+    rows = tables.select("model", "cdf").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} tables of counts")
+    return tables.sparkSession.sparkContext.broadcast({r.model: r.cdf for r in rows})
+
+
+def _counts(table: pa.Table, shared) -> list:
+    if shared is None:
+        return table.column("cdf").to_pylist()
+    return [shared.value[m] for m in table.column("model").to_pylist()]
+
+
+def _types(df: DataFrame, names: tuple) -> str:
+    return ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
+
+
+def encode(sequences: DataFrame, tables: DataFrame | None = None, *, keys: tuple = ("track",), bits: int = BITS, limit: int = 16_384) -> DataFrame:
+    """(keys, payload, symbols, wide) from (keys, t, symbol, cdf): the symbols of a key are coded in the order of t.
+
+    With ``tables`` (model, cdf), at most ``limit`` of them, the symbols name a ``model`` instead, and counts travel once.
+    A long track should have its chunk among the keys, so that no task holds all of it.
+    """
+    shared = shared_tables(tables, limit)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("t")
-        data, widest = encode_symbols(table.column("symbol").to_pylist(), table.column("cdf").to_pylist(), bits)
-        return pa.table({"track": table.column("track")[:1], "payload": pa.array([data], pa.binary()), "symbols": pa.array([table.num_rows], pa.int64()), "wide": [widest > 64]})
+        data, widest = encode_symbols(table.column("symbol").to_pylist(), _counts(table, shared), bits)
+        return pa.table({**{k: table.column(k)[:1] for k in keys}, "payload": pa.array([data], pa.binary()), "symbols": pa.array([table.num_rows], pa.int64()), "wide": [widest > 64]})
 
-    return sequences.select("track", "t", "symbol", "cdf").groupBy("track").applyInArrow(run, f"track {sequences.schema['track'].dataType.simpleString()}, payload binary, symbols long, wide boolean")
+    rows = sequences.select(*keys, "t", "symbol", "cdf" if shared is None else "model")
+    return rows.groupBy(*keys).applyInArrow(run, f"{_types(sequences, keys)}, payload binary, symbols long, wide boolean")
 
 
-def decode(payloads: DataFrame, models: DataFrame, bits: int = BITS) -> DataFrame:
-    """(track, t, symbol) from (track, payload) and the same models (track, t, cdf)."""
+def decode(payloads: DataFrame, models: DataFrame, tables: DataFrame | None = None, *, keys: tuple = ("track",), bits: int = BITS, limit: int = 16_384) -> DataFrame:
+    """(keys, t, symbol) from (keys, payload) and the same models (keys, t, cdf or model); keys without a payload give nothing."""
+    shared = shared_tables(tables, limit)
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table, payload: pa.Table) -> pa.Table:
+        if not payload.num_rows:
+            table = table.slice(0, 0)
         table = table.sort_by("t")
-        symbols = decode_symbols(table.column("payload")[0].as_py(), table.column("cdf").to_pylist(), bits)
-        return pa.table({"track": table.column("track"), "t": table.column("t"), "symbol": pa.array(symbols, pa.int64())})
+        symbols = decode_symbols(payload.column("payload")[0].as_py(), _counts(table, shared), bits) if table.num_rows else []
+        return pa.table({**{k: table.column(k) for k in keys}, "t": table.column("t").cast(pa.int64()), "symbol": pa.array(symbols, pa.int64())})
 
-    rows = models.join(payloads.select("track", "payload"), "track").select("track", "t", "cdf", "payload")
-    return rows.groupBy("track").applyInArrow(run, f"track {models.schema['track'].dataType.simpleString()}, t long, symbol long")
+    rows = models.select(*keys, "t", "cdf" if shared is None else "model").groupBy(*keys)
+    return rows.cogroup(payloads.select(*keys, "payload").groupBy(*keys)).applyInArrow(run, f"{_types(models, keys)}, t long, symbol long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,6 +33,17 @@ def sizes(chunks: DataFrame, key: str) -> DataFrame:
     return chunks.groupBy(key).agg(F.count(F.lit(1)).alias("chunks"), F.sum(whole).alias("chunk_bytes"), F.sum("payload_bytes").alias("payload_total"), F.avg(whole).alias("mean_chunk_bytes"))
 
 
+def file_sizes(files: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    """Sizes of whole files beside those of their chunks, from (key, header_bytes, file_bytes) and (key, payload_bytes)."""
+    of_files = files.groupBy(key).agg(F.sum("file_bytes").alias("file_bytes"), F.sum("header_bytes").alias("header_bytes"))
+    return of_files.join(sizes(chunks, key), key, "left")
+
+
+def realtime_factor(seconds: Column, samples: Column, rate: int) -> Column:
+    """Seconds spent for a second of signal; null for an empty one."""
+    return F.when(samples > 0, seconds * rate / samples)
+
+
 def inspection(chunks: DataFrame, key: str, order: str) -> DataFrame:
     """Chunks in order with the bytes of a track so far, from (key, order, payload_bytes)."""
     so_far = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let as _let
 from ..functions.layout import whole_div
 from ..functions.quantise import quantise_logit
 
@@ -19,11 +20,6 @@ def _sum(values: Column, kind: str) -> Column:
     return F.aggregate(values, F.lit(0).cast(kind), lambda s, x: s + x)
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once for the row, also where a lambda inside uses it for every element."""
-    return F.transform(F.array(value), body)[0]
-
-
 def softmax(logits: DataFrame, step: float, tau: float = 1.0, fp_scale: int = FP_SCALE) -> DataFrame:
     """(id, pdf, near_uniform) from (id, logits): quantised logits, then softmax; a column close to uniform becomes it."""
     quantised = F.transform("logits", lambda x: quantise_logit(x.cast("double") / tau, step))

@@ -11,9 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import layout, naming, octets, quantise
-from ..operators import arrays, containers, entropy, framing, ledger, measures, probability, vectors
+from ..operators import arrays, codec, containers, entropy, framing, ledger, measures, probability, vectors
+from ..sources import files, packets, pcm, wav
 from ..streaming import chunks as streams
-from .store import scratch
+from .store import scratch, written
 
 SAMPLES, STRIDE, FRAMES = 16, 12, 5  # the segments' size in these queries
 STEP, GAIN = layout.ENTROPY_LOGIT_STEP, 40.0
@@ -174,20 +175,110 @@ def lm_window_inputs(spark, sf):
     return framing.model_inputs(tokens(spark, sf), 4)
 
 
+CODED = 32  # symbols of a track that are coded as one
+
+
 def models(spark, sf):
-    """A coding model for each token: its place picks one of the vectors' distributions."""
-    some = cdfs(spark, sf).where("id < 64").withColumnRenamed("id", "model")
-    return tokens(spark, sf).withColumn("model", F.col("t") % 64).join(F.broadcast(some), "model").select("track", "t", F.col("code").alias("symbol"), "cdf")
+    """A coding model for each token, its place modulo 64, and the vectors' distributions as the models' counts."""
+    t = tokens(spark, sf).withColumnRenamed("code", "symbol")
+    coded = t.withColumns({"model": F.col("t") % 64, "chunk": layout.whole_div(F.col("t"), CODED)})
+    return coded, cdfs(spark, sf).where("id < 64").withColumnRenamed("id", "model")
 
 
 def arith_roundtrip(spark, sf):
-    m = models(spark, sf)
-    payloads = entropy.encode(m)
-    return entropy.decode(payloads, m.drop("symbol"))
+    symbols, tables = models(spark, sf)
+    coded = entropy.encode(symbols, tables, keys=("track", "chunk"))
+    return entropy.decode(coded, symbols.drop("symbol"), tables, keys=("track", "chunk")).select("track", "t", "symbol")
 
 
 def arith_code_lengths(spark, sf):
-    return entropy.encode(models(spark, sf)).select("track", "symbols", F.octet_length("payload").cast("long").alias("bytes"), "wide")
+    """Information of each coded sequence in bits, and whether its bytes are that many and no more than the coder's register over."""
+    symbols, tables = models(spark, sf)
+    coded = entropy.encode(symbols, tables, keys=("track", "chunk"))
+    upto, below = F.element_at("cdf", F.col("symbol").cast("int") + 1), F.when(F.col("symbol") > 0, F.element_at("cdf", F.greatest(F.col("symbol"), F.lit(1)).cast("int"))).otherwise(0)
+    bits = symbols.join(F.broadcast(tables), "model").withColumn("bits", F.lit(probability.RANGE_BITS) - F.log2(upto - below))
+    bits = bits.groupBy("track", "chunk").agg(F.sum("bits").alias("bits"))
+    size = F.octet_length("payload") * 8
+    out = coded.join(bits, ["track", "chunk"])
+    return out.select("track", "chunk", "symbols", F.round("bits", 3).alias("bits"), ((size >= F.col("bits") - 1) & (size <= F.col("bits") + 40)).alias("fits"), "wide")
+
+
+#: Segments' codes: two of a frame, eight frames of a segment; the frame's place in a window of four and the codebook pick the counts.
+SPEC = codec.Spec("model", books=2, samples=SAMPLES, stride=STRIDE, frames=8, model_hash="5f2c", window=4, normalise=True, model_of=lambda at, book: 2 * at + book)
+
+
+def segment_codes(spark, sf):
+    """Each segment's samples, zero-padded, as codes below 64."""
+    padded = arrays.framed_arrays(framing.membership(signal(spark, sf), SAMPLES, STRIDE), SAMPLES)
+    codes = padded.select("track", "seg", F.posexplode("pcm").alias("place", "v"))
+    return codes.select("track", "seg", layout.whole_div(F.col("place"), 2).alias("t"), (F.col("place") % 2).cast("long").alias("book"), F.pmod(F.floor("v"), F.lit(64)).cast("long").alias("code"))
+
+
+def encoded_tracks(spark, sf):
+    scales = framing.segments(lengths(spark, sf), SAMPLES, STRIDE, SPEC.frames).select("track", "seg", (F.col("n") + 0.5).alias("scale"))
+    tables = cdfs(spark, sf).where("id < 8").withColumnRenamed("id", "model")
+    return written(codec.encode(segment_codes(spark, sf), lengths(spark, sf), tables, SPEC, scales), "containers"), tables
+
+
+def codec_roundtrip(spark, sf):
+    content, tables = encoded_tracks(spark, sf)
+    codes, scales = codec.decode(content, tables, SPEC)
+    return codes.join(scales, ["track", "seg"]).select("track", "seg", "t", "book", "code", F.col("scale").cast("double").alias("scale"))
+
+
+def codec_inspect(spark, sf):
+    content, _ = encoded_tracks(spark, sf)
+    found = codec.inspect(content, SPEC, rate=8000)
+    return found.select("track", "chunk", "offset", "samples", F.round("duration_ms", 3).alias("duration_ms"), "frames", (F.col("chunk_bytes") - F.col("payload_bytes")).alias("framing"), (F.col("cumulative_bytes") >= F.col("chunk_bytes") + 13 * F.col("chunk")).alias("grows"), "error")
+
+
+def payload_checks(spark, sf):
+    """Made-up metadata of each part against one model: every kind of fault."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    meta = {"m": F.when(k % 7 == 0, "other").otherwise("model"), "nc": F.when(size % 5 == 0, 8).otherwise(4), "lm": k % 11 > 0, "acv": F.when(size % 9 == 0, 1).otherwise(2), "fl": F.when(k % 13 == 0, 0).when(k % 2 == 0, 75), "lmh": F.when(k % 3 == 0, "h").when(k % 3 == 1, "x")}
+    meta = F.struct(*[c.alias(n) for n, c in meta.items()])
+    violation = containers.violation(meta, "model", 4, "h", size % 4)
+    shape = codec.shape_error((size - 2).cast("long"), F.when(k % 17 > 0, F.lit(30).cast("long")), (size * 4 - F.when(k % 5 == 0, 9).otherwise(8)).cast("long"), 4)
+    return table(spark, sf, "part").select("p_partkey", violation.alias("violation"), shape.alias("shape"))
+
+
+def payload_parts(spark, sf):
+    return payloads(spark, sf).select("track", F.col("chunk").alias("packet"), F.col("payload").alias("data"))
+
+
+def packet_cache_roundtrip(spark, sf):
+    caches = packets.contents(payload_parts(spark, sf), "track", fields={"audioLength": F.count(F.lit(1)) * 960})
+    found = packets.packets_of(written(caches, "caches"), "track")
+    return found.select("track", "packet", F.octet_length("data").cast("long").alias("bytes"), F.sha2("data", 256).alias("digest"), F.get_json_object("payload", "$.audioLength").cast("long").alias("length"), "error")
+
+
+def packet_changes(spark, sf):
+    return packets.changing(table(spark, sf, "lineitem"), "l_orderkey", "l_returnflag", "l_linestatus")
+
+
+def wav_blocks(spark, sf):
+    """A user's events as a stereo file, the second channel upside down."""
+    held = signal(spark, sf).groupBy("track").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("x"))
+    v = held.select("track", F.concat(F.col("track").cast("string"), F.lit(".wav")).alias("path"), F.lit(8000).alias("rate"), F.lit(0).cast("long").alias("start"), F.transform("x", lambda x: (x["v"] / 500.0).cast("float")).alias("v"))
+    other = v.withColumn("v", F.transform("v", lambda x: -x))
+    return v.withColumn("channel", F.lit(0)).union(other.withColumn("channel", F.lit(1)))
+
+
+def wav_scan(spark, sf):
+    """Files of 16, 24 and 32 bits, written and read back."""
+    folder, blocks = scratch(spark, "wav"), wav_blocks(spark, sf)
+    for k, bits in enumerate((16, 24, 32)):
+        files.write(wav.files(blocks.where(F.col("track") % 3 == k), bits).withColumnRenamed("path", "name"), folder).write.format("noop").mode("overwrite").save()
+    rows = wav.samples(wav.read(spark, folder))
+    return rows.select(F.regexp_extract("path", r"([0-9]+)\.wav$", 1).cast("long").alias("track"), F.col("channel").cast("long").alias("channel"), "i", F.round(F.col("v").cast("double"), 6).alias("v"))
+
+
+def raw_pcm_roundtrip(spark, sf):
+    folder = scratch(spark, "pcm")
+    tracks = wav_blocks(spark, sf).where("channel = 0").select(F.regexp_replace("path", "wav$", "f32").alias("name"), "v")
+    files.write(pcm.contents(tracks), folder).write.format("noop").mode("overwrite").save()
+    rows = pcm.read(spark, folder).select("path", "start", F.posexplode("v").alias("k", "v"))
+    return rows.select(F.regexp_extract("path", r"([0-9]+)\.f32$", 1).cast("long").alias("track"), (F.col("start") + F.col("k")).alias("i"), F.col("v").cast("double").alias("v"))
 
 
 def payloads(spark, sf):
@@ -207,9 +298,17 @@ def container_inspect(spark, sf):
 
 
 def container_headers(spark, sf):
-    h = container_table(spark, sf).select("track", octets.read_header(F.col("content")).alias("h"))
-    m = h.select("track", F.col("h.error").alias("error"), containers.parse_metadata(F.col("h.json")).alias("m"))
-    return m.select("track", "error", F.col("m.al").alias("length"), F.col("m.fp").alias("fp_scale"), containers.violation(F.col("m"), "model", 4).alias("violation"))
+    h = container_table(spark, sf).select("track", octets.read_header(F.col("content")).alias("h"), octets.first_chunk(F.col("content")).alias("first"))
+    m = h.select("track", F.col("h.error").alias("error"), containers.parse_metadata(F.col("h.json")).alias("m"), "first")
+    return m.select("track", "error", F.col("first.place").alias("first_place"), F.col("first.bytes").alias("first_bytes"), F.col("m.al").alias("length"), F.col("m.fp").alias("fp_scale"), containers.violation(F.col("m"), "model", 4).alias("violation"))
+
+
+def container_sizes(spark, sf):
+    """Each container's file, header and chunk bytes."""
+    content = written(container_table(spark, sf), "containers")
+    heads = content.select("track", F.octet_length("content").cast("long").alias("file_bytes"), octets.read_header(F.col("content"))["size"].cast("long").alias("header_bytes"))
+    chunks = containers.chunks_of(content, "track").select("track", F.octet_length("payload").cast("long").alias("payload_bytes"))
+    return measures.file_sizes(heads, chunks, "track").drop("mean_chunk_bytes")
 
 
 def chunk_frame_bytes(spark, sf):
@@ -225,10 +324,11 @@ def size_report(spark, sf):
 
 
 def bitpack_roundtrip(spark, sf):
-    c = tokens(spark, sf).groupBy("track").agg(F.array_sort(F.collect_list(F.struct("t", "code"))).alias("x")).select("track", F.transform("x", lambda x: x["code"]).alias("codes"))
-    packed = c.select("track", "codes", octets.pack_bits(F.col("codes"), 10).alias("data"))
-    out = packed.select("track", F.octet_length("data").cast("long").alias("bytes"), octets.unpack_bits(F.col("data"), 10, F.size("codes")).alias("codes"))
-    return out.select("track", "bytes", F.posexplode("codes").alias("t", "code")).select("track", "bytes", F.col("t").cast("long").alias("t"), F.col("code").cast("long").alias("code"))
+    parts = tokens(spark, sf).withColumn("part", layout.whole_div(F.col("t"), 1024))
+    c = parts.groupBy("track", "part").agg(F.array_sort(F.collect_list(F.struct("t", "code"))).alias("x")).select("track", "part", F.transform("x", lambda x: x["code"]).alias("codes"))
+    packed = c.select("track", "part", F.size("codes").alias("n"), octets.pack_bits(F.col("codes"), 10).alias("data"))
+    out = packed.select("track", "part", F.octet_length("data").cast("long").alias("bytes"), F.posexplode(octets.unpack_bits(F.col("data"), 10, F.col("n"))).alias("t", "code"))
+    return out.select("track", "bytes", (F.col("part") * 1024 + F.col("t")).alias("t"), F.col("code").cast("long").alias("code"))
 
 
 def stable_hash(spark, sf):
@@ -246,7 +346,7 @@ def format_normalise(spark, sf):
 
 def metadata_json(spark, sf):
     e = table(spark, sf, "events")
-    return e.select("event_id", F.from_json("props", "map<string,string>")["k"].cast("long").alias("k"), F.to_json(F.struct(F.col("event_type").alias("m"), F.col("user_id").alias("al"))).alias("json"))
+    return e.select("event_id", F.from_json("props", "map<string,string>")["k"].cast("long").alias("k"), containers.metadata_json({"m": F.col("event_type"), "al": F.col("user_id")}).alias("json"))
 
 
 def job_anti_join(spark, sf):
@@ -254,8 +354,9 @@ def job_anti_join(spark, sf):
 
 
 def job_cached(spark, sf):
-    done = table(spark, sf, "labels").where("quality = 1")
-    return ledger.cached(table(spark, sf, "documents").select("doc_id", "lang"), done, ["doc_id"])
+    """Orders whose customer and priority both are those of a finished one."""
+    o = table(spark, sf, "orders")
+    return ledger.cached(o.select("o_orderkey", "o_custkey", "o_orderpriority"), o.where("o_orderstatus = 'F'"), ["o_custkey", "o_orderpriority"])
 
 
 def job_counters(spark, sf):
@@ -273,7 +374,20 @@ def op_histogram(spark, sf):
 
 def layout_from_ms(spark, sf):
     ms = F.col("o_totalprice") % 4000 - 100
-    return table(spark, sf, "orders").select("o_orderkey", layout.samples_of_ms(ms).alias("samples"))
+    packet = layout.packet_size_of_ms(F.col("o_orderkey") % 120)
+    return table(spark, sf, "orders").select("o_orderkey", layout.samples_of_ms(ms).alias("samples"), packet.alias("packet"))
+
+
+def residual_layout(spark, sf):
+    """Flat buffers of each of the kinds that a decoder may hand over, and of odd lengths."""
+    total = F.col("o_custkey") % 100
+    n = layout.segment_count(total, STRIDE)
+    own = layout.segment_starts(total, STRIDE)
+    sum_ = lambda f: F.aggregate(F.transform(own, lambda s: f(F.least(F.lit(SAMPLES).cast("long"), total - s))), F.lit(0).cast("long"), lambda a, x: a + x)
+    k = F.col("o_orderkey") % 5
+    decoded = 2 * F.when(k == 0, n * SAMPLES).when(k == 1, sum_(lambda x: x)).when(k == 2, sum_(lambda x: layout.ceil_div(x, 4) * 4)).when(k == 3, n * 20).otherwise(n * 6) + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0)
+    x = codec.residual_samples(total, decoded.cast("long"), SAMPLES, STRIDE, SAMPLES, 4, 2)
+    return table(spark, sf, "orders").select("o_orderkey", x["each"].alias("each"), x["error"].alias("error"))
 
 
 def layout_resolution(spark, sf):
@@ -309,11 +423,32 @@ def layer_norms(spark, sf):
 
 def activations(spark, sf):
     x = F.col("x")
-    return components(spark, sf).select("vec_id", "bin", F.round(quantise.elu(x), 9).alias("elu"), F.round(quantise.sigmoid(x), 9).alias("sigmoid"), F.round(F.tanh(x), 9).alias("tanh"))
+    return components(spark, sf).select("vec_id", "bin", F.round(quantise.elu(x), 9).alias("elu"), F.round(quantise.sigmoid(x), 9).alias("sigmoid"), F.round(F.tanh(x), 9).alias("tanh"), F.round(quantise.gelu(x), 9).alias("gelu"))
 
 
 def cdf_digests(spark, sf):
-    return cdfs(spark, sf).select("id", F.sha2(F.array_join(F.transform("cdf", lambda c: c.cast("string")), ","), 256).alias("digest"))
+    """The determinism probe: counts and a symbol made from the column's number, digested together."""
+    symbol = ((17 * F.col("id") + 31) % 64).cast("string")
+    return cdfs(spark, sf).select("id", F.sha2(F.concat(F.array_join(F.transform("cdf", lambda c: c.cast("string")), ","), F.lit(";"), symbol), 256).alias("digest"))
+
+
+def quantised_linear(spark, sf):
+    """Vectors as int16 times four int8 weight rows, in whole numbers, and back to single precision."""
+    e = table(spark, sf, "embeddings")
+    part = lambda limit, even: (quantise.symmetric_row(F.col("embedding"), limit, even), quantise.symmetric_scale(F.col("embedding"), limit))
+    weights = e.where("vec_id < 4").select(F.struct(F.col("vec_id").alias("row"), part(127, True)[0].alias("q"), part(127, True)[1].alias("scale")).alias("w"))
+    weights = weights.agg(F.array_sort(F.collect_list("w")).alias("weights"))
+    x = e.select("vec_id", part(32767, False)[0].alias("q"), part(32767, False)[1].alias("scale")).join(F.broadcast(weights))
+    out = x.select("vec_id", "q", "scale", F.explode("weights").alias("w")).select("vec_id", F.col("w.row").alias("row"), quantise.whole_dot(F.col("q"), F.col("w.q")).alias("dot"), "scale", F.col("w.scale").alias("row_scale"))
+    return out.select("vec_id", "row", "dot", F.round(quantise.dequantised(F.col("dot"), F.col("scale"), F.col("row_scale"), F.col("row") / 8).cast("double"), 4).alias("value"))
+
+
+def asset_manifest(spark, sf):
+    """Pages against a manifest of their digests that leaves some out, has some wrong, and lists some that aren't there."""
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("name"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
+    digest = F.when(F.col("name") % 5 == 0, F.upper(F.sha2(F.lit("other"), 256))).otherwise(F.upper(F.sha2("content", 256)))
+    manifest = p.where("name % 3 <> 0").select("name", digest.alias("digest")).union(p.where("name % 50 = 1").select(-F.col("name"), F.lit("0")))
+    return arrays.verified(p, manifest)
 
 
 def joined_assets(spark, sf):
@@ -362,7 +497,7 @@ def streamed_frames(spark, sf):
 def streamed_totals(spark, sf):
     rows = streams.stream(spark, f"{sf}/events.parquet")
     out = streams.totals(rows, "ts", "1 day", "1 hour", "event_type")
-    done = streams.run_once(out, scratch(spark, "totals"), scratch(spark, "totals-state"))
+    done = streams.latest(out, ["begin", "event_type"], scratch(spark, "totals"), scratch(spark, "totals-state"))
     return done.select(F.date_format("begin", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
@@ -372,5 +507,6 @@ QUERIES = {f.__name__: f for f in (
     lm_window_inputs, arith_roundtrip, arith_code_lengths, container_inspect, container_headers, chunk_frame_bytes, size_report, bitpack_roundtrip,
     stable_hash, slugify, format_normalise, metadata_json, job_anti_join, job_cached, job_counters, repeated_payloads, op_histogram, layout_from_ms,
     layout_resolution, preset_lookup, padded_segments, reflect_padded, layer_norms, activations, cdf_digests, joined_assets, suffix_order, cache_keys,
-    bundle_getters, buffer_lookup, streamed_frames, streamed_totals,
+    bundle_getters, buffer_lookup, streamed_frames, streamed_totals, codec_roundtrip, codec_inspect, container_sizes, payload_checks,
+    packet_cache_roundtrip, packet_changes, wav_scan, raw_pcm_roundtrip, residual_layout, quantised_linear, asset_manifest,
 )}

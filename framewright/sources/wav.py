@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 1 << 16  # samples in a row
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE  # fixed values of the format
+GUID_TAIL = bytes.fromhex("000000001000800000aa00389b71")  # fixed value: the rest of an extensible format's name
 SCHEMA = "path string, rate int, channels int, channel int, start long, v array<float>"
 
 
@@ -46,12 +47,21 @@ def parse(data: bytes, divisor: int = 32767) -> tuple[int, np.ndarray]:
     return rate, flat.reshape(-1, channels).T
 
 
-def assemble(rate: int, samples: np.ndarray) -> bytes:
-    """A PCM16 file of int16 samples [channel, frame]."""
+def assemble(rate: int, samples: np.ndarray, bits: int = 16) -> bytes:
+    """A file of samples [channel, frame]: whole numbers as PCM16 or PCM24 (an extensible header), floats as float32 (``bits`` 32)."""
     channels, n = samples.shape
-    body = np.ascontiguousarray(samples.T).astype("<i2").tobytes()
-    fmt = struct.pack("<HHIIHH", PCM, channels, rate, rate * channels * 2, channels * 2, 16)
-    return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", len(body)) + body
+    flat = np.ascontiguousarray(samples.T)
+    if bits == 24:
+        body = flat.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    else:
+        body = flat.astype("<i2" if bits == 16 else "<f4").tobytes()
+    width = channels * bits // 8
+    kind = {16: PCM, 24: EXTENSIBLE, 32: FLOAT}[bits]
+    fmt = struct.pack("<HHIIHH", kind, channels, rate, rate * width, width, bits)
+    if bits == 24:
+        fmt += struct.pack("<HHIH", 22, 24, 0, PCM) + GUID_TAIL
+    pad = b"\0" * (len(body) % 2)
+    return b"RIFF" + struct.pack("<I", 20 + len(fmt) + len(body) + len(pad)) + b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(body)) + body + pad
 
 
 def read(spark: SparkSession, path: str, divisor: int = 32767, pattern: str = "*.wav") -> DataFrame:
@@ -68,15 +78,19 @@ def read(spark: SparkSession, path: str, divisor: int = 32767, pattern: str = "*
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content").mapInArrow(run, SCHEMA)
 
 
-def files(blocks: DataFrame) -> DataFrame:
-    """(path, content): a PCM16 file of each path from its blocks; clamped to 0.99 and cut towards zero."""
+def files(blocks: DataFrame, bits: int = 16) -> DataFrame:
+    """(path, content): a file of each path from its blocks. PCM16 is clamped to 0.99 and cut towards zero, PCM24 clamped to 1 and rounded; 32 bits keep the floats."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("channel", "ascending"), ("start", "ascending")])
         channel = table.column("channel").to_numpy()
         lines = [np.concatenate([np.asarray(v.values, np.float64) for v, c in zip(table.column("v"), channel) if c == k]) for k in range(int(channel.max()) + 1)]
-        samples = np.trunc(np.clip(np.stack(lines), -0.99, 0.99) * 32767).astype(np.int16)
-        return pa.table({"path": table.column("path")[:1], "content": pa.array([assemble(table.column("rate")[0].as_py(), samples)], pa.binary())})
+        values = np.stack(lines)
+        if bits == 16:
+            values = np.trunc(np.clip(values, -0.99, 0.99) * 32767).astype(np.int16)
+        elif bits == 24:
+            values = np.rint(np.clip(values * 8388608, -8388608, 8388607)).astype(np.int32)
+        return pa.table({"path": table.column("path")[:1], "content": pa.array([assemble(table.column("rate")[0].as_py(), values, bits)], pa.binary())})
 
     return blocks.select("path", "rate", "channel", "start", "v").groupBy("path").applyInArrow(run, "path string, content binary")
 

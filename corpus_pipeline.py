@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from framewright.llm import decontamination, language_id, near_duplicates, packing, repeated_spans
-from framewright.llm.common import documents, written
+from framewright.llm.common import documents, spent, written
 from framewright.llm.tokenizing import vocabulary_path
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,7 +47,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over all of ``documents``."""
-    docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    docs = before = documents(spark, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = written(stage(spark, before, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if k:
+            spent(before)
+        before = docs
     return docs

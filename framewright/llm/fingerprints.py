@@ -47,39 +47,53 @@ def larger(size: np.ndarray) -> np.ndarray:
     return np.where(size == power, power + power // 2, 2 * power)
 
 
-class Tables:
-    """Lookup tables of one size: per cell a count, the sum of digests, the sum of their check values."""
-
-    def __init__(self, count, keys, checks, size: int):
-        self.count, self.keys, self.checks, self.size = count, keys, checks, size
+def enough(number: np.ndarray) -> np.ndarray:
+    """The first of those sizes with half as many cells again as digests, over all hash functions."""
+    size = np.full(len(number), 4, np.int64)
+    while (small := 2 * HASHES * size < 3 * number).any():
+        size[small] = larger(size[small])
+    return size
 
-    @classmethod
-    def empty(cls, n: int, size: int):
-        cells = n * HASHES * size
-        return cls(np.zeros(cells, np.int32), np.zeros(cells, np.uint64), np.zeros(cells, np.uint32), size)
 
-    def places(self, digests, owner):
-        salt = np.uint64(self.size * 2654435761)
-        return [(owner * HASHES + j) * self.size + (mix(digests + salt + np.uint64(j + 1)) % np.uint64(self.size)).astype(np.int64) for j in range(HASHES)]
+class Tables:
+    """Lookup tables, each of its own ``size``: per cell a count, the sum of digests, the sum of their check values."""
+
+    def __init__(self, size: np.ndarray, count=None, keys=None, checks=None):
+        self.size, self.edges = size, np.concatenate([[0], np.cumsum(HASHES * size)])
+        cells = int(self.edges[-1])
+        self.count = np.zeros(cells, np.int32) if count is None else count
+        self.keys = np.zeros(cells, np.uint64) if keys is None else keys
+        self.checks = np.zeros(cells, np.uint32) if checks is None else checks
+
+    def places(self, digests, owner) -> np.ndarray:
+        """[hash function, digest]: the cells of each."""
+        size, out = self.size[owner], np.empty((HASHES, len(digests)), np.int64)
+        wide = size.astype(np.uint64)
+        salted = digests + wide * np.uint64(2654435761)
+        for j in range(HASHES):
+            out[j] = self.edges[owner] + j * size + (mix(salted + np.uint64(j + 1)) % wide).astype(np.int64)
+        return out
 
     @staticmethod
     def check(digests):
         return (mix(digests ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(32)).astype(np.uint32)
 
-    def add(self, digests, owner, signs) -> "Tables":
-        signs = np.broadcast_to(np.asarray(signs, np.int32), digests.shape)
+    def add(self, digests, owner, signs) -> np.ndarray:
+        """Adds (sign 1) or takes away (-1) digests; returns their cells."""
+        signs = np.full(len(digests), signs, np.int32) if np.isscalar(signs) else signs
         keys, checks = digests * signs.astype(np.uint64), self.check(digests) * signs.astype(np.uint32)
-        for at in self.places(digests, owner):
+        places = self.places(digests, owner)
+        for at in places:
             np.add.at(self.count, at, signs)
             np.add.at(self.keys, at, keys)
             np.add.at(self.checks, at, checks)
-        return self
+        return places.ravel()
 
     def copy(self) -> "Tables":
-        return Tables(self.count.copy(), self.keys.copy(), self.checks.copy(), self.size)
+        return Tables(self.size, self.count.copy(), self.keys.copy(), self.checks.copy())
 
     def minus(self, other: "Tables") -> "Tables":
-        return Tables(self.count - other.count, self.keys - other.keys, self.checks - other.checks, self.size)
+        return Tables(self.size, self.count - other.count, self.keys - other.keys, self.checks - other.checks)
 
     def peel(self):
         """(digests, owners, signs: +1 left or -1 right side alone) and whether each table came out empty; empties the tables."""
@@ -89,18 +103,18 @@ class Tables:
             sign = self.count[at]
             digest = self.keys[at] * sign.astype(np.uint64)
             pure = (np.abs(sign) == 1) & (self.checks[at] * sign.astype(np.uint32) == self.check(digest))
-            digest, sign, owner = digest[pure], sign[pure], at[pure] // (HASHES * self.size)
+            digest, sign, owner = digest[pure], sign[pure], np.searchsorted(self.edges, at[pure], "right") - 1
             order = np.lexsort((digest, owner))
             digest, sign, owner = digest[order], sign[order], owner[order]
             once = np.ones(len(digest), bool)
             once[1:] = (digest[1:] != digest[:-1]) | (owner[1:] != owner[:-1])
             digest, sign, owner = digest[once], sign[once], owner[once]
-            self.add(digest, owner, -sign)
             found.append((digest, owner, sign))
-            at = np.unique(np.concatenate(self.places(digest, owner))) if len(digest) else at[:0]  # only cells that changed can be new
-        n = len(self.count) // (HASHES * self.size)
-        left = ((self.count != 0) | (self.keys != 0) | (self.checks != 0)).reshape(n, -1).any(axis=1) if n else np.zeros(0, bool)
-        return *(np.concatenate(x) for x in zip(*found)), ~left
+            at = self.add(digest, owner, -sign)  # only cells that changed can be new
+        left = (self.count != 0) | (self.keys != 0) | (self.checks != 0)
+        bad = np.zeros(len(self.size), bool)
+        bad[np.searchsorted(self.edges, np.flatnonzero(left), "right") - 1] = True
+        return *(np.concatenate(x) for x in zip(*found)), ~bad
 
 
 class Fingerprints:
@@ -112,26 +126,19 @@ class Fingerprints:
 
     @classmethod
     def of(cls, digests: np.ndarray, edges: np.ndarray) -> "Fingerprints":
-        """Tables of the digest sets digests[edges[i] : edges[i + 1]], the smallest of :func:`larger`'s sizes that peel by themselves."""
+        """Tables of the digest sets digests[edges[i] : edges[i + 1]], of the first size from :func:`enough` up that peels by itself."""
         number = np.diff(edges)
-        size = np.full(len(number), 4, np.int64)
-        while (small := 2 * HASHES * size < 3 * number).any():
-            size[small] = larger(size[small])
-        parts: dict = {}
-        open_ = np.arange(len(number))
-        while len(open_):
-            failed = [open_[:0]]
-            for s in np.unique(size[open_]).tolist():
-                rows = open_[size[open_] == s]
-                flat, owner = _take(digests, edges, rows)
-                made = Tables.empty(len(rows), s).add(flat, owner, 1)
-                whole = made.copy().peel()[3]
-                cells = _cells(made).reshape(len(rows), -1)
-                parts.update(zip(rows[whole].tolist(), cells[whole]))
-                failed.append(rows[~whole])
-            open_ = np.concatenate(failed)
-            size[open_] = larger(size[open_])
-        return cls(number, size, np.concatenate([np.zeros(0, CELL), *(parts[k] for k in range(len(number)))]))
+        size = enough(number)
+        while True:
+            made = Tables(size)
+            made.add(digests, np.repeat(np.arange(len(number)), number), 1)
+            whole = made.copy().peel()[3]
+            if whole.all():
+                break
+            size = np.where(whole, size, larger(size))
+        cells = np.empty(len(made.count), CELL)
+        cells["count"], cells["keys"], cells["checks"] = made.count, made.keys, made.checks
+        return cls(number, size, cells)
 
     @classmethod
     def read(cls, strings: list) -> "Fingerprints":
@@ -147,28 +154,25 @@ class Fingerprints:
     def take(self, rows: np.ndarray) -> "Fingerprints":
         return Fingerprints(self.number[rows], self.size[rows], _take(self.cells, self.edges, rows)[0])
 
-    def tables(self, rows: np.ndarray, size: int) -> Tables:
-        """The rows' tables at ``size``: as stored, or of other size listed and added anew."""
-        out = Tables.empty(len(rows), size)
-        own = np.flatnonzero(self.size[rows] == size)
-        at = (own[:, None] * HASHES * size + np.arange(HASHES * size)).ravel()
-        cells = _take(self.cells, self.edges, rows[own])[0]
+    def stored(self) -> Tables:
+        return Tables(self.size, *(np.ascontiguousarray(self.cells[c]) for c in CELL.names))
+
+    def tables(self, size: np.ndarray) -> Tables:
+        """The tables at ``size``: as stored, or of other size listed and added anew."""
+        other = np.flatnonzero(self.size != size)
+        if not len(other):
+            return self.stored()
+        out, own = Tables(size), np.flatnonzero(self.size == size)
+        at = _take(np.arange(len(out.count)), out.edges, own)[0]
+        cells = _take(self.cells, self.edges, own)[0]
         out.count[at], out.keys[at], out.checks[at] = cells["count"], cells["keys"], cells["checks"]
-        for s in np.setdiff1d(self.size[rows], [size]).tolist():
-            some = np.flatnonzero(self.size[rows] == s)
-            digests, owner, _, whole = self.tables(rows[some], s).peel()
-            if not whole.all():
-                raise ValueError("a fingerprint is damaged")
-            out.add(digests, some[owner], 1)
+        digests, owner, _, whole = self.take(other).stored().peel()
+        if not whole.all():
+            raise ValueError("a fingerprint is damaged")
+        out.add(digests, other[owner], 1)
         return out
 
 
-def _cells(tables: Tables) -> np.ndarray:
-    out = np.empty(len(tables.count), CELL)
-    out["count"], out["keys"], out["checks"] = tables.count, tables.keys, tables.checks
-    return out
-
-
 def _take(values, edges, rows):
     """(values of the rows edges[i] .. edges[i + 1] one after the other, which of ``rows`` each belongs to)."""
     n = np.diff(edges)[rows]
@@ -179,24 +183,18 @@ def _take(values, edges, rows):
 def differences(left: Fingerprints, right: Fingerprints) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of digests that only the left and only the right text has, pair by pair, from the stored tables alone.
 
-    A pair begins at the larger of its tables' sizes and is tried again at the next ones on failure; the hash functions
-    depend on the size, so a table with room for both sides fails only by chance, and the next size draws again.
+    A pair begins at the larger of its tables' sizes; on failure it is tried again where both sides have room, then at
+    the next sizes: the hash functions depend on the size, so each draws again and fails only by chance.
     """
-    n = len(left.size)
     size = np.maximum(left.size, right.size)
-    only = np.zeros((2, n), np.int64)
-    open_ = np.arange(n)
+    only = np.zeros((2, len(size)), np.int64)
+    open_ = np.arange(len(size))
     while len(open_):
-        failed = [open_[:0]]
-        for s in np.unique(size[open_]).tolist():
-            rows = open_[size[open_] == s]
-            for part in np.array_split(rows, -(-len(rows) * s * HASHES // (1 << 20))):
-                _, owner, sign, done = left.tables(part, s).minus(right.tables(part, s)).peel()
-                for side, which in enumerate((1, -1)):
-                    only[side] += np.bincount(part[owner[(sign == which) & done[owner]]], minlength=n)
-                failed.append(part[~done])
-        open_ = np.concatenate(failed)
-        size[open_] = larger(size[open_])
+        a, b = left.take(open_), right.take(open_)
+        _, owner, sign, done = a.tables(size).minus(b.tables(size)).peel()
+        for side, which in enumerate((1, -1)):
+            only[side] += np.bincount(open_[owner[(sign == which) & done[owner]]], minlength=len(left.size))
+        open_, size = open_[~done], np.maximum(larger(size), enough(a.number + b.number))[~done]
     return only[0], only[1]
 
 

@@ -82,9 +82,11 @@ def test_peeling_recovers_the_digests_of_either_side():
         x, y = (fingerprints.Fingerprints.of(v, np.array([0, len(v)])) for v in (a, b))
         assert [int(v[0]) for v in fingerprints.differences(x, y)] == [left, right]
         for v, stored in ((a, x), (b, y)):  # a fingerprint gives all its digests back
-            digests, _, sign, whole = stored.tables(np.arange(1), int(stored.size[0])).peel()
+            digests, _, sign, whole = stored.stored().peel()
             assert whole[0] and np.sort(digests).tolist() == v.tolist() and (sign == 1).all()
-        made = [fingerprints.Tables.empty(1, 3072).add(v, np.zeros(len(v), int), 1) for v in (a, b)]
+        made = [fingerprints.Tables(np.array([3072])) for _ in "ab"]
+        for table, v in zip(made, (a, b)):
+            table.add(v, np.zeros(len(v), int), 1)
         digests, _, sign, done = made[0].minus(made[1]).peel()
         assert done[0]
         assert set(zip(digests.tolist(), sign.tolist())) == {(int(k), 1) for k in d[shared : shared + left]} | {(int(k), -1) for k in d[shared + left :]}

@@ -1,13 +1,16 @@
 """Fixed vectors, round trips and damaged inputs of the codec library."""
 
+import hashlib
+import json
+import math
 import struct
 import zlib
 
 import numpy as np
 import pytest
 from framewright.functions import layout, naming, octets, quantise
-from framewright.operators import containers, entropy, framing, ledger, probability, vectors
-from framewright.sources import wav
+from framewright.operators import arrays, codec, containers, entropy, framing, ledger, measures, probability, vectors
+from framewright.sources import files, packets, pcm, wav
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -194,3 +197,147 @@ def test_ledger(spark):
     assert {r.k for r in ledger.outstanding(jobs, done, "k").collect()} == {1, 3}
     assert {r.k for r in ledger.cached(jobs, done, ["k"]).collect()} == {2}
     assert {(r.k, r.decode is None) for r in ledger.provenance(jobs, done.where("out = 'x'"), "k").collect()} == {(1, True), (2, False), (3, True)}
+
+
+def test_long_bit_packing_and_short_bytes(spark):
+    v = [k * 7919 % 1024 for k in range(100_000)]
+    row = values(spark, [(v,)], "v array<int>", d=octets.pack_bits(F.col("v"), 10))[0]
+    assert bytes(row.d) == sum(x << (10 * k) for k, x in enumerate(v)).to_bytes(125_000, "little")
+    assert values(spark, [(bytes(row.d),)], "d binary", v=octets.unpack_bits(F.col("d"), 10, F.lit(100_000)))[0].v == v
+    assert values(spark, [(b"\xff\x03",)], "d binary", v=octets.unpack_bits(F.col("d"), 10, F.lit(3)))[0].v == [1023, None, None]
+
+
+def test_error_function_dots_and_sizes(spark):
+    x = [-7.0, -2.5, -0.1, 0.0, 1e-9, 0.7, 3.0, 5.9, 6.5]
+    for r in values(spark, [(v,) for v in x], "x double", x=F.col("x"), e=quantise.erf(F.col("x")), g=quantise.gelu(F.col("x"))):
+        assert abs(r.e - math.erf(r.x)) < 1e-14 and abs(r.g - r.x / 2 * (1 + math.erf(r.x / math.sqrt(2)))) < 1e-13
+    a, b = [32767] * 1000 + [-5], [127] * 1000 + [9, 9]
+    assert values(spark, [(a, b)], "a array<int>, b array<int>", d=quantise.whole_dot(F.col("a"), F.col("b")))[0].d == 32767 * 127 * 1000 - 45
+    one = values(spark, [(123456789, 0.1, 0.3, 0.7)], "d long, a double, b double, c double", v=quantise.dequantised(*(F.col(c) for c in "dabc")))[0].v
+    f = np.float32
+    assert one == float(f(0.7) + f(123456789) * f(0.1) * f(0.3))
+    assert [r.p for r in values(spark, [(0,), (1,), (20,), (85,), (86,)], "ms int", p=layout.packet_size_of_ms(F.col("ms")))] == [1, 48, 960, 4080, None]
+    assert [r.x for r in values(spark, [(2.0, 96000), (1.0, 0)], "s double, n long", x=measures.realtime_factor(F.col("s"), F.col("n"), 48000))] == [1.0, None]
+    assert values(spark, [([1, 2, 3],)], "x array<int>", t=arrays.trimmed(F.col("x"), F.lit(2)))[0].t == [1, 2]
+
+
+def test_coder_by_chunks_and_shared_tables(spark):
+    tables = spark.createDataFrame([(m, brute_cdf(p)) for m, p in enumerate(([0.5, 0.5], [0.1, 0.2, 0.7], [1e-9] * 40))], "model int, cdf array<long>")
+    rows = [(k % 3, t // 16, t, (t * 5 + k) % 2, t % 3) for k in range(5) for t in range(40 + k) if k != 3]
+    df = spark.createDataFrame([(f"t{r[0]}-{r[3]}", *r[1:]) for r in {(k[0], k[2], k[3]): k for k in rows}.values()], "track string, chunk long, t long, symbol long, model int").dropDuplicates(["track", "chunk", "t"])
+    coded = entropy.encode(df, tables, keys=("track", "chunk"))
+    back = entropy.decode(coded, df.drop("symbol"), tables, keys=("track", "chunk"))
+    want = {(r.track, r.chunk, r.t): r.symbol for r in df.collect()}
+    assert {(r.track, r.chunk, r.t): r.symbol for r in back.collect()} == want
+    assert entropy.decode(coded.limit(0), df.drop("symbol"), tables, keys=("track", "chunk")).count() == 0
+    with pytest.raises(ValueError):
+        entropy.encode(df, tables, limit=2)
+    data, _ = entropy.encode_symbols([0, 1] * 50_000, [[1 << 23, 1 << 24]] * 100_000)  # linear: the bits used to be one growing number
+    assert 12_500 <= len(data) <= 12_504
+
+
+def codec_tables(spark, spec, seed=0):
+    """Random codes of tracks of several lengths, with frames beyond the last segment's own, and the counts of each model."""
+    r = np.random.default_rng(seed)
+    tables = spark.createDataFrame([(m, brute_cdf(r.dirichlet(np.full(32, 0.5)).tolist())) for m in range(8)], "model long, cdf array<long>")
+    lengths = {1: 0, 2: 1, 3: 12, 4: 13, 5: 100}
+    codes, scales = [], []
+    for track, total in lengths.items():
+        for seg in range(-(-total // spec.stride)):
+            codes += [(track, seg, t, b, int(r.integers(32))) for t in range(spec.frames) for b in range(spec.books)]
+            scales.append((track, seg, float(np.float32(r.random()))))
+    return spark.createDataFrame(codes, "track long, seg long, t long, book long, code long"), spark.createDataFrame(list(lengths.items()), "track long, total long"), tables, spark.createDataFrame(scales, "track long, seg long, scale double")
+
+
+@pytest.mark.parametrize("normalise", [False, True])
+def test_codec_round_trip(spark, normalise):
+    spec = codec.Spec("m", books=2, samples=16, stride=12, frames=8, model_hash="h", window=3, normalise=normalise, model_of=lambda at, b: 2 * at + b)
+    codes, tracks, tables, scales = codec_tables(spark, spec)
+    made = codec.encode(codes, tracks, tables, spec, scales if normalise else None)
+    content = {r.track: bytes(r.content) for r in made.collect()}
+    assert set(content) == {1, 2, 3, 4, 5}
+    back, back_scales = codec.decode(made, tables, spec)
+    total = {r.track: r.total for r in tracks.collect()}
+    frames = lambda track, seg: -(-min(16, total[track] - seg * 12) * 8 // 16)
+    want = sorted(tuple(r) for r in codes.collect() if r.t < frames(r.track, r.seg))
+    assert sorted(tuple(r) for r in back.collect()) == want
+    if normalise:
+        assert {(r.track, r.seg): r.scale for r in back_scales.collect()} == {(r.track, r.seg): r.scale for r in scales.collect()}
+    seen = codec.inspect(made, spec, rate=1000).where("track = 5").orderBy("chunk").collect()
+    assert [(r.offset, r.samples, r.duration_ms, r.frames) for r in seen] == [(12 * k, min(16, 100 - 12 * k), float(min(16, 100 - 12 * k)), frames(5, k)) for k in range(9)]
+    assert seen[-1].cumulative_bytes == sum(r.chunk_bytes for r in seen) and codec.scan(made, spec)[0].where("track = 5 AND file_bytes = header_bytes + " + str(seen[-1].cumulative_bytes)).count() == 1
+
+    # Containers that don't suit the model, or are damaged, give their error and no codes.
+    other = lambda **kw: codec.Spec(**({k: getattr(spec, k) for k in spec.__dataclass_fields__} | kw))
+    for kw, error in (({"model": "x"}, "model differs"), ({"books": 3}, "codebooks differ"), ({"model_hash": "y"}, "model hash differs")):
+        errors = {r.track: r.error for r in codec.scan(made, other(**kw))[0].collect()}
+        assert errors[5] == error and (errors[1] is None) == ("model_hash" in kw)  # without chunks there is nothing that the hash is for
+        assert codec.decode(made, tables, other(**kw))[0].count() == 0
+    five = content[5]
+    damaged = spark.createDataFrame([(1, five[:-1]), (2, five[:-1] + bytes([five[-1] ^ 1])), (3, five + struct.pack(">II", 0, 0)), (4, b"?"), (5, five)], "track long, content binary")
+    tracks_found, chunks_found = codec.scan(damaged, spec)
+    assert {r.track: r.error for r in tracks_found.collect()} == {1: None, 2: None, 3: "chunk count differs", 4: "header cut short", 5: None}
+    assert {r.track: r.error for r in chunks_found.where("error IS NOT NULL").collect()} == {1: "payload cut short", 2: "checksum differs", 4: "not a container"}
+    found = {r.track: r.n for r in codec.decode(damaged, tables, spec)[0].groupBy("track").agg(F.countDistinct("seg").alias("n")).collect()}
+    assert found == {1: 8, 2: 8, 5: 9}
+    with pytest.raises(Exception, match="codes don't fill the frames"):
+        codec.encode(codes.where("NOT (track = 5 AND seg = 3 AND t = 1 AND book = 1)"), tracks, tables, spec, scales).collect()
+    with pytest.raises(Exception, match="frame length out of range"):
+        codec.encode(codes.where("NOT (track = 5 AND seg = 3)"), tracks, tables, spec, scales).collect()
+
+
+def test_containers_are_bounded(spark):
+    chunks = spark.createDataFrame([(1, 0, b"abc"), (2, 0, None), (1, 1, b"d"), (1, 10, b"e"), (1, 9, b"f")], "track long, chunk long, payload binary")
+    made = {r.track: bytes(r.content) for r in containers.build(chunks, "track", "chunk", F.lit("{}")).collect()}
+    assert len(made[2]) == 11 and [p for _, _, p, _ in containers.scan_container(made[1])] == [b"abc", b"d", b"f", b"e"]
+    first = values(spark, [(made[1],), (made[2],), (b"",)], "c binary", f=octets.first_chunk(F.col("c")))
+    assert [tuple(r.f) for r in first] == [(11, 11), (None, None), (None, None)]
+    with pytest.raises(Exception, match="at most 10 bytes"):
+        containers.build(chunks, "track", "chunk", F.lit("{}"), limit=10).collect()
+
+
+def test_packet_caches(spark):
+    parts = [(1, k, bytes([k]) * k) for k in range(12)]
+    df = spark.createDataFrame(parts, "k long, packet long, data binary").repartition(3)
+    made = packets.contents(df, "k", fields={"sampleRate": F.lit(48000)})
+    back = packets.packets_of(made, "k").orderBy("packet").collect()
+    assert [(r.packet, bytes(r.data), r.error) for r in back] == [(k, d, None) for _, k, d in parts] and '"sampleRate": 48000' in back[0].payload
+    whole = bytes(made.head().content)
+
+    def cache(envelope, body=b"", magic=b"PKT1"):
+        raw = json.dumps(envelope).encode()
+        return magic + struct.pack(">I", len(raw)) + raw + body
+
+    good = {"format": "packet-cache.v1", "payload": {"packets": [{"buffer": 0}]}, "buffers": [{"byteLength": 2}]}
+    bad = {
+        "not a packet cache": cache(good, b"ab", b"XXXX"), "envelope cut short": whole[:20], "envelope format differs": cache(good | {"format": "?"}), "payload is missing": cache({"format": good["format"]}),
+        "buffers are missing": cache({k: good[k] for k in ("format", "payload")}), "buffer 0 has no length": cache(good | {"buffers": [{}]}), "buffer 0 is cut short": cache(good, b"a"),
+        "no packets": cache(good | {"payload": {}}, b"ab"), "packet 0 names a missing buffer": cache(good | {"payload": {"packets": [{"buffer": 1}]}}, b"ab"),
+    }
+    rows = packets.packets_of(spark.createDataFrame([(k, c) for k, c in bad.items()] + [("good", cache(good, b"ab"))], "k string, content binary"), "k").collect()
+    assert {r.k: r.error for r in rows} == {k: k for k in bad} | {"good": None}
+    rates = spark.createDataFrame([(1, 48000, 2), (1, 48000, 2), (2, 48000, 1), (2, 44100, 1), (3, None, 1), (3, 8000, 1), (4, None, None), (4, None, None)], "k int, rate int, channels int")
+    assert {r.k for r in packets.changing(rates, "k", "rate", "channels").collect()} == {2, 3}
+
+
+def test_raw_samples_and_written_files(spark, tmp_path):
+    v = [[0.5, -0.25, 1e-8, 3.0], [], [1.0, 2.0]]
+    df = spark.createDataFrame([(f"{k}.f32", x) for k, x in enumerate(v)], "name string, v array<double>")
+    done = files.write(pcm.contents(df), f"{tmp_path}/raw").collect()
+    assert {(r.name, r.bytes) for r in done} == {("0.f32", 16), ("1.f32", 0), ("2.f32", 8)}
+    assert (tmp_path / "raw/0.f32").read_bytes() == np.array(v[0], "<f4").tobytes()
+    back = {r.path[-5:]: r.v for r in pcm.read(spark, f"{tmp_path}/raw", channels=2).collect()}
+    assert back == {"0.f32": np.array(v[0], np.float32).tolist(), "2.f32": [1.0, 2.0]}
+    with pytest.raises(Exception, match="bytes, 16 are needed"):
+        pcm.read(spark, f"{tmp_path}/raw", channels=2, frames=2).collect()
+    manifest = spark.createDataFrame([("a", hashlib.sha256(b"x").hexdigest().upper()), ("b", "0"), ("c", "0")], "name string, digest string")
+    assets = spark.createDataFrame([("a", b"x"), ("b", b"y"), ("d", b"z")], "name string, content binary")
+    assert {r.name: r.status for r in arrays.verified(assets, manifest).collect()} == {"a": "ok", "b": "differs", "c": "missing", "d": "unlisted"}
+
+
+@pytest.mark.parametrize("bits", [16, 24, 32])
+def test_wav_formats_round_trip(bits):
+    line = np.array([0, 5, -9, 32000, -32000]) * (1 if bits == 16 else 200 if bits == 24 else 0.125)
+    samples = np.stack([line, -line, line]).astype(np.float32 if bits == 32 else np.int32)
+    rate, got = wav.parse(wav.assemble(44100, samples, bits))
+    assert rate == 44100 and np.allclose(got * {16: 32767, 24: 8388608, 32: 1}[bits], samples, rtol=1e-6)

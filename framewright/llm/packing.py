@@ -1,9 +1,10 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
-Each task packs its own documents best-fit (longest first) and emits the bins that are nearly full. Underfull bins become
-items themselves: a tree of groups of tasks merges them, best-fit again, level by level, until one
-group is left. Only the descriptions of pieces move (no token ids); a node passes on at most ``carry``
-underfull bins (the emptiest; the fuller rest is final), so no task's work grows with the corpus.
+Texts are tokenized where they lie; the descriptions of their pieces (no token ids) are spread by hash, so that each partition has
+its share of every length, however the table is sorted. Each partition packs its own best-fit (longest first) and emits the bins that are nearly
+full. Underfull bins become items themselves: a tree of groups of partitions merges them, best-fit again, level by level, until one
+group is left. A node passes on at most ``carry`` underfull bins (the emptiest; the fuller rest is final), so no task's work grows with the
+corpus; best fit leaves at most one bin of a run half empty or more, so what is closed at a node is more than half full.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from .common import batches, documents, partition_id, written
 from .tokenizing import encoder, vocabulary_path
 
 MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BINS = "bin long, node long, length int, final boolean, members array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
 NAMES = ["bin", "node", "length", "final", "members"]
 
@@ -84,24 +86,8 @@ def pack_documents(
     columns are ignored, and an empty table gives no rows. ``slack``: bins with at most that much room are final.
     """
 
-    def local(iterator):
-        coder, node, made = encoder(tokenizer), partition_id(), 0
-        held: list[tuple] = []
-        count = 0
-
-        def flush(last):
-            nonlocal held, count, made
-            doc, piece, start, length, crc = (np.concatenate(x) for x in zip(*[h[:5] for h in held]))
-            null = np.concatenate([h[5] for h in held])
-            held, count = [], 0
-            order, edges, sums, offset = _pack(length, capacity)
-            final = _keep(sums, capacity - slack, carry, False)
-            arrays = [pa.array(doc[order], mask=null[order]), pa.array(piece[order], pa.int32()), pa.array(start[order]), pa.array(length[order]), pa.array(crc[order]), pa.array(offset)]
-            members = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(MEMBER)))
-            ids = (np.int64(node) << 32) + made + np.arange(len(sums))
-            made += len(sums)
-            return _batch(ids, node, sums, final, members)
-
+    def describe(iterator):
+        coder = encoder(tokenizer)
         for batch in batches(iterator, "text", 4 << 20, tokenizing=True):
             flat, offsets = coder.encode(batch.column(1), end_id)
             size = np.diff(offsets)
@@ -113,13 +99,30 @@ def pack_documents(
             raw = memoryview(flat.tobytes())
             a = (offsets[row] + start) * 4
             crc = np.array([zlib.crc32(raw[x:y]) for x, y in zip(a.tolist(), (a + 4 * length).tolist())], np.int64)
-            doc = batch.column(0)
-            held.append((np.asarray(doc.fill_null(0))[row], piece, start, length, crc, np.asarray(doc.is_null())[row]))
-            count += len(row)
+            columns = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    def local(iterator):
+        node, made, held, count = partition_id(), 0, [], 0
+
+        def flush():
+            nonlocal held, count, made
+            table = pa.Table.from_batches(held).combine_chunks()
+            held, count = [], 0
+            order, edges, sums, offset = _pack(table.column("length").to_numpy().astype(np.int64), capacity)
+            arrays = [c.combine_chunks() for c in table.take(pa.array(order)).columns]
+            members = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays([*arrays, pa.array(offset)], fields=list(MEMBER)))
+            ids = (np.int64(node) << 32) + made + np.arange(len(sums))
+            made += len(sums)
+            return _batch(ids, node, sums, _keep(sums, capacity - slack, carry, False), members)
+
+        for batch in iterator:
+            held.append(batch)
+            count += batch.num_rows
             if count >= chunk:
-                yield flush(False)
+                yield flush()
         if count:
-            yield flush(True)
+            yield flush()
 
     def merge(level: int, last: bool):
         def run(table: pa.Table) -> pa.Table:
@@ -142,7 +145,8 @@ def pack_documents(
         return run
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    bins = written(rows.mapInArrow(local, BINS), "packed-0")
+    spread = rows.mapInArrow(describe, PIECES).repartition("doc_id", "piece", "ids_crc32")
+    bins = written(spread.mapInArrow(local, BINS), "packed-0")
     done, open_ = [bins.where("final")], bins.where(~F.col("final"))
     level = 0
     nodes = (bins.agg(F.max("node")).head()[0] or 0) + 1

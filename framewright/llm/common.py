@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import sys
@@ -47,6 +48,17 @@ def spent(*tables: DataFrame) -> None:
         fs.delete_dir(path)
 
 
+def sheltered(stage):
+    """A stage that keeps all columns of its first table: those that begin with ``__``, as its own do, have other names meanwhile."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        names = {c: f"sheltered{k}{c}" for k, c in enumerate(docs.columns) if c.startswith("__")}
+        return stage(docs.withColumnsRenamed(names), *args, **options).withColumnsRenamed({b: a for a, b in names.items()})
+
+    return run
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it); local, HDFS and object-store URIs alike."""
     from pyarrow import fs

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, sheltered
 
 #: For windows of so many words with so many substitutions at most: (shortest, longest, substitutions, masks). Wherever the
 #: substitutions are, some mask fits somewhere in the window without one (the tests enumerate them all).
@@ -112,6 +112,7 @@ def contaminated(
     return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "tag")
 
 
+@sheltered
 def without_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no item is found; all columns stay."""
     bad = contaminated(docs, items, **options).where("contaminated").select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")).distinct()

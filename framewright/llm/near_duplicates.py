@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, documents, mix, span_hashes, spent, written
+from .common import Words, batches, documents, mix, sheltered, span_hashes, spent, written
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -329,6 +329,7 @@ def near_duplicates(
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "tag", "group")
 
 
+@sheltered
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without near duplicates: of each group the rows of its smallest doc_id, and of those one.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, documents, span_hashes, spent, written
+from .common import Words, batches, documents, sheltered, span_hashes, spent, written
 
 SEGMENT = 1 << 20  # windows of a document that are ranked at once
 
@@ -281,6 +281,7 @@ def remove_repeated(
     return out.select("doc_id", F.col("__text").alias("text"), F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__spans").alias("spans"))
 
 
+@sheltered
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with repeated words gone: a text that loses words is its kept words joined by one space, others stay as they are.
 

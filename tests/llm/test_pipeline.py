@@ -72,8 +72,8 @@ def test_stages_of_an_empty_table(spark, tables):
 
 
 def test_extra_columns_with_clashing_names_stay(spark, tables):
-    more = tables.limit(60).withColumns({c: F.lit(7) for c in ("tag", "group", "n", "node", "items", "piece", "score", "contaminated")})
+    more = tables.limit(60).withColumns({c: F.lit(7) for c in ("tag", "group", "n", "node", "items", "piece", "score", "contaminated", "__doc", "__tag", "__text", "__rows", "__covered", "__n_words")})
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, more, SF)
         assert out.columns == more.columns and out.count() > 0, name
-        assert not out.where("tag <> 7 OR node <> 7").count()
+        assert not out.where("tag <> 7 OR node <> 7 OR __doc <> 7 OR __text <> 7").count()

@@ -2,7 +2,7 @@
 
 Texts are tokenized where they lie; the descriptions of their pieces (no token ids) are spread by hash, so that each partition has
 its share of every length, however the table is sorted. Each partition packs its own best-fit (longest first) and emits the bins that are nearly
-full. Underfull bins become items themselves: a tree of groups of partitions merges them, best-fit again, level by level, until one
+full. Underfull bins become items themselves, of the partition's next lot of pieces first; then a tree of groups of partitions merges them, best-fit again, level by level, until one
 group is left. A node passes on at most ``carry`` underfull bins (the emptiest; the fuller rest is final), so no task's work grows with the
 corpus; best fit leaves at most one bin of a run half empty or more, so what is closed at a node is more than half full.
 """
@@ -62,6 +62,17 @@ def _pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, n
     return order, edges, sums, before - np.repeat(before[starts] if len(n) else before, np.diff(edges))
 
 
+def _joined(lengths: np.ndarray, members: pa.ListArray, capacity: int) -> tuple[np.ndarray, pa.ListArray]:
+    """Bins packed into fuller ones: lengths and members of these, each member's offset moved to its new place."""
+    order, edges, sums, shift = _pack(lengths, capacity)
+    members = members.take(pa.array(order))
+    inside = np.asarray(members.offsets).astype(np.int64)
+    inside, flat = inside - inside[0], members.flatten()
+    moved = pa.array(np.asarray(flat.field("offset")) + np.repeat(shift, np.diff(inside)))
+    flat = pa.StructArray.from_arrays([flat.field(f.name) if f.name != "offset" else moved for f in MEMBER], fields=list(MEMBER))
+    return sums, pa.ListArray.from_arrays(pa.array(inside[edges], pa.int32()), flat)
+
+
 def _batch(bins, node, lengths, final, members):
     return pa.RecordBatch.from_arrays([pa.array(bins, pa.int64()), pa.array(np.full(len(bins), node), pa.int64()), pa.array(lengths, pa.int32()), pa.array(final, pa.bool_()), members], names=NAMES)
 
@@ -104,17 +115,27 @@ def pack_documents(
 
     def local(iterator):
         node, made, held, count = partition_id(), 0, [], 0
+        open_lengths, open_members = np.zeros(0, np.int64), pa.array([], pa.list_(MEMBER))
+
+        def batch_of(lengths, members, final):
+            nonlocal made
+            ids = (np.int64(node) << 32) + made + np.arange(len(lengths))
+            made += len(lengths)
+            return _batch(ids, node, lengths, np.full(len(lengths), final), members)
 
         def flush():
-            nonlocal held, count, made
+            """Packs what is held, and then its bins with those left open before; gives the final ones."""
+            nonlocal held, count, open_lengths, open_members
             table = pa.Table.from_batches(held).combine_chunks()
             held, count = [], 0
             order, edges, sums, offset = _pack(table.column("length").to_numpy().astype(np.int64), capacity)
             arrays = [c.combine_chunks() for c in table.take(pa.array(order)).columns]
             members = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays([*arrays, pa.array(offset)], fields=list(MEMBER)))
-            ids = (np.int64(node) << 32) + made + np.arange(len(sums))
-            made += len(sums)
-            return _batch(ids, node, sums, _keep(sums, capacity - slack, carry, False), members)
+            if len(open_lengths):
+                sums, members = _joined(np.concatenate([open_lengths, sums]), pa.concat_arrays([open_members, members.cast(open_members.type)]), capacity)
+            final = _keep(sums, capacity - slack, carry, False)
+            open_lengths, open_members = sums[~final], members.filter(pa.array(~final))
+            return batch_of(sums[final], members.filter(pa.array(final)), True)
 
         for batch in iterator:
             held.append(batch)
@@ -123,24 +144,18 @@ def pack_documents(
                 yield flush()
         if count:
             yield flush()
+        yield batch_of(open_lengths, open_members, False)
 
     def merge(level: int, last: bool):
         def run(table: pa.Table) -> pa.Table:
-            table = table.combine_chunks().sort_by("bin")
+            table = table.combine_chunks().sort_by("bin").combine_chunks()
             node = table.column("node")[0].as_py()
-            lengths = table.column("length").to_numpy().astype(np.int64)
-            order, edges, sums, shift = _pack(lengths, capacity)
-            final = _keep(sums, capacity - slack, carry, last)
-            members = table.column("members").combine_chunks().take(pa.array(order))
+            members = table.column("members").combine_chunks()
             members = members.chunk(0) if isinstance(members, pa.ChunkedArray) else members
-            inside = np.asarray(members.offsets).astype(np.int64)
-            flat = members.flatten()
-            inside = inside - inside[0]
-            moved = pa.array(np.asarray(flat.field("offset")) + np.repeat(shift, np.diff(inside)))
-            flat = pa.StructArray.from_arrays([flat.field(f.name) if f.name != "offset" else moved for f in MEMBER], fields=list(MEMBER))
-            out = pa.ListArray.from_arrays(pa.array(inside[edges], pa.int32()), flat)
+            sums, members = _joined(table.column("length").to_numpy().astype(np.int64), members, capacity)
+            final = _keep(sums, capacity - slack, carry, last)
             ids = (np.int64(level) << 56) + (np.int64(node) << 32) + np.arange(len(sums))
-            return pa.Table.from_batches([_batch(ids, node, sums, final, out)])
+            return pa.Table.from_batches([_batch(ids, node, sums, final, members)])
 
         return run
 

@@ -107,11 +107,12 @@ def test_op4_against_the_contract(spark):
     assert len(bins) <= 1.02 * -(-total // 4096) + 1
 
 
-def test_tables_sorted_by_length_pack_as_well(spark):
-    # Partitions of like lengths, half of which alone would fill bins to 55 and 88 per cent.
+@pytest.mark.parametrize("lots", [{}, {"chunk": 20, "carry": 64}])
+def test_tables_sorted_by_length_pack_as_well(spark, lots):
+    # Partitions of like lengths, half of which alone would fill bins to 55 and 88 per cent; whole, and in small lots.
     docs = [(k, "word " * (2250 if k < 400 else 1800)) for k in range(800)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartitionByRange(8, "doc_id")
-    rows = pack_documents(df, VOCAB).collect()
+    rows = pack_documents(df, VOCAB, **lots).collect()
     bins, total = check_packing(rows, docs, 4096)
     assert len(bins) <= 1.02 * -(-total // 4096) + 1
 

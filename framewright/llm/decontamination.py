@@ -9,6 +9,7 @@ a row agree with an item but for the allowed substitutions.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents, sheltered
@@ -60,7 +61,7 @@ def seeds(rows: DataFrame, masks: list, keep: list) -> DataFrame:
 
 def contaminated(
     docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    overlap: int = 20, percent: int = 80, least: int = 8, broadcast_seeds: int = 1_000_000,
+    overlap: int = 20, percent: int = 80, least: int = 8, broadcast_seeds: int = 1_000_000, lot: int = 1024,
 ) -> DataFrame:
     """A row per row of ``docs``: doc_id, contaminated, items (sorted ids of the items found in it), tag.
 
@@ -68,7 +69,8 @@ def contaminated(
     per cent of the places; the masks for its length leave no such place out. Items of fewer than ``least`` words are no evidence and
     are never found. Null and empty texts hold nothing, null item ids are left out. Repeated rows and rows
     that share a doc_id are each judged by their own text. Other columns are ignored; either table may be empty.
-    The items' seeds are broadcast if there are at most ``broadcast_seeds``, else the join shuffles.
+    The items' seeds are broadcast if there are at most ``broadcast_seeds``, else the join shuffles. A text meets its hits in lots of
+    at most ``lot``, so one that repeats what many items share makes more rows, not a larger one.
     """
     tests = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), words_of(F.col(item_text)).alias("w")).where(F.size("w") >= least)
     tests = tests.distinct()
@@ -91,8 +93,9 @@ def contaminated(
     want = F.broadcast(want) if total <= broadcast_seeds else want
     hits = have.join(want, ["mask", "seed"]).select("doc_id", "tag", "item_id", "n", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
 
-    # Hits of a text meet it once, as numbers; then each is a row of its own: the words beside the item on its diagonal.
-    hits = hits.groupBy(F.col("doc_id").alias("hit_doc"), F.col("tag").alias("hit_tag")).agg(F.collect_list(F.struct("item_id", "n", "shift")).alias("hits"))
+    # Hits of a text meet it as numbers, lot by lot; then each is a row of its own: the words beside the item on its diagonal.
+    place = F.row_number().over(W.partitionBy("doc_id", "tag").orderBy("item_id", "n", "shift"))
+    hits = hits.withColumn("lot", F.floor((place - 1) / lot)).groupBy(F.col("doc_id").alias("hit_doc"), F.col("tag").alias("hit_tag"), "lot").agg(F.collect_list(F.struct("item_id", "n", "shift")).alias("hits"))
     same_row = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & F.col("tag").eqNullSafe(F.col("hit_tag"))
     beside = lambda w: F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), F.greatest(F.lit(0), -h["shift"]).alias("first"), F.slice(w, F.greatest(F.lit(0), h["shift"]) + 1, F.least(h["n"], h["n"] + h["shift"])).alias("x")))
     lined = tagged.join(hits, same_row).select("hit_doc", "hit_tag", F.explode(_let(words_of(F.col("text")), beside)).alias("h")).select("hit_doc", "hit_tag", "h.*")

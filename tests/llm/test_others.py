@@ -339,8 +339,8 @@ def test_substituted_partial_and_odd_passages(spark):
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, item_id int")
     table = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()] + [(90, None), (91, ""), (None, "x " * 30), (92, "same " * 20)], "item_id long, text string")
     want[len(docs) - 5] = [92]
-    for limit in (1_000_000, 0):
-        got = decontamination.contaminated(df, table, broadcast_seeds=limit).collect()
+    for limit, lot in ((1_000_000, 1024), (0, 2)):
+        got = decontamination.contaminated(df, table, broadcast_seeds=limit, lot=lot).collect()
         assert sorted(((x.doc_id, x.items) for x in got), key=str) == sorted(((d[0], w) for d, w in zip(docs, want)), key=str)
     assert decontamination.contaminated(df.limit(0), table).count() == 0
     assert not decontamination.contaminated(df, table.limit(0)).where("contaminated").count()

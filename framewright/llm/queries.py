@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import OP11_SQL, op11_phrase_collocations
 from .decontamination import OP8_SQL, op8_decontamination
 from .fingerprints import op3_fingerprints
 from .language_id import op9_language_id
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
     "op10_repeated_spans": op10_repeated_spans,
+    "op11_phrase_collocations": op11_phrase_collocations,
 }
-ORACLES: dict[str, str] = {"op2_near_duplicates": OP2_SQL, "op5_warc_revisits": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_repeated_spans": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_near_duplicates": OP2_SQL, "op5_warc_revisits": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_repeated_spans": OP10_SQL, "op11_phrase_collocations": OP11_SQL}

@@ -7,6 +7,7 @@ from .decontamination import OP8_SQL, op8_decontamination
 from .fingerprints import op3_fingerprints
 from .language_id import op9_language_id
 from .near_duplicates import OP2_SQL, op2_near_duplicates
+from .nearest import OP13_SQL, op13_exact_top_k
 from .packing import op4_best_fit_packing
 from .periodic_runs import OP12_SQL, op12_periodic_runs
 from .repeated_spans import OP10_SQL, op10_repeated_spans
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_repeated_spans": op10_repeated_spans,
     "op11_phrase_collocations": op11_phrase_collocations,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_exact_top_k": op13_exact_top_k,
 }
-ORACLES: dict[str, str] = {"op2_near_duplicates": OP2_SQL, "op5_warc_revisits": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_repeated_spans": OP10_SQL, "op11_phrase_collocations": OP11_SQL, "op12_periodic_runs": OP12_SQL}
+ORACLES: dict[str, str] = {"op2_near_duplicates": OP2_SQL, "op5_warc_revisits": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_repeated_spans": OP10_SQL, "op11_phrase_collocations": OP11_SQL, "op12_periodic_runs": OP12_SQL, "op13_exact_top_k": OP13_SQL}

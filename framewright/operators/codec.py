@@ -34,6 +34,13 @@ class Spec:
     channels: int = 1
     normalise: bool = False  # a segment's scale stands before its codes
     model_of: Callable[[int, int], int] = lambda at, book: at  # (frame's place in its window, codebook) -> model
+    tau: float = 1.0  # what the counts were made with: temperature, scale of probabilities, smallest share
+    fp: int = 8192
+    mr: int = 2
+
+    @property
+    def settings(self) -> dict:
+        return {"tau": self.tau, "fp": self.fp, "mr": self.mr}
 
     def models(self, frames: int) -> list:
         """The model of each symbol: frame by frame, codebook by codebook."""
@@ -54,34 +61,55 @@ def shape_error(frames: Column, encoded: Column, codes: Column, books: int) -> C
 
 
 def encode(codes: DataFrame, tracks: DataFrame, tables: DataFrame, spec: Spec, scales: DataFrame | None = None) -> DataFrame:
-    """(track, content): a container of each track from (track, seg, t, book, code), (track, total) and, if segments are normalised, (track, seg, scale).
+    """(track, content, wide): a container of each track from (track, seg, t, book, code), (track, total) and, if segments are normalised, (track, seg, scale).
 
     Frames beyond a segment's own length (of a padded last one) are left out. A segment without codes for all its
-    frames and codebooks, or with a code that its table doesn't have, is an error. An empty track is a header alone.
+    frames and codebooks, without its scale, or with a code that its table doesn't have, is an error. An empty track is a header
+    alone. ``wide``: a payload's register outgrew 64 bits.
     """
     shared = shared_tables(tables, 16_384)
+    rows = segment_rows(codes, tracks, spec, scales)
+
+    def run(iterator):
+        for batch in iterator:
+            out, wide = [], []
+            for frames, symbols, scale in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                data, register = encode_symbols(symbols, [shared.value[m] for m in spec.models(frames)])
+                out.append(with_scale(scale, data, spec))
+                wide.append(register > 64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.array(wide, pa.bool_())], names=["track", "chunk", "payload", "wide"])
+
+    kind = tracks.schema["track"].dataType.simpleString()
+    chunks = rows.mapInArrow(run, f"track {kind}, chunk long, payload binary, wide boolean")
+    return assembled(tracks, chunks, spec)
+
+
+def with_scale(scale: float | None, data: bytes, spec: Spec) -> bytes:
+    """A chunk's payload: the segment's scale, if it has one, then the coded bytes."""
+    return (struct.pack(">f", scale) if spec.normalise else b"") + data
+
+
+def segment_rows(codes: DataFrame, tracks: DataFrame, spec: Spec, scales: DataFrame | None) -> DataFrame:
+    """(track, seg, frames, codes, scale): every segment's own codes, frame by frame; the job fails at a segment that lacks some, or its scale."""
     segs = segments(tracks, spec, F.lit(spec.samples), F.lit(spec.stride))
     held = codes.groupBy("track", "seg").agg((F.max("t") + 1).alias("encoded"), F.array_sort(F.collect_list(F.struct("t", "book", "code"))).alias("x"))
     rows = segs.join(held, ["track", "seg"], "left")
     own = F.transform(F.filter("x", lambda c: c["t"] < F.col("frames")), lambda c: c["code"].cast("long"))
     rows = rows.select("track", "seg", "frames", "encoded", own.alias("codes"))
     error = shape_error(F.col("frames"), F.col("encoded"), F.size("codes").cast("long"), spec.books)
+    if spec.normalise:
+        rows = rows.join(scales.select("track", "seg", F.col("scale").cast("float").alias("scale")), ["track", "seg"], "left")
+        error = F.coalesce(error, F.when(F.col("scale").isNull(), "scale is missing"))
+    else:
+        rows = rows.withColumn("scale", F.lit(None).cast("float"))
     rows = rows.withColumn("codes", F.when(error.isNull(), F.col("codes")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("segment"), F.col("track").cast("string"), F.col("seg").cast("string"), error)).cast("array<bigint>")))
-    scale = scales.select("track", "seg", F.col("scale").cast("float").alias("scale")) if spec.normalise else None
-    rows = rows.join(scale, ["track", "seg"]) if scale is not None else rows.withColumn("scale", F.lit(None).cast("float"))
+    return rows.select("track", "seg", "frames", "codes", "scale")
 
-    def run(iterator):
-        for batch in iterator:
-            out = []
-            for frames, symbols, scale in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-                data, _ = encode_symbols(symbols, [shared.value[m] for m in spec.models(frames)])
-                out.append((struct.pack(">f", scale) if spec.normalise else b"") + data)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["track", "chunk", "payload"])
 
-    kind = tracks.schema["track"].dataType.simpleString()
-    chunks = rows.select("track", "seg", "frames", "codes", "scale").mapInArrow(run, f"track {kind}, chunk long, payload binary")
-    meta = {"m": F.lit(spec.model), "al": F.col("total"), "nc": F.lit(spec.books), "lm": F.lit(True), "fp": F.lit(8192), "mr": F.lit(2), "acv": F.lit(containers.BITSTREAM), "tau": F.lit(1.0), "lmh": F.lit(spec.model_hash), "cs": F.lit(spec.samples), "cst": F.lit(spec.stride)}
-    return containers.build(tracks.select("track", "total").join(chunks, "track", "left"), "track", "chunk", containers.metadata_json(meta))
+def assembled(tracks: DataFrame, chunks: DataFrame, spec: Spec) -> DataFrame:
+    """(track, content, wide): containers of (track, total) and coded segments (track, chunk, payload, wide)."""
+    meta = {"m": F.lit(spec.model), "al": F.col("total"), "nc": F.lit(spec.books), "lm": F.lit(True), "fp": F.lit(spec.fp), "mr": F.lit(spec.mr), "acv": F.lit(containers.BITSTREAM), "tau": F.lit(spec.tau), "lmh": F.lit(spec.model_hash), "cs": F.lit(spec.samples), "cst": F.lit(spec.stride)}
+    return containers.build(tracks.select("track", "total").join(chunks, "track", "left"), "track", "chunk", containers.metadata_json(meta), marks=["wide"])
 
 
 def scan(payloads: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
@@ -102,7 +130,7 @@ def scan(payloads: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     found = layout.layout_for_count(F.col("m.al"), F.col("chunks"), spec.samples, spec.stride)
     own_fits = own["valid"] & (layout.segment_count(F.col("m.al"), own["stride"]) == F.col("chunks"))
     pick = lambda name: F.when(stored, F.when(own_fits, own[name])).otherwise(found[name])
-    broken = F.coalesce("broken", containers.violation(F.col("m"), spec.model, spec.books, spec.model_hash, F.col("chunks")))
+    broken = F.coalesce("broken", containers.violation(F.col("m"), spec.model, spec.books, spec.model_hash, F.col("chunks"), spec.settings))
     tracks = heads.select("track", F.col("m.al").alias("total"), "header_bytes", "file_bytes", "chunks", pick("samples").alias("samples"), pick("stride").alias("stride"), F.col("m.fl").alias("stored_frames"), broken.alias("error"))
     return tracks.withColumn("error", F.coalesce("error", F.when(F.col("stride").isNull() & (F.col("chunks") > 0), "chunk count differs"))), chunks
 
@@ -124,28 +152,65 @@ def inspect(payloads: DataFrame, spec: Spec, rate: int = layout.SAMPLE_RATE) ->
 def decode(payloads: DataFrame, tables: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     """(codes, scales) of (track, content): (track, seg, t, book, code) and (track, seg, scale), the inverse of :func:`encode`.
 
-    Containers that :func:`scan` finds fault with, and damaged chunks, give nothing: their errors are there to be read.
+    Containers that :func:`scan` finds fault with, damaged chunks, and payloads that run out give nothing: their errors are there to be read
+    (:func:`decoded` has the latter).
     """
+    return opened(decoded(payloads, tables, spec), spec)
+
+
+def opened(made: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
+    """(codes, scales) of decoded segments (track, seg, scale, codes, error): those without an error."""
+    made = made.where("error IS NULL")
+    codes = made.select("track", "seg", F.posexplode("codes").alias("k", "code"))
+    books = F.lit(spec.books)
+    codes = codes.select("track", "seg", layout.whole_div(F.col("k"), books).alias("t"), (F.col("k") % books).cast("long").alias("book"), "code")
+    return codes, made.select("track", "seg", "scale")
+
+
+def decoded(payloads: DataFrame, tables: DataFrame, spec: Spec) -> DataFrame:
+    """(track, seg, scale, codes, error) of every whole chunk of the sound containers among (track, content): codes, or why there are none."""
     shared = shared_tables(tables, 16_384)
+
+    def symbols(frames, body):
+        return decode_symbols(body, [shared.value[m] for m in spec.models(frames)])
+
+    return decoded_by(payloads, spec, symbols)
+
+
+def decoded_by(payloads: DataFrame, spec: Spec, symbols: Callable[[int, bytes], list]) -> DataFrame:
+    """(track, seg, scale, codes, error), where ``symbols`` gives the codes of so many frames from a segment's bytes, or raises ValueError."""
     tracks, chunks = scan(payloads, spec)
     segs = segments(tracks.where("error IS NULL"), spec, F.col("samples"), F.col("stride"), F.col("stored_frames"))
     rows = segs.join(chunks.where("error IS NULL").select("track", F.col("chunk").alias("seg"), "payload"), ["track", "seg"])
 
     def run(iterator):
         for batch in iterator:
-            codes, scales = [], []
-            for frames, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                head = 4 if spec.normalise else 0
-                scales.append(struct.unpack(">f", data[:4])[0] if head else None)
-                codes.append(decode_symbols(data[head:], [shared.value[m] for m in spec.models(frames)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scales, pa.float32()), pa.array(codes, pa.list_(pa.int64()))], names=["track", "seg", "scale", "codes"])
+            found = [read(frames, data) for frames, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            scales, codes, errors = (pa.array(c, t) for c, t in zip(zip(*found), DECODED)) if found else (pa.array([], t) for t in DECODED)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scales, codes, errors], names=["track", "seg", "scale", "codes", "error"])
+
+    def read(frames, data):
+        scale, body = split_scale(data, spec)
+        if scale is None and spec.normalise:
+            return None, None, "scale cut short"
+        try:
+            return scale, symbols(frames, body), None
+        except ValueError as e:
+            return scale, None, str(e)
 
     kind = payloads.schema["track"].dataType.simpleString()
-    made = rows.select("track", "seg", "frames", "payload").mapInArrow(run, f"track {kind}, seg long, scale float, codes array<long>")
-    codes = made.select("track", "seg", F.posexplode("codes").alias("k", "code"))
-    books = F.lit(spec.books)
-    codes = codes.select("track", "seg", layout.whole_div(F.col("k"), books).alias("t"), (F.col("k") % books).cast("long").alias("book"), "code")
-    return codes, made.select("track", "seg", "scale")
+    return rows.select("track", "seg", "frames", "payload").mapInArrow(run, f"track {kind}, seg long, scale float, codes array<long>, error string")
+
+
+#: Types of a decoded segment's scale, codes and error.
+DECODED = (pa.float32(), pa.list_(pa.int64()), pa.string())
+
+
+def split_scale(data: bytes, spec: Spec) -> tuple[float | None, bytes]:
+    """(scale, coded bytes) of a chunk's payload; no scale if segments aren't normalised, or if it is cut short."""
+    if not spec.normalise:
+        return None, data
+    return (struct.unpack(">f", data[:4])[0], data[4:]) if len(data) >= 4 else (None, b"")
 
 
 def residual_samples(total: Column, decoded: Column, samples: int, stride: int, segment_samples: int, frames: int, channels: int) -> Column:

@@ -13,8 +13,9 @@ from ..functions.octets import HEADER_BYTES, MAGIC, VERSION, chunk_frame, header
 
 #: Keys of the metadata object in their order, and what new files hold.
 KEYS = ("m", "al", "nc", "lm", "fp", "mr", "acv", "tau", "lmh", "cs", "cst", "fl")
-DEFAULTS = {"fp": 8192, "mr": 2, "acv": 0}
+DEFAULTS = {"fp": 8192, "mr": 2, "acv": 0, "tau": 1.0}
 BITSTREAM = 2
+SETTINGS = {"tau": "temperature", "fp": "probability scale", "mr": "smallest share"}
 METADATA = "m string, al long, nc int, lm boolean, fp long, mr long, acv int, tau double, lmh string, cs long, cst long, fl long"
 
 
@@ -26,13 +27,15 @@ def metadata_json(fields: dict) -> Column:
 def parse_metadata(json: Column) -> Column:
     """Known fields with their defaults, and every unknown key as text in ``extra``."""
     known = F.from_json(json, METADATA)
-    filled = [F.coalesce(known[k], F.lit(DEFAULTS[k])).alias(k) if k in DEFAULTS else known[k].alias(k) for k in KEYS]
+    filled = [F.coalesce(known[k], F.lit(DEFAULTS[k])).alias(k) if k in DEFAULTS and k != "tau" else known[k].alias(k) for k in KEYS]
     extra = F.map_filter(F.from_json(json, "map<string,string>"), lambda k, v: ~k.isin(*KEYS))
     return F.struct(*filled, extra.alias("extra"))
 
 
-def violation(meta: Column, model: str, codebooks: int, model_hash: str | None = None, chunks: Column | None = None) -> Column:
-    """Why a payload doesn't suit a model; null if it does. The entropy model's hash matters to payloads that have chunks."""
+def violation(meta: Column, model: str, codebooks: int, model_hash: str | None = None, chunks: Column | None = None, settings: dict | None = None) -> Column:
+    """Why a payload doesn't suit a model; null if it does. The entropy model's hash, and the ``settings`` (tau, fp, mr) that
+    counts were made with, matter to payloads that have chunks.
+    """
     out = (
         F.when(meta["m"].isNull() | (meta["m"] != model), "model differs")
         .when(meta["nc"].isNull() | (meta["nc"] != codebooks), "codebooks differ")
@@ -40,22 +43,24 @@ def violation(meta: Column, model: str, codebooks: int, model_hash: str | None =
         .when(~F.coalesce(meta["lm"], F.lit(False)), "no model coding")
         .when(meta["fl"] <= 0, "frame length isn't positive")
     )
+    any_chunk = F.lit(True) if chunks is None else chunks > 0
+    for name, value in (settings or {}).items():
+        out = out.when(any_chunk & (F.coalesce(meta[name], F.lit(DEFAULTS[name])) != value), f"{SETTINGS[name]} differs")
     if model_hash is None:
         return out
-    any_chunk = F.lit(True) if chunks is None else chunks > 0
     return out.when(any_chunk & meta["lmh"].isNull(), "model hash is missing").when(any_chunk & (meta["lmh"] != model_hash), "model hash differs")
 
 
-def build(chunks: DataFrame, key: str, order: str, metadata: Column, limit: int = 1 << 30) -> DataFrame:
+def build(chunks: DataFrame, key: str, order: str, metadata: Column, limit: int = 1 << 30, marks: list = ()) -> DataFrame:
     """(key, content): header and framed chunks of each key in order. A container is one file, so one row, of ``limit`` bytes at most.
 
-    A key whose only payload is null has no chunks: its container is the header alone.
+    A key whose only payload is null has no chunks: its container is the header alone. ``marks``: conditions that are kept if any chunk has them.
     """
-    held = chunks.select(key, order, F.when(F.col("payload").isNotNull(), chunk_frame(F.col("payload"))).alias("frame"), metadata.alias("json"))
+    held = chunks.select(key, order, *marks, F.when(F.col("payload").isNotNull(), chunk_frame(F.col("payload"))).alias("frame"), metadata.alias("json"))
     small = F.when(F.coalesce(F.sum(F.octet_length("frame")), F.lit(0)) > limit, F.raise_error(F.lit(f"a container has at most {limit} bytes"))).otherwise(F.lit(0))
     body = F.expr(f"listagg(frame, X'') WITHIN GROUP (ORDER BY `{order}`)")
-    held = held.groupBy(key).agg(F.first("json", ignorenulls=True).alias("json"), body.alias("body"), small.alias("small"))
-    return held.where("small IS NULL OR small = 0").select(key, F.concat(header(F.col("json")), F.coalesce("body", F.lit(b""))).alias("content"))
+    held = held.groupBy(key).agg(F.first("json", ignorenulls=True).alias("json"), body.alias("body"), small.alias("small"), *(F.coalesce(F.bool_or(m), F.lit(False)).alias(m) for m in marks))
+    return held.where("small IS NULL OR small = 0").select(key, F.concat(header(F.col("json")), F.coalesce("body", F.lit(b""))).alias("content"), *marks)
 
 
 def scan_container(data: bytes, with_crc: bool = True):

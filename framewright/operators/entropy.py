@@ -6,6 +6,8 @@ and such payloads are marked (``wide``) because a 64-bit decoder couldn't read t
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,36 +44,77 @@ class Interval:
         return out
 
 
+class Encoder:
+    """Shares of the interval in, bits out; ``held`` are the bits so far, a byte each."""
+
+    def __init__(self, bits: int = BITS):
+        self.state, self.held = Interval(bits), bytearray()
+
+    def push(self, below: int, upto: int) -> None:
+        """A symbol whose cumulative counts are ``below`` before and ``upto`` with it."""
+        self.state.widen()
+        self.held += bytes(self.state.narrow(below, upto))
+
+    def finish(self) -> bytes:
+        """All bytes, the register's open places with them; bits fill bytes from the lowest."""
+        s = self.state
+        return packed(self.held + bytes([s.low >> k & 1 for k in range(s.places - 1, -1, -1)]))
+
+    def saved(self) -> dict:
+        """The registers as text (they may pass 64 bits), whole bytes and the bits after them."""
+        s, whole = self.state, len(self.held) // 8 * 8
+        return {"low": str(s.low), "high": str(s.high), "places": s.places, "widest": s.widest, "bytes": packed(self.held[:whole]), "bits": bytes(self.held[whole:])}
+
+    @classmethod
+    def restored(cls, saved: dict, bits: int = BITS) -> Encoder:
+        made = cls(bits)
+        s = made.state
+        s.low, s.high, s.places, s.widest = int(saved["low"]), int(saved["high"]), int(saved["places"]), int(saved["widest"])
+        made.held = bytearray(np.unpackbits(np.frombuffer(saved["bytes"], np.uint8), bitorder="little").tobytes() + saved["bits"])
+        return made
+
+
+def packed(bits) -> bytes:
+    """Bits, a byte each, as bytes filled from the lowest bit."""
+    return np.packbits(np.frombuffer(bytes(bits), np.uint8), bitorder="little").tobytes()
+
+
 def encode_symbols(symbols, cdfs, bits: int = BITS) -> tuple[bytes, int]:
-    """(bytes, widest register) of symbols, each with its own cumulative counts; bits fill bytes from the lowest."""
-    state, out = Interval(bits), bytearray()
+    """(bytes, widest register) of symbols, each with its own cumulative counts."""
+    coder = Encoder(bits)
     for symbol, cdf in zip(symbols, cdfs):
         if not 0 <= symbol < len(cdf):
             raise ValueError(f"symbol {symbol} is out of range")
-        state.widen()
-        out += bytes(state.narrow(cdf[symbol - 1] if symbol else 0, cdf[symbol]))
-    out += bytes([state.low >> k & 1 for k in range(state.places - 1, -1, -1)])
-    return np.packbits(np.frombuffer(out, np.uint8), bitorder="little").tobytes(), state.widest
+        coder.push(cdf[symbol - 1] if symbol else 0, cdf[symbol])
+    return coder.finish(), coder.state.widest
 
 
-def decode_symbols(data: bytes, cdfs, bits: int = BITS) -> list:
-    """The inverse of :func:`encode_symbols`; ValueError if the bytes run out."""
-    from bisect import bisect_right
+class Decoder:
+    """The inverse of :class:`Encoder`: a symbol at a time, so the next one's counts may depend on it."""
+
+    def __init__(self, data: bytes, bits: int = BITS):
+        self.state, self.data, self.value, self.at = Interval(bits), data, 0, 0
 
-    state, value, at, out = Interval(bits), 0, 0, []
-    for cdf in cdfs:
+    def pull(self, cdf) -> int:
+        """The next symbol, by its cumulative counts; ValueError if the bytes run out."""
+        state = self.state
         for _ in range(state.widen()):
-            if at >= 8 * len(data):
+            if self.at >= 8 * len(self.data):
                 raise ValueError("arithmetic stream exhausted")
-            value, at = 2 * value + (data[at >> 3] >> (at & 7) & 1), at + 1
-        target = (((value - state.low + 1) << bits) - 1) // (state.high - state.low + 1)
+            self.value, self.at = 2 * self.value + (self.data[self.at >> 3] >> (self.at & 7) & 1), self.at + 1
+        target = (((self.value - state.low + 1) << state.bits) - 1) // (state.high - state.low + 1)
         symbol = bisect_right(cdf, target)
         if symbol >= len(cdf):
             raise ValueError("no symbol at this place")
-        state.narrow(cdf[symbol - 1] if symbol else 0, cdf[symbol])
-        value &= (1 << state.places) - 1
-        out.append(symbol)
-    return out
+        state.narrow(int(cdf[symbol - 1]) if symbol else 0, int(cdf[symbol]))
+        self.value &= (1 << state.places) - 1
+        return symbol
+
+
+def decode_symbols(data: bytes, cdfs, bits: int = BITS) -> list:
+    """The inverse of :func:`encode_symbols`; ValueError if the bytes run out."""
+    coder = Decoder(data, bits)
+    return [coder.pull(cdf) for cdf in cdfs]
 
 
 def shared_tables(tables: DataFrame | None, limit: int):

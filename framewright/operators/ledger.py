@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def outstanding(jobs: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Jobs without a finished, non-empty output."""
-    return jobs.join(done.select(key).distinct(), key, "left_anti")
+def outstanding(jobs: DataFrame, done: DataFrame, key: str, size: Column | None = None) -> DataFrame:
+    """Jobs that nothing in ``done`` says is finished; with ``size``, an output of no bytes (or of no known size) doesn't count."""
+    finished = done if size is None else done.where(size > 0)
+    return jobs.join(finished.select(key).distinct(), key, "left_anti")
 
 
 def cached(jobs: DataFrame, cache: DataFrame, keys: list) -> DataFrame:

@@ -156,7 +156,8 @@ def cdfs(spark, sf):
 
 
 def cdf_allocation(spark, sf):
-    return cdfs(spark, sf).select("id", F.posexplode("cdf").alias("bin", "cdf")).select("id", F.col("bin").cast("long").alias("bin"), "cdf")
+    # Outer, or the optimiser infers a filter on the array's size and makes the whole expression a second time for it.
+    return cdfs(spark, sf).select("id", F.posexplode_outer("cdf").alias("bin", "cdf")).select("id", F.col("bin").cast("long").alias("bin"), "cdf")
 
 
 def cdf_symbol_lookup(spark, sf):

@@ -26,16 +26,20 @@ class Format:
     buffer: str = "buffer"  # key of a placeholder's number
 
 
-def contents(packets: DataFrame, key: str, fmt: Format = Format(), fields: dict | None = None) -> DataFrame:
-    """(key, content) from (key, packet, data): one cache of a key's packets in order; ``fields``: more of the payload, as aggregates by name."""
+def contents(packets: DataFrame, key: str, fmt: Format = Format(), fields: dict | None = None, limit: int = 1 << 30) -> DataFrame:
+    """(key, content) from (key, packet, data): one cache of a key's packets in order; ``fields``: more of the payload, as aggregates by name.
+
+    A cache is one value: one of over ``limit`` bytes of packets is an error.
+    """
     numbers = F.sequence(F.lit(0).cast("long"), F.count(F.lit(1)) - 1)
     marks = F.transform(numbers, lambda k: F.struct(k.alias(fmt.buffer)))
     payload = F.struct(*[c.alias(n) for n, c in (fields or {}).items()], marks.alias(fmt.packets))
     sizes = F.transform(F.array_sort(F.collect_list(F.struct("packet", F.octet_length("data").alias("n")))), lambda x: F.struct(x["n"].alias("byteLength")))
     envelope = F.to_json(F.struct(F.lit(fmt.name).alias("format"), payload.alias("payload"), sizes.alias("buffers")))
     body = F.expr("listagg(data, X'') WITHIN GROUP (ORDER BY packet)")
-    held = packets.groupBy(key).agg(envelope.cast("binary").alias("json"), body.alias("body"))
-    return held.select(key, F.concat(F.lit(fmt.magic), u32(F.octet_length("json")), F.col("json"), F.coalesce("body", F.lit(b""))).alias("content"))
+    small = F.when(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)) > limit, F.raise_error(F.lit(f"a packet cache has at most {limit} bytes"))).otherwise(F.lit(0))
+    held = packets.groupBy(key).agg(envelope.cast("binary").alias("json"), body.alias("body"), small.alias("small"))
+    return held.where("small IS NULL OR small = 0").select(key, F.concat(F.lit(fmt.magic), u32(F.octet_length("json")), F.col("json"), F.coalesce("body", F.lit(b""))).alias("content"))
 
 
 def parse(data: bytes, fmt: Format = Format()) -> tuple[dict, list]:
@@ -54,17 +58,22 @@ def parse(data: bytes, fmt: Format = Format()) -> tuple[dict, list]:
         raise ValueError("buffers are missing")
     buffers = []
     for k, entry in enumerate(envelope["buffers"]):
-        if entry.get("byteLength") is None:
+        size = entry.get("byteLength")
+        if size is None:
             raise ValueError(f"buffer {k} has no length")
-        if at + entry["byteLength"] > len(data):
+        if type(size) is not int or size < 0:
+            raise ValueError(f"buffer {k} has a length that isn't a whole number from 0")
+        if at + size > len(data):
             raise ValueError(f"buffer {k} is cut short")
-        buffers.append(data[at : at + entry["byteLength"]])
-        at += entry["byteLength"]
+        buffers.append(data[at : at + size])
+        at += size
+    if at < len(data):
+        raise ValueError("bytes follow the buffers")
     marks = envelope["payload"].get(fmt.packets) or []
     if not marks:
         raise ValueError("no packets")
     for k, mark in enumerate(marks):
-        if not 0 <= mark[fmt.buffer] < len(buffers):
+        if type(mark[fmt.buffer]) is not int or not 0 <= mark[fmt.buffer] < len(buffers):
             raise ValueError(f"packet {k} names a missing buffer")
     return envelope["payload"], [buffers[mark[fmt.buffer]] for mark in marks]
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 16  # samples in a row
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE  # fixed values of the format
 GUID_TAIL = bytes.fromhex("000000001000800000aa00389b71")  # fixed value: the rest of an extensible format's name
-SCHEMA = "path string, rate int, channels int, channel int, start long, v array<float>"
+SCHEMA = "path string, rate int, channels int, channel int, start long, v array<float>, error string"
+_ARROW = pa.schema([("path", pa.string()), ("rate", pa.int32()), ("channels", pa.int32()), ("channel", pa.int32()), ("start", pa.int64()), ("v", pa.list_(pa.float32())), ("error", pa.string())])
 
 
 def parse(data: bytes, divisor: int = 32767) -> tuple[int, np.ndarray]:
@@ -24,6 +25,8 @@ def parse(data: bytes, divisor: int = 32767) -> tuple[int, np.ndarray]:
         name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
         part = data[at + 8 : at + 8 + size]
         if name == b"fmt ":
+            if len(part) < 16:
+                raise ValueError("WAV format cut short")
             fmt = struct.unpack_from("<HHIIHH", part)
             if fmt[0] == EXTENSIBLE and len(part) >= 26:
                 fmt = (struct.unpack_from("<H", part, 24)[0], *fmt[1:])
@@ -33,6 +36,8 @@ def parse(data: bytes, divisor: int = 32767) -> tuple[int, np.ndarray]:
     if fmt is None or body is None:
         raise ValueError("WAV file without format or data")
     kind, channels, rate, _, _, bits = fmt
+    if not channels or (kind, bits) not in ((PCM, 16), (PCM, 24), (FLOAT, 32)):
+        raise ValueError(f"WAV format {kind} with {bits} bits and {channels} channels isn't read")
     body = body[: len(body) // (channels * bits // 8) * (channels * bits // 8)]
     if (kind, bits) == (PCM, 16):
         flat = (np.frombuffer(body, "<i2") / np.float32(divisor)).astype(np.float32)
@@ -40,10 +45,8 @@ def parse(data: bytes, divisor: int = 32767) -> tuple[int, np.ndarray]:
         raw = np.frombuffer(body, np.uint8).reshape(-1, 3).astype(np.int32)
         whole = raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16
         flat = (np.where(whole >= 1 << 23, whole - (1 << 24), whole) / np.float32(8388608)).astype(np.float32)
-    elif (kind, bits) == (FLOAT, 32):
-        flat = np.frombuffer(body, "<f4")
     else:
-        raise ValueError(f"WAV format {kind} with {bits} bits isn't read")
+        flat = np.frombuffer(body, "<f4")
     return rate, flat.reshape(-1, channels).T
 
 
@@ -64,18 +67,28 @@ def assemble(rate: int, samples: np.ndarray, bits: int = 16) -> bytes:
     return b"RIFF" + struct.pack("<I", 20 + len(fmt) + len(body) + len(pad)) + b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(body)) + body + pad
 
 
-def read(spark: SparkSession, path: str, divisor: int = 32767, pattern: str = "*.wav") -> DataFrame:
-    """(path, rate, channels, channel, start, v): blocks of samples of every file."""
+def read(spark: SparkSession, path: str, divisor: int = 32767, pattern: str = "*.wav", limit: int = 1 << 30) -> DataFrame:
+    """(path, rate, channels, channel, start, v, error): blocks of samples of every file.
+
+    A file that can't be read gives one row with its ``error`` and no samples; one of over ``limit`` bytes isn't opened.
+    """
 
     def run(iterator):
         for batch in iterator:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rate, samples = parse(content.as_py(), divisor)
+            for name, size, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                try:
+                    if size > limit:
+                        raise ValueError(f"WAV file of over {limit} bytes")
+                    rate, samples = parse(content.as_py(), divisor)
+                except ValueError as e:
+                    yield pa.RecordBatch.from_pylist([{"path": name, "error": str(e)}], schema=_ARROW)
+                    continue
                 for c, line in enumerate(samples):
                     for k in range(0, len(line), BLOCK):
-                        yield pa.RecordBatch.from_pylist([{"path": name, "rate": rate, "channels": len(samples), "channel": c, "start": k, "v": line[k : k + BLOCK].tolist()}], schema=pa.schema([("path", pa.string()), ("rate", pa.int32()), ("channels", pa.int32()), ("channel", pa.int32()), ("start", pa.int64()), ("v", pa.list_(pa.float32()))]))
+                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((name, rate, len(samples), c, k, line[k : k + BLOCK], None), _ARROW.types)], schema=_ARROW)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content").mapInArrow(run, SCHEMA)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return found.select("path", "length", F.when(F.col("length") <= limit, F.col("content")).alias("content")).mapInArrow(run, SCHEMA)
 
 
 def files(blocks: DataFrame, bits: int = 16) -> DataFrame:
@@ -96,5 +109,5 @@ def files(blocks: DataFrame, bits: int = 16) -> DataFrame:
 
 
 def samples(blocks: DataFrame) -> DataFrame:
-    """(path, channel, i, v) of blocks."""
-    return blocks.select("path", "channel", "start", F.posexplode("v").alias("k", "v")).select("path", "channel", (F.col("start") + F.col("k")).alias("i"), "v")
+    """(path, channel, i, v) of blocks; files with an error have none."""
+    return blocks.where(F.col("v").isNotNull()).select("path", "channel", "start", F.posexplode("v").alias("k", "v")).select("path", "channel", (F.col("start") + F.col("k")).alias("i"), "v")

@@ -148,6 +148,27 @@ def decode_frames(data: bytes, frames: int, tables: Tables, bits: int = BITS) ->
     return out
 
 
+def decode_segments(rows: DataFrame, tables: DataFrame, context: Context, keys: tuple = ("track", "seg"), bits: int = BITS) -> DataFrame:
+    """(keys, codes, error) from (keys, frames, payload): the inverse of :func:`encode_segments`; a null payload stays null."""
+    shared = rows.sparkSession.sparkContext.broadcast(Tables(tables, context))
+
+    def one(frames, data):
+        try:
+            return (None if data is None else decode_frames(data, frames, shared.value, bits)), None
+        except ValueError as e:
+            return None, str(e)
+
+    def run(iterator):
+        for batch in iterator:
+            n = len(keys)
+            found = [one(*x) for x in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())]
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.list_(pa.int64()), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), *columns], names=[*keys, "codes", "error"])
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.select(*keys, "frames", "payload").mapInArrow(run, f"{kinds}, codes array<long>, error string")
+
+
 def encode(codes: DataFrame, tracks: DataFrame, tables: DataFrame, spec: codec.Spec, context: Context, scales: DataFrame | None = None) -> DataFrame:
     """(track, content, wide): as :func:`codec.encode`, with counts by context. The job fails at a segment that can't be coded."""
     rows = codec.segment_rows(codes, tracks, spec, scales)

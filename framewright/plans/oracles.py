@@ -18,13 +18,14 @@ n AS (SELECT *, hi - lo <= 2 * {STEP!r} OR max(p) OVER (PARTITION BY id) - min(p
 pdf AS (SELECT id, bin, k, near, CASE WHEN near THEN 1.0::DOUBLE / k ELSE p END AS p FROM n)"""
 
 
-CDF = f"""{softmax(GAIN)},
-c0 AS (SELECT id, bin, k, floor(p * 8192)::BIGINT AS c FROM pdf),
+#: Counts from a table pdf (id, bin, k, p) of k bins each.
+ALLOCATION = """c0 AS (SELECT id, bin, k, floor(p * 8192)::BIGINT AS c FROM pdf),
 c1 AS (SELECT *, (sum(c) OVER (PARTITION BY id))::BIGINT AS s FROM c0),
 c2 AS (SELECT id, bin, k, CASE WHEN s > 0 THEN c ELSE 1 END AS c, CASE WHEN s > 0 THEN s ELSE k END AS s, 16777216 - 2 * k AS a FROM c1),
 b AS (SELECT *, (a * c) // s AS base FROM c2),
 r AS (SELECT *, a - (sum(base) OVER (PARTITION BY id))::BIGINT AS more, row_number() OVER (PARTITION BY id ORDER BY (a * c - s * base) * (k + 1) - bin DESC) AS place FROM b),
 cdf AS (SELECT id, bin, (sum(base + 2 + CASE WHEN place <= more THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY bin))::BIGINT AS cdf FROM r)"""
+CDF = f"{softmax(GAIN)},\n{ALLOCATION}"
 
 VQ = """v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 s1 AS (SELECT v.id, v.e, b.id AS code, b.e AS w, list_sum(list_transform(generate_series(1, len(v.e)), lambda i: (v.e[i] - b.e[i]) * (v.e[i] - b.e[i]))) AS d FROM v JOIN v b ON b.id < 16),

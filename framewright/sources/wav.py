@@ -70,7 +70,7 @@ def assemble(rate: int, samples: np.ndarray, bits: int = 16) -> bytes:
 def read(spark: SparkSession, path: str, divisor: int = 32767, pattern: str = "*.wav", limit: int = 1 << 30) -> DataFrame:
     """(path, rate, channels, channel, start, v, error): blocks of samples of every file.
 
-    A file that can't be read gives one row with its ``error`` and no samples; one of over ``limit`` bytes isn't opened.
+    A file that can't be read gives one row with its ``error`` and no samples; one of over ``limit`` bytes isn't opened. Spark doesn't list files of no bytes.
     """
 
     def run(iterator):

@@ -4,8 +4,7 @@ import os
 
 import duckdb
 import pytest
-from framewright.plans.oracles import ORACLES
-from framewright.plans.queries import QUERIES
+from framewright.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 

@@ -56,7 +56,13 @@ def build(chunks: DataFrame, key: str, order: str, metadata: Column, limit: int
 
     A key whose only payload is null has no chunks: its container is the header alone. ``marks``: conditions that are kept if any chunk has them.
     """
-    held = chunks.select(key, order, *marks, F.when(F.col("payload").isNotNull(), chunk_frame(F.col("payload"))).alias("frame"), metadata.alias("json"))
+    framed = F.when(F.col("payload").isNotNull(), chunk_frame(F.col("payload")))
+    return joined(chunks.withColumn("frame", framed), key, order, metadata, limit, marks)
+
+
+def joined(chunks: DataFrame, key: str, order: str, metadata: Column, limit: int = 1 << 30, marks: list = ()) -> DataFrame:
+    """(key, content) of chunks that are framed already (key, order, frame); else as :func:`build`."""
+    held = chunks.select(key, order, *marks, "frame", metadata.alias("json"))
     small = F.when(F.coalesce(F.sum(F.octet_length("frame")), F.lit(0)) > limit, F.raise_error(F.lit(f"a container has at most {limit} bytes"))).otherwise(F.lit(0))
     body = F.expr(f"listagg(frame, X'') WITHIN GROUP (ORDER BY `{order}`)")
     held = held.groupBy(key).agg(F.first("json", ignorenulls=True).alias("json"), body.alias("body"), small.alias("small"), *(F.coalesce(F.bool_or(m), F.lit(False)).alias(m) for m in marks))

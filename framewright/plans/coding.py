@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import layout, octets
-from ..operators import codec, feedback, framing
+from ..operators import codec, containers, feedback, framing
 from ..streaming import chunks as streams
-from ..streaming import coding
-from .oracles import ALLOCATION, ORACLES
-from .queries import MEMBERS, SAMPLES, SEGS, SIGNAL, SPEC, STRIDE, lengths, segment_codes, table
+from ..streaming import coding, sink
+from .oracles import ALLOCATION, ORACLES, TOKENS
+from .queries import MEMBERS, SAMPLES, SEGS, SIGNAL, SPEC, STRIDE, lengths, payloads, segment_codes, table
 from .store import scratch, written
 
 CONTEXT = feedback.Context(books=2, cardinality=64, order=1, window=4)
@@ -72,7 +72,31 @@ def bit_streams(spark, sf):
     return out.select("p_type", "bytes", F.col("at").cast("long").alias("at"), F.col("bit").cast("long").alias("bit"))
 
 
-QUERIES = {f.__name__: f for f in (context_counts, context_roundtrip, context_errors, streamed_coding, bit_streams)}
+def sunk(spark, sf):
+    """Conversations' texts as chunks that arrive in three files; where the sink has put them."""
+    folder, out = scratch(spark, "chunks"), scratch(spark, "container-parts")
+    rows = payloads(spark, sf).withColumn("name", F.col("track").cast("string")).select("name", "chunk", "payload")
+    rows.repartition(3).write.parquet(folder)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    sink.write(arriving.select("name", "chunk", octets.chunk_frame(F.col("payload")).alias("frame")), out, scratch(spark, "container-state"))
+    return out
+
+
+def streamed_containers(spark, sf):
+    """The chunks of the containers that the sink's parts make together."""
+    meta = containers.metadata_json({"m": F.lit("model"), "nc": F.lit(4), "lm": F.lit(True)})
+    content = written(sink.joined(spark, sunk(spark, sf), meta), "containers")
+    found = containers.chunks_of(content, "name")
+    return found.select(F.col("name").cast("long").alias("track"), "chunk", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("digest"), "error")
+
+
+def sink_progress(spark, sf):
+    """Bytes and emissions up to the last batch, and the sums over all."""
+    steps = sink.progress(spark, sunk(spark, sf))
+    return steps.agg(F.max("bytes_written").alias("bytes_written"), F.max("emissions").alias("emissions"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+
+
+QUERIES = {f.__name__: f for f in (context_counts, context_roundtrip, context_errors, streamed_coding, bit_streams, streamed_containers, sink_progress)}
 
 #: All codes of padded segments, and the context of each.
 CODES = f"""{SIGNAL}, {SEGS}, {MEMBERS}, g AS (SELECT track, start // {STRIDE} AS seg, unnest(generate_series(0, {SAMPLES - 1})) AS place FROM segs),
@@ -87,6 +111,8 @@ pdf AS (SELECT b.model AS id, b.bin, 64::BIGINT AS k, (coalesce(n.n, 0) + 1)::DO
     "context_errors": f"""WITH {CODES}, seen AS (SELECT DISTINCT model FROM contexts WHERE track % 2 = 0), f AS (SELECT track, seg, min(2 * t + book) AS k FROM contexts WHERE model NOT IN (SELECT model FROM seen) GROUP BY 1, 2)
 SELECT s.track, s.start // {STRIDE} AS seg, {SAMPLES}::BIGINT AS symbols, 'no counts for this context at symbol ' || k AS error FROM segs s LEFT JOIN f ON f.track = s.track AND f.seg = s.start // {STRIDE}""",
     "streamed_coding": f"WITH {CODES} SELECT track, seg, t, book, code, TRUE AS same FROM codes",
+    "streamed_containers": f"WITH {TOKENS} SELECT track, t AS chunk, octet_length(encode(coalesce(text, '')))::BIGINT AS bytes, sha256(coalesce(text, '')) AS digest, NULL::VARCHAR AS error FROM tokens",
+    "sink_progress": "WITH s AS (SELECT sum(octet_length(encode(coalesce(text, ''))) + 8)::BIGINT AS b, count(*) AS n FROM conversations) SELECT b AS bytes_written, n AS emissions, b AS bytes, n AS rows FROM s",
     "bit_streams": """WITH p AS (SELECT p_type, (row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1) * 6 AS first, count(*) OVER (PARTITION BY p_type) AS n, p_size, unnest(generate_series(0, 5)) AS k FROM part)
 SELECT p_type, ((6 * n + 7) // 8)::BIGINT AS bytes, first + k AS "at", ((p_size >> k) & 1)::BIGINT AS bit FROM p""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import coding, oracles, queries
+from . import coding, files, oracles, queries
 
-QUERIES = queries.QUERIES | coding.QUERIES
-ORACLES = oracles.ORACLES | coding.SQL
+QUERIES = queries.QUERIES | coding.QUERIES | files.QUERIES
+ORACLES = oracles.ORACLES | coding.SQL | files.SQL

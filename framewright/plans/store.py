@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -25,3 +26,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """``df`` with ``name``, its rows' places from 0 in the given order: parts are numbered by tasks, after those before them."""
+    parts = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()), "numbered")
+    sizes = sorted(parts.groupBy(F.shiftright(name, 33).alias("part")).count().collect())  # a row for each task that wrote
+    before, so_far = [], 0
+    for part, n in sizes:
+        before.append((part, so_far))
+        so_far += n
+    starts = F.broadcast(df.sparkSession.createDataFrame(before, "__part long, __before long"))
+    placed = parts.join(starts, F.shiftright(name, 33) == F.col("__part"))
+    return placed.withColumn(name, F.col("__before") + F.col(name).bitwiseAND(F.lit(2**33 - 1))).drop("__part", "__before")

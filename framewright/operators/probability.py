@@ -77,5 +77,11 @@ def allocate(pdfs: DataFrame, bits: int = RANGE_BITS, fp_scale: int = FP_SCALE,
 
 
 def symbol_at(cdf: Column, target: Column) -> Column:
-    """The first bin whose cumulative count is over ``target``, from 0."""
-    return F.size(F.filter(cdf, lambda c: c <= target))
+    """The first bin whose cumulative count is over ``target``, from 0: a search by halves in at most 65,535 bins."""
+
+    def search(x):  # x: cdf, target
+        halves = F.array(*(F.lit(1 << k) for k in range(15, -1, -1)))
+        below = lambda at, step: (at + step <= F.size(x["cdf"])) & (F.get(x["cdf"], at + step - 1) <= x["target"])
+        return F.aggregate(halves, F.lit(0), lambda at, step: F.when(below(at, step), at + step).otherwise(at))
+
+    return _let(F.struct(cdf.alias("cdf"), target.alias("target")), search)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import coding, files, layer_queries, oracles, queries
+from . import checks, coding, files, layer_queries, oracles, queries
 
-QUERIES = queries.QUERIES | coding.QUERIES | files.QUERIES | layer_queries.QUERIES
-ORACLES = oracles.ORACLES | coding.SQL | files.SQL | layer_queries.SQL
+QUERIES = queries.QUERIES | coding.QUERIES | files.QUERIES | layer_queries.QUERIES | checks.QUERIES
+ORACLES = oracles.ORACLES | coding.SQL | files.SQL | layer_queries.SQL | checks.SQL

@@ -61,25 +61,25 @@ def seeds(rows: DataFrame, masks: list, keep: list) -> DataFrame:
 
 def contaminated(
     docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    overlap: int = 20, percent: int = 80, least: int = 8, broadcast_seeds: int = 1_000_000, lot: int = 1024,
+    overlap: int = 20, percent: int = 80, whole: int = 8, broadcast_seeds: int = 1_000_000, lot: int = 1024,
 ) -> DataFrame:
     """A row per row of ``docs``: doc_id, contaminated, items (sorted ids of the items found in it), tag.
 
     An item is found where, lined up anyhow, ``overlap`` words in a row (or all words of a shorter item) agree in at least ``percent``
-    per cent of the places; the masks for its length leave no such place out. Items of fewer than ``least`` words are no evidence and
-    are never found. Null and empty texts hold nothing, null item ids are left out. Repeated rows and rows
+    per cent of the places; the masks for its length leave no such place out. Of an item of fewer than ``whole`` words all have to agree.
+    An item without words is never found. Null and empty texts hold nothing, null item ids are left out. Repeated rows and rows
     that share a doc_id are each judged by their own text. Other columns are ignored; either table may be empty.
     The items' seeds are broadcast if there are at most ``broadcast_seeds``, else the join shuffles. A text meets its hits in lots of
     at most ``lot``, so one that repeats what many items share makes more rows, not a larger one.
     """
-    tests = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), words_of(F.col(item_text)).alias("w")).where(F.size("w") >= least)
+    tests = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), words_of(F.col(item_text)).alias("w")).where(F.size("w") > 0)
     tests = tests.distinct()
     tagged = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
     rows = tagged.select("doc_id", "tag", words_of(F.col("text")).alias("w"))
     lengths = [r[0] for r in tests.select(F.least(F.size("w"), F.lit(overlap))).distinct().collect() if r[0]]
     by_masks: dict = {}
     for n in sorted(lengths):
-        by_masks.setdefault(cover(n, n * (100 - percent) // 100), []).append(n)
+        by_masks.setdefault(cover(n, n * (100 - percent) // 100 if n >= whole else 0), []).append(n)
     used = sorted({m for masks in by_masks for m in masks}) or ["1"]
     need = F.least(F.size("w"), F.lit(overlap))
     tests = tests.withColumn("n", F.size("w"))
@@ -103,11 +103,12 @@ def contaminated(
     tests = F.broadcast(tests) if total <= broadcast_seeds else tests
     same = F.zip_with(F.slice("t", F.col("first") + 1, F.size("x")), "x", lambda a, b: F.when(a == b, 1).otherwise(0))
     length = F.least(F.lit(overlap), F.size("t"))
+    share = F.when(F.size("t") < whole, 100).otherwise(percent)
 
     def found(same: Column) -> Column:
         """Whether a stretch of enough words agrees on the diagonal."""
         starts = F.when(F.size(same) >= length, F.sequence(F.lit(0), F.size(same) - length)).otherwise(F.array().cast("array<int>"))
-        return F.exists(starts, lambda i: F.aggregate(F.slice(same, i + 1, length), F.lit(0), lambda s, x: s + x) * 100 >= length * percent)
+        return F.exists(starts, lambda i: F.aggregate(F.slice(same, i + 1, length), F.lit(0), lambda s, x: s + x) * 100 >= length * share)
 
     judged = lined.join(tests, "item_id").where(_let(same, found)).select("hit_doc", "hit_tag", "item_id")
     judged = judged.groupBy("hit_doc", "hit_tag").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
@@ -134,19 +135,19 @@ WITH t AS (
   SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
 a AS (
   SELECT kind, id, coalesce(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''), []) AS w FROM t),
-p AS (SELECT kind, id, least(20, len(w)) AS need, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM a WHERE kind = 'd' OR len(w) >= 8),
+p AS (SELECT kind, id, least(20, len(w)) AS need, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i, CASE WHEN len(w) < 8 THEN 100 ELSE 80 END AS share FROM a),
 h AS (
   SELECT d.id AS doc, b.id AS item, d.i - b.i AS shift FROM p d JOIN p b ON d.word = b.word WHERE d.kind = 'd' AND b.kind = 'b'
-  GROUP BY ALL HAVING 100 * count(*) >= 80 * any_value(b.need)),
+  GROUP BY ALL HAVING 100 * count(*) >= any_value(b.share * b.need)),
 g AS (
-  SELECT h.doc, h.item, h.shift, d.w AS dw, b.w AS bw, greatest(0, -h.shift) AS f, least(20, len(b.w)) AS need,
+  SELECT h.doc, h.item, h.shift, d.w AS dw, b.w AS bw, greatest(0, -h.shift) AS f, least(20, len(b.w)) AS need, CASE WHEN len(b.w) < 8 THEN 100 ELSE 80 END AS share,
     least(len(b.w) - greatest(0, -h.shift), len(d.w) - greatest(0, -h.shift) - h.shift) AS n
   FROM h JOIN a d ON d.kind = 'd' AND d.id = h.doc JOIN a b ON b.kind = 'b' AND b.id = h.item),
 e AS (
-  SELECT doc, item, need, list_transform(generate_series(1, n), lambda k: CASE WHEN bw[f + k] = dw[f + shift + k] THEN 1 ELSE 0 END) AS same FROM g WHERE n >= need),
+  SELECT doc, item, need, share, list_transform(generate_series(1, n), lambda k: CASE WHEN bw[f + k] = dw[f + shift + k] THEN 1 ELSE 0 END) AS same FROM g WHERE n >= need),
 o AS (
-  SELECT DISTINCT doc, item FROM (SELECT doc, item, need, same, unnest(generate_series(1, len(same) - need + 1)) AS i FROM e)
-  WHERE 100 * list_sum(same[i : i + need - 1]) >= 80 * need)
+  SELECT DISTINCT doc, item FROM (SELECT doc, item, need, share, same, unnest(generate_series(1, len(same) - need + 1)) AS i FROM e)
+  WHERE 100 * list_sum(same[i : i + need - 1]) >= share * need)
 SELECT a.id AS doc_id, count(o.item) > 0 AS contaminated, coalesce(string_agg(o.item::VARCHAR, ',' ORDER BY o.item), '') AS items
 FROM a LEFT JOIN o ON o.doc = a.id WHERE a.kind = 'd' GROUP BY ALL
 """

@@ -59,17 +59,24 @@ def pack_member(record: bytes, level: int = 6) -> bytes:
     return press.compress(record) + press.flush()
 
 
+_STEP = 1 << 14  # bytes of an archive that are opened at once
+
+
 def read_records(blob: bytes):
     """(header fields, block) of each record of an archive; ValueError if it is damaged or cut short."""
-    while blob:
-        opened = zlib.decompressobj(31)
-        try:
-            raw = opened.decompress(blob)
-        except zlib.error as e:
-            raise ValueError(f"damaged archive: {e}") from e
-        if not opened.eof:
-            raise ValueError("archive cut short")
-        blob = opened.unused_data
+    view, at = memoryview(blob), 0
+    while at < len(view):
+        opened, parts = zlib.decompressobj(31), []
+        while not opened.eof:  # in steps, so that what follows a record isn't copied for each
+            if at >= len(view):
+                raise ValueError("archive cut short")
+            step = view[at : at + _STEP]
+            try:
+                parts.append(opened.decompress(step))
+            except zlib.error as e:
+                raise ValueError(f"damaged archive: {e}") from e
+            at += len(step) - len(opened.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
@@ -89,7 +96,8 @@ def write_archives(
     Of the rows with equal payloads of at least ``least_bytes``, that with the smallest key is written in full and
     the others as revisits; rows that repeat that key are written in full too. Smaller payloads are always written in
     full, so the most common (the empty one) is no key of a join. A null key never is the original where
-    another has a key; if none has one, all are in full.
+    another has a key; if none has one, all are in full. Rows that are equal in all three columns are a record each. Very long payloads are
+    one record. An empty table writes no archive. Other columns are ignored, whatever their names.
     """
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = records.select(F.col(key).cast("long").alias("key"), F.col(uri).cast("string").alias("uri"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))

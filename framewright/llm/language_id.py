@@ -215,7 +215,12 @@ def train(docs: DataFrame, *, text: str = "text", label: str = "lang", per_label
 
 
 def predict(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per row of ``docs``: doc_id, lang_pred, score. Only the text counts; other columns are ignored."""
+    """A row per row of ``docs``: doc_id, lang_pred, score. Only the text counts; other columns are ignored.
+
+    Null and repeated ids keep a row each, equal texts have equal predictions; labels of equal probability: the first by name. A text that is null or
+    has no letter is ``und`` with 0.0, as every text is for a model that has learned nothing. Texts count whole, however long. An empty table
+    gives no rows. An id has to cast to a whole number.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(iterator):

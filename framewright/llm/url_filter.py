@@ -74,7 +74,7 @@ def url_verdicts(pages: DataFrame, rules: list, *, page_id: str = "page_id", url
     """A row per row of ``pages``: page_id, host, path, rule, verdict, score (null where a rule decides).
 
     Null urls and those without ``://`` have an empty host and path and no rule; the models judge the empty
-    URL or the whole string then. If the rules give no example of one kind, what they leave open is allowed. Repeated
+    URL or the whole string then. Of thresholds with equal errors the one nearest to zero counts. URLs count whole, however long. If the rules give no example of one kind, what they leave open is allowed. Repeated
     rows count as often as they stand. Other columns are ignored; an empty table gives no rows.
     """
     spark = pages.sparkSession

@@ -89,7 +89,7 @@ def count_tokens(docs: DataFrame, pieces: list, *, mark: str = MARK, doc_id: str
     """A row per row of ``docs``: doc_id, n_words, n_tokens of the whole text.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, each led by ``mark``. Null, empty and blank texts count zero. Repeated
-    rows stay, null ids too; other columns are ignored. Counts of words are cached in a worker up to ``cached``
+    rows stay, null ids too; an empty table gives no rows; other columns are ignored. Counts of words are cached in a worker up to ``cached``
     words; the vocabulary, whose size doesn't depend on the data, is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)

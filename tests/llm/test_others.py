@@ -542,3 +542,22 @@ def test_one_of_each_group_stays(spark):
     rows = [(4, texts[0], "a"), (2, texts[0], "b"), (2, texts[0], "b"), (2, texts[1], "c"), (5, None, "d"), (5, None, "d"), (6, "", "e"), (None, texts[2], "f"), (7, texts[3], None)]
     kept = near_duplicates.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, group string")).collect()
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(2, texts[0]), (2, texts[1]), (5, None), (6, ""), (None, texts[2]), (7, texts[3])], key=str)
+
+
+def test_very_long_values(spark):
+    """Payloads, URLs and texts of two million characters, whole."""
+    page, url, text = "<p>x</p>" * 250_000, "http://long.example.org/" + "ab/" * 700_000, "le chat noir dort " * 110_000
+    rows = [(1, "http://a.com/", page), (2, "http://b.com/", page), (3, url, "short")]
+    folder = shared_dir(spark, "w")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, key="page_id", uri="url", payload="html")
+    found = {x.key: (x.payload_bytes, x.type, x.refers_to) for x in warc.resolve_revisits(warc.read_archives(spark, folder)).collect()}
+    assert found == {1: (2_000_000, "response", None), 2: (2_000_000, "revisit", 1), 3: (5, "response", None)}
+
+    urls = [(k, f"http://{'good' if k % 2 else 'bad'}.com/{'ab/' * 3 if k % 2 else 'xq/' * 3}{k}") for k in range(60)] + [(99, url), (98, url.replace("ab/", "xq/"))]
+    judged = {r.page_id: r for r in url_filter.url_verdicts(spark.createDataFrame(urls, "page_id long, url string"), [("allow", "good.com", ""), ("block", "bad.com", "")]).collect()}
+    assert (judged[99].verdict, judged[98].verdict) == ("allow", "block") and len(judged[99].path) > 2_000_000
+
+    docs = [(k, "le chat et le chien dorment" if k % 2 else "the cat and the dog sleep", "fr" if k % 2 else "en") for k in range(40)] + [(50, text, None), (None, text, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = [r.lang_pred for r in language_id.predict(df, language_id.train(df)).collect() if r.doc_id in (50, None)]
+    assert got == ["fr", "fr"] and language_id.predict(df.limit(0), language_id.train(df)).count() == 0

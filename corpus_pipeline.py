@@ -27,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def remove_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes 50-word passages that a document with a smaller doc_id also has; fully repeated documents go.
 
-    Null texts stay as they are, null ids count as the largest; an empty table stays one.
+    Null texts and rows without an id stay as they are, rows of one id don't repeat each other; an empty table stays one.
     """
     return repeated_spans.without_repeats(docs)
 

@@ -47,6 +47,12 @@ def planar(signal: DataFrame, channels: int) -> DataFrame:
     return signal.select("track", (F.col("i") % channels).alias("channel"), whole_div(F.col("i"), channels).alias("frame"), "v")
 
 
+def channel_errors(lengths: DataFrame, channels: int) -> DataFrame:
+    """(track, total, error) of (track, total): why an interleaved signal can't be dealt to channels, null where it can."""
+    error = F.when(F.lit(channels) < 1, "no channels").when(F.col("total") % max(channels, 1) != 0, F.concat(F.col("total").cast("string"), F.lit(f" samples don't divide into {channels} channels")))
+    return lengths.select("track", "total", error.alias("error"))
+
+
 def interleaved(rows: DataFrame, channels: int) -> DataFrame:
     """The inverse of :func:`planar`."""
     return rows.select("track", (F.col("frame") * channels + F.col("channel")).alias("i"), "v")

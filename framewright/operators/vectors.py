@@ -10,11 +10,15 @@ def _distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def codebook_row(codebook: DataFrame, limit: int = 4_096) -> DataFrame:
-    """A codebook (code, vector) as one row; its size is part of the model and checked against ``limit``."""
+def _checked(codebook: DataFrame, limit: int) -> DataFrame:
     if codebook.limit(limit + 1).count() > limit:
         raise ValueError(f"a codebook has at most {limit} codes")
-    return codebook.agg(F.array_sort(F.collect_list(F.struct("code", F.transform("vector", lambda x: x.cast("double")).alias("vector")))).alias("book"))
+    return codebook
+
+
+def codebook_row(codebook: DataFrame, limit: int = 4_096) -> DataFrame:
+    """A codebook (code, vector) as one row; its size is part of the model and checked against ``limit``."""
+    return _checked(codebook, limit).agg(F.array_sort(F.collect_list(F.struct("code", F.transform("vector", lambda x: x.cast("double")).alias("vector")))).alias("book"))
 
 
 def encode(vectors: DataFrame, books: list) -> DataFrame:
@@ -31,11 +35,11 @@ def encode(vectors: DataFrame, books: list) -> DataFrame:
     return out
 
 
-def decode(coded: DataFrame, codebooks: list) -> DataFrame:
-    """(id, vector) from (id, codes): the sum of the codes' vectors; an unknown code gives null."""
+def decode(coded: DataFrame, codebooks: list, limit: int = 4_096) -> DataFrame:
+    """(id, vector) from (id, codes): the sum of the codes' vectors; an unknown code gives null. Codebooks are broadcast after the same check."""
     out = coded.select("id", "codes")
     total = None
     for k, book in enumerate(codebooks):
-        out = out.join(F.broadcast(book.select(F.col("code").alias(f"c{k}"), F.transform("vector", lambda x: x.cast("double")).alias(f"v{k}"))), F.element_at("codes", k + 1) == F.col(f"c{k}"), "left")
+        out = out.join(F.broadcast(_checked(book, limit).select(F.col("code").alias(f"c{k}"), F.transform("vector", lambda x: x.cast("double")).alias(f"v{k}"))), F.element_at("codes", k + 1) == F.col(f"c{k}"), "left")
         total = F.col(f"v{k}") if total is None else F.zip_with(total, F.col(f"v{k}"), lambda x, y: x + y)
     return out.select("id", total.alias("vector"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import octets
-from ..operators import arrays, feedback, ledger, measures
+from ..operators import arrays, feedback, framing, ledger, measures
 from ..sources import jobs
 from .oracles import CDF, TOKENS
-from .queries import cdfs, payloads, table, tokens
+from .queries import cdfs, lengths, payloads, table, tokens
 from .store import scratch, written
 
 
@@ -78,9 +78,15 @@ def probe_digests(spark, sf):
     return rows.groupBy("probe").agg(F.array_sort(F.collect_list(F.struct("id", "line"))).alias("x")).select("probe", F.size("x").cast("long").alias("columns"), F.sha2(F.array_join(F.transform("x", lambda r: r["line"]), ""), 256).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (job_restart, job_outputs, job_provenance, throughput, trimmed_vectors, symbol_ranges, frame_ends, probe_digests)}
+def channel_checks(spark, sf):
+    """Which tracks' samples don't divide into three channels."""
+    return framing.channel_errors(lengths(spark, sf), 3)
+
+
+QUERIES = {f.__name__: f for f in (channel_checks, job_restart, job_outputs, job_provenance, throughput, trimmed_vectors, symbol_ranges, frame_ends, probe_digests)}
 
 SQL = {
+    "channel_checks": "SELECT user_id AS track, count(*) AS total, CASE WHEN count(*) % 3 > 0 THEN count(*) || ' samples don''t divide into 3 channels' END AS error FROM events GROUP BY 1",
     "job_restart": f"""WITH {TOKENS}, o AS (SELECT track, octet_length(encode(string_agg(coalesce(text, ''), chr(10) ORDER BY t)))::BIGINT AS there FROM tokens GROUP BY 1)
 SELECT track AS conv_id, CASE WHEN track % 3 > 0 THEN 'encoded' END AS before, CASE WHEN track % 3 > 0 AND there > 0 THEN 'skipped' ELSE 'encoded' END AS state, there, TRUE AS done FROM o""",
     "job_outputs": "SELECT page_id FROM pages WHERE page_id % 5 = 0 OR page_id % 7 = 0 OR coalesce(html, '') = ''",

@@ -197,7 +197,7 @@ def arith_code_lengths(spark, sf):
     symbols, tables = models(spark, sf)
     coded = entropy.encode(symbols, tables, keys=("track", "chunk"))
     upto, below = F.element_at("cdf", F.col("symbol").cast("int") + 1), F.when(F.col("symbol") > 0, F.element_at("cdf", F.greatest(F.col("symbol"), F.lit(1)).cast("int"))).otherwise(0)
-    bits = symbols.join(F.broadcast(tables), "model").withColumn("bits", F.lit(probability.RANGE_BITS) - F.log2(upto - below))
+    bits = symbols.join(tables, "model").withColumn("bits", F.lit(probability.RANGE_BITS) - F.log2(upto - below))
     bits = bits.groupBy("track", "chunk").agg(F.sum("bits").alias("bits"))
     size = F.octet_length("payload") * 8
     out = coded.join(bits, ["track", "chunk"])

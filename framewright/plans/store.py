@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import re
 import tempfile
@@ -10,15 +12,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import ranges
+
+
+_MADE: list[str] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """At the end of the program its folders go: nothing can read them any more."""
+    for path in _MADE:
+        with contextlib.suppress(Exception):
+            disk, where = ranges.store(path)
+            disk.delete_dir(where)
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only in a local session where that isn't set."""
+    """A new folder below ``spark.checkpoint.dir``, removed when the program ends; a temporary one only in a local session where that isn't set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "framewright-scratch")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

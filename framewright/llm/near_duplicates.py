@@ -97,6 +97,39 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("v").alias("node"), F.col("m").alias("root")).union(edges.select("m", "m").distinct())
 
 
+def reachable(members: DataFrame, misses: int, large: int) -> DataFrame:
+    """Of list members (key, node, root, sig), those that may agree with a member of another component but for ``misses`` coordinates.
+
+    Disagreeing coordinates are a distance. Each component of at least ``large`` members in a list has a centre: a pair across components is at
+    least as far apart as the one's distance from the other's centre less the other's own. So a member of a large component
+    stays only if it is as far from its centre as the nearest outsider asks for and, where that one is of a large component, too, comes near
+    enough to such a one itself; a member of a small component stays if it does so or if there are other small ones. Every member meets each
+    centre of its list once.
+    """
+
+    def distances(iterator):
+        for batch in iterator:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig", "centre"))
+            yield _table([batch.column(c) for c in range(5)] + [pa.array((a != b).sum(axis=1), pa.int32())], ["key", "node", "root", "small", "of", "d"])
+
+    parts = members.groupBy("key", "root").agg(F.min(F.struct("node", "sig")).alias("first"), F.count(F.lit(1)).alias("count"))
+    parts = written(parts.withColumn("small", F.col("count") < large), "list-components")
+    centres = parts.where("NOT small").select("key", F.col("root").alias("of"), F.col("first.sig").alias("centre"))
+    placed = members.join(parts.select("key", "root", "small"), ["key", "root"])
+    met = placed.join(centres, "key").select("key", "node", "root", "small", "of", "sig", "centre").mapInArrow(distances, "key long, node binary, root binary, small boolean, of binary, d int")
+    met = written(met, "list-distances")
+    own, d = F.col("root") == F.col("of"), F.col("d")
+    span = met.groupBy("key", "of").agg(F.max(F.when(own, d)).alias("widest"), F.min(F.when(~own & F.col("small"), d)).alias("small_near"), F.min(F.when(~own & ~F.col("small"), d)).alias("large_near"))
+    judged = met.join(span, ["key", "of"]).groupBy("key", "node", "root").agg(
+        F.bool_or(own & (d >= F.col("small_near") - misses)).alias("to_small"), F.bool_or(own & (d >= F.col("large_near") - misses)).alias("leaves"), F.bool_or(~own & (d <= F.col("widest") + misses)).alias("arrives"),
+    )
+    singles = parts.where("small").groupBy("key").agg(F.count(F.lit(1)).alias("smalls"))
+    judged = placed.join(judged, ["key", "node", "root"], "left").join(singles, "key", "left")
+    is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
+    stays = F.when(F.col("small"), is_("arrives") | (F.col("smalls") > 1)).otherwise(is_("to_small") | is_("leaves") & is_("arrives"))
+    return judged.where(stays).select(*members.columns)
+
+
 def near_duplicates(
     docs: DataFrame, *, similarity: tuple[int, int] = (4, 5), width: int = 5, coordinates: int = 64, matches: int | None = None,
     doc_id: str = "doc_id", text: str = "text", block: int = 1024, slots: int = 1 << 20,
@@ -212,6 +245,11 @@ def near_duplicates(
     links = confirmed(star, star_sets)
     spent(star, star_sets)
 
+    def bytes_of(iterator):
+        for batch in iterator:
+            sig = _signatures(batch, coordinates).astype(np.uint8)
+            yield _table([batch.column(0), pa.array([s.tobytes() for s in sig], pa.binary())], ["node", "sig"])
+
     # What is left are lists that hold several components. A member that agrees often enough with one of another
     # component stays open. Members of a list's largest component are compared with the others alone, which are few beside a
     # large group of near copies, block by block, on a byte of each coordinate; only members come out.
@@ -248,14 +286,19 @@ def near_duplicates(
         if held is not None and held.num_rows:
             yield from run(held, True)[0]
 
-    def bytes_of(iterator):
-        for batch in iterator:
-            sig = _signatures(batch, coordinates).astype(np.uint8)
-            yield _table([batch.column(0), pa.array([s.tobytes() for s in sig], pa.binary())], ["node", "sig"])
-
     rooted = members.select("key", "node", "n").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = written(rooted, "rooted-postings")
     spent(members)
+    # Of a list that takes more than a block, only members within reach of another component are compared.
+    counts = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max("count").alias("main"), F.sum("count").alias("m"), F.count(F.lit(1)).alias("roots"))
+    wide = written(counts.where((F.col("roots") > 1) & (F.col("m") > block)).select("key"), "wide-lists")
+    if wide.head(1):
+        every = rooted
+        held = every.join(wide, "key").join(nodes.select("node", "sig").mapInArrow(bytes_of, "node binary, sig binary"), "node").select("key", "node", "n", "root", "sig")
+        held = written(held, "wide-postings")
+        rooted = written(every.join(wide, "key", "left_anti").select("key", "node", "n", "root").union(reachable(held, coordinates - matches, block).drop("sig")), "rooted-postings")
+        spent(every, held)
+    spent(wide)
     mixed = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("main"), F.sum("count").alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     blocks = lambda m: F.ceil(m / block).cast("int")
     mixed = written(mixed.select("key", F.col("main.root").alias("main"), blocks(F.col("m") - F.col("main.count")).alias("others"), blocks(F.col("main.count")).alias("mains")), "mixed-lists")

@@ -23,6 +23,14 @@ def kept(df):
     return written(df, "parts")
 
 
+def sound(done):
+    """The files' rows (name, bytes, digest, error), if none has an error."""
+    bad = done.where("error IS NOT NULL").head(1)
+    if bad:
+        raise ValueError(f"{bad[0].name}: {bad[0].error}")
+    return done
+
+
 def tensor_archive(spark, sf):
     """Embeddings as an archive, a tensor of each label's vectors and one of their ids; read again as rows."""
     e = table(spark, sf, "embeddings").withColumn("row", (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).cast("long"))
@@ -31,8 +39,7 @@ def tensor_archive(spark, sf):
     ids = e.select(F.concat(F.lit("ids."), number), 2 * F.col("label") + 1, F.lit("I64"), F.lit(None).cast("array<long>"), "row", F.array(F.col("vec_id").cast("double")))
     rows = tensors.pack(vector.union(ids)).withColumn("archive", F.lit("embeddings.bin"))
     folder = scratch(spark, "archive")
-    done = tensors.archives(rows, folder, kept, {"format": "rows"})
-    done.where("error IS NULL").head(1)
+    sound(tensors.archives(rows, folder, kept, {"format": "rows"}))
     read = tensors.values(tensors.read(spark, f"{folder}/embeddings.bin"))
     return read.select("name", "row", F.posexplode("v").alias("k", "v")).select("name", (F.col("row") + F.when(F.col("name").startswith("ids."), F.col("k")).otherwise(0)).alias("row"), F.when(F.col("name").startswith("ids."), 0).otherwise(F.col("k")).cast("long").alias("bin"), "v")
 
@@ -54,7 +61,7 @@ def weight_rows(spark, sf):
 def plain_weights(spark, sf):
     dims, rows = weight_rows(spark, sf)
     folder = scratch(spark, "weights")
-    tensors.weights(tensors.pack(rows.withColumn("dtype", F.lit("F32"))), dims, folder, "weights.bin", kept).head(1)
+    sound(tensors.weights(tensors.pack(rows.withColumn("dtype", F.lit("F32"))), dims, folder, "weights.bin", kept))
     return dims, f"{folder}/weights.bin"
 
 
@@ -75,7 +82,7 @@ def weight_file_quantise(spark, sf):
     q = quantise.symmetric_row(single, 127, True)
     rows = v.select("name", "row", F.when(small, F.transform(q, lambda x: x.cast("double"))).otherwise(F.col("v")).alias("v"), F.when(small, "I8").otherwise("F32").alias("dtype"), F.when(small, quantise.symmetric_scale(single, 127).cast("float")).alias("scale"))
     folder = scratch(spark, "weights")
-    tensors.weights(tensors.pack(rows), dims, folder, "weights.bin", kept, quantised=True).head(1)
+    sound(tensors.weights(tensors.pack(rows), dims, folder, "weights.bin", kept, quantised=True))
     read = tensors.values(tensors.read(spark, folder, prefix="l"))
     out = read.where("scale IS NOT NULL").select("name", "row", "scale", F.posexplode("v").alias("bin", "q"))
     return out.select("name", "row", F.round(F.col("scale").cast("double"), 9).alias("scale"), F.col("bin").cast("long").alias("bin"), F.col("q").cast("long").alias("q"))

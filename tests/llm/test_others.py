@@ -257,6 +257,17 @@ def test_op6_verdicts_against_brute_force(spark):
     assert min(error(x) for x in [lowest, highest, *inside]) <= least + 1e-9
 
 
+def test_equal_errors_of_thresholds(spark):
+    """Examples that part wholly: every threshold in the gap has no error, and the one nearest to zero counts."""
+    r = random.Random(3)
+    name = lambda letters: "".join(r.choice(letters) for _ in range(8))
+    urls = [f"http://{'good' if k % 2 else 'bad'}.com/{name('abcde' if k % 2 else 'vwxyz')}" for k in range(300)] + [f"http://{name('abcdevwxyz')}.net/{name('abcdevwxyz')}" for k in range(200)]
+    out = url_filter.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), [("allow", "good.com", ""), ("block", "bad.com", "")]).where("rule IS NULL").collect()
+    width = 2 * url_filter.SPAN / (url_filter.BINS - 1)
+    assert len(out) == 200 and {x.verdict for x in out} == {"allow", "block"}
+    assert all((x.verdict == "allow") == (x.score > 0) for x in out if abs(x.score) > width)
+
+
 # --- word pieces
 
 

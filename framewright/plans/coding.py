@@ -13,6 +13,7 @@ from .queries import MEMBERS, SAMPLES, SEGS, SIGNAL, SPEC, STRIDE, lengths, payl
 from .store import scratch, written
 
 CONTEXT = feedback.Context(books=2, cardinality=64, order=1, window=4)
+BUNDLE, ARRIVING = 128, 30_000  # segments to a group of the keyed state, and to three of the files that arrive
 
 
 def scales(spark, sf):
@@ -53,9 +54,11 @@ def streamed_coding(spark, sf):
     frames = codes.groupBy("track", "seg", "t").agg(F.array_sort(F.collect_list(F.struct("book", "code"))).alias("x"))
     frames = frames.select("track", "seg", "t", F.transform("x", lambda c: c["code"]).alias("symbols"), (F.col("t") == SPEC.frames - 1).alias("last"))
     folder = scratch(spark, "frames")
-    frames.repartition(3).write.parquet(folder)
-    arriving = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 2).parquet(folder)
-    done = streams.run_once(coding.coded(arriving, tables, CONTEXT), scratch(spark, "coded"), scratch(spark, "coded-state"))
+    count = codes.count() // SAMPLES  # segments
+    files = 3 * (1 + count // ARRIVING)
+    frames.repartition(files).write.parquet(folder)
+    arriving = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", files * 2 // 3).parquet(folder)  # so segments meet two batches
+    done = streams.run_once(coding.coded(arriving, tables, CONTEXT, bundles=1 + count // BUNDLE), scratch(spark, "coded"), scratch(spark, "coded-state"))
     batch = feedback.encode_segments(segment_arrays(codes), tables, CONTEXT).select("track", "seg", F.col("payload").alias("whole"))
     back = feedback.decode_segments(done, tables, CONTEXT).select("track", "seg", F.posexplode("codes").alias("k", "code"))
     back = back.join(done.join(batch, ["track", "seg"]).select("track", "seg", (F.col("payload") == F.col("whole")).alias("same")), ["track", "seg"])

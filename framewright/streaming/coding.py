@@ -10,12 +10,16 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.entropy import Encoder
 from ..operators.feedback import Context, History, Tables
 
 STATE = "low string, high string, places long, widest long, bytes binary, bits binary, steps long, before string, waiting string, frames long, error string"
+_ARROW = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+KINDS = pa.schema([("segment", pa.string()), *((c.split()[0], _ARROW[c.split()[1]]) for c in STATE.split(", "))])
 
 
 class SegmentCoder:
@@ -71,30 +75,56 @@ class SegmentCoder:
         return (self.coder.finish() if self.error is None else None, self.past.steps, self.coder.state.widest > 64, self.error)
 
 
-def coded(frames: DataFrame, tables: DataFrame, context: Context, keys: tuple = ("track", "seg"), padded: int = 0) -> DataFrame:
+def _kept(coders: dict) -> tuple:
+    """The open segments of a call as one value: an Arrow table of their names and registers."""
+    columns = zip(*((name, *saved) for name, saved in coders.items()))
+    table = pa.table([pa.array(c, t) for c, t in zip(columns, KINDS.types)], schema=KINDS)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, KINDS) as out:
+        out.write_table(table)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _open(saved: tuple) -> dict:
+    table = pa.ipc.open_stream(saved[0]).read_all()
+    return {name: rest for name, *rest in zip(*(c.to_pylist() for c in table.columns))}
+
+
+def coded(frames: DataFrame, tables: DataFrame, context: Context, keys: tuple = ("track", "seg"), padded: int = 0, bundles: int | None = None) -> DataFrame:
     """(keys, payload, frames, wide, error), once for each segment of a stream (keys, t, symbols, last).
 
     A row is a frame: a symbol of each codebook. A segment is complete when its last frame and all before it have come; then it is
     filled up with zeros to ``padded`` frames and its state is given back. Frames may come in any order and in any batches; one that comes
     again before that counts once. ``tables`` (model, cdf) is a static table, its size checked. A frame with another number of symbols than
     there are codebooks fails the job.
+
+    A call of Python and a row of state cost milliseconds, a short segment much less: ``bundles`` deals the segments by hash to so many
+    groups that have those in common. It is part of the checkpoint, and should be large enough that a group has some hundred open segments. None: each segment is a group.
     """
     shared = frames.sparkSession.sparkContext.broadcast(Tables(tables, context))
     books = context.books
 
-    def run(key, parts, state):
-        coder = SegmentCoder(shared.value, state.get if state.exists else None)
+    def run(_, parts, state):
+        held, coders = _open(state.get) if state.exists else {}, {}
         for part in parts:
-            for t, symbols, last in zip(part["t"], part["symbols"], part["last"]):
+            for name, t, symbols, last in zip(part["segment"], part["t"], part["symbols"], part["last"]):
                 if len(symbols) != books:
-                    raise ValueError(f"frame {t} of {key} has {len(symbols)} symbols, {books} are needed")
-                coder.take(int(t), [int(s) for s in symbols], bool(last))
-        if coder.complete:
+                    raise ValueError(f"frame {t} of {name} has {len(symbols)} symbols, {books} are needed")
+                if name not in coders:
+                    coders[name] = SegmentCoder(shared.value, held.pop(name, None))
+                coders[name].take(int(t), [int(s) for s in symbols], bool(last))
+        done = [(name, *coder.finish(padded)) for name, coder in coders.items() if coder.complete]
+        held |= {name: coder.saved() for name, coder in coders.items() if not coder.complete}
+        if held:
+            state.update(_kept(held))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame([(*key, *coder.finish(padded))], columns=[*keys, "payload", "frames", "wide", "error"])
-        else:
-            state.update(coder.saved())
-
-    kinds = ", ".join(f"{k} {frames.schema[k].dataType.simpleString()}" for k in keys)
-    rows = frames.select(*keys, "t", "symbols", "last")
-    return rows.groupBy(*keys).applyInPandasWithState(run, f"{kinds}, payload binary, frames long, wide boolean, error string", STATE, "append", "NoTimeout")
+        if done:
+            yield pd.DataFrame(done, columns=["segment", "payload", "frames", "wide", "error"])
+
+    formats = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    kinds = ", ".join(f"`{k}` {frames.schema[k].dataType.simpleString()}" for k in keys)
+    rows = frames.select(F.to_json(F.struct(*keys), formats).alias("segment"), "t", "symbols", "last")
+    bundle = F.col("segment") if bundles is None else F.pmod(F.xxhash64("segment"), F.lit(bundles))
+    done = rows.withColumn("bundle", bundle).groupBy("bundle").applyInPandasWithState(run, "segment string, payload binary, frames long, wide boolean, error string", "open binary", "append", "NoTimeout")
+    return done.select(F.from_json("segment", kinds, formats).alias("k"), "payload", "frames", "wide", "error").select("k.*", "payload", "frames", "wide", "error")
